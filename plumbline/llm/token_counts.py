@@ -47,7 +47,7 @@ def _load(path: str):
     return model
 
 
-def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, head: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096, head: int = 100_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each row of docs. head bounds the broadcast table (rows)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
