@@ -5,22 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_stream, packing, token_counts
+from plumbline.llm import bpe_stream, chat_format, packing, quality_classifier, quality_rules, syncmers, token_counts, warc_audit
 from plumbline.llm.common import table, tokenizer_path
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(extra)
+    return chat_format.digests(chat_format.format_turns(chat_format.as_parts(rows)))
+
+
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), with_ids=False)
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits records of `pages` against a replica in which some records are damaged and some are gone."""
+    pages = table(spark, sf_dir, "pages")
+    damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("X"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
+    replica = pages.filter(F.col("page_id") % 389 != 5).withColumn("html", damaged)
+    return warc_audit.audit(warc_audit.to_records(pages), warc_audit.to_records(replica)).withColumnRenamed("key", "page_id")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_packing, op7_bpe, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op4_syncmers, op5_packing, op6_quality_classifier, op7_bpe, op9_warc_audit, op10_token_counts)}
+ORACLES: dict[str, str] = {
+    "op9_warc_audit": """
+        WITH r AS (
+            SELECT page_id, page_id // 4096 AS archive, html,
+                   strlen('WARC/1.1') + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Record-ID: <urn:page:' || page_id || '>') + 2
+                   + strlen('WARC-Target-URI: ' || url) + 2 + strlen('Content-Type: text/html') + 2 + strlen('Content-Length: ' || strlen(html)) + 4
+                   + strlen(html) + 4 AS bytes
+            FROM pages)
+        SELECT page_id, archive, COALESCE(SUM(bytes) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+               bytes, 1::BIGINT AS copies,
+               CASE WHEN page_id % 389 = 5 THEN 'missing' WHEN page_id % 97 = 13 AND html <> '' AND html NOT LIKE 'X%' THEN 'corrupt' ELSE 'ok' END AS status
+        FROM r
+    """,
+}
