@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,7 +46,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 <<
         col = batch.column(batch.schema.get_field_index(column))
         if not len(col):
             continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if held and held + size > max_bytes:

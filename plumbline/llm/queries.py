@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_stream, chat_format, packing, quality_classifier, quality_rules, syncmers, token_counts, warc_audit
+from plumbline.llm import bpe_stream, chat_format, jaccard_join, packing, quality_classifier, quality_rules, syncmers, token_counts, warc_audit
 from plumbline.llm.common import table, tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(chat_format.as_parts(rows)))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op4_syncmers, op5_packing, op6_quality_classifier, op7_bpe, op9_warc_audit, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_jaccard_join, op4_syncmers, op5_packing, op6_quality_classifier, op7_bpe, op9_warc_audit, op10_token_counts)}
 ORACLES: dict[str, str] = {
     "op9_warc_audit": """
         WITH r AS (

@@ -99,7 +99,7 @@ def test_chat_digests(spark):
 
 def test_warc_audit(spark):
     rng = random.Random(1)
-    pages = [(i, f"http://h/{i}", "é" * rng.randrange(50)) for i in [*range(0, 9000, 7), *range(500, 510), 500, 500]]
+    pages = [(i, f"http://h/{i}", "é" * rng.randrange(50)) for i in [*range(0, 9000, 7), *range(500, 504), 500, 500]]
     left = warc_audit.to_records(spark.createDataFrame([*pages, (None, "u", "h")], "page_id long, url string, html string"))
     gone, hurt = {700, 8995}, {500, 504, 4095 // 7 * 7}
     right = warc_audit.to_records(spark.createDataFrame([(i, u, ("X" + h if i in hurt else h)) for i, u, h in pages if i not in gone] + [(20_000, "u", None)], "page_id long, url string, html string"))
@@ -110,7 +110,7 @@ def test_warc_audit(spark):
     at = {}
     for k in sorted(sizes):
         assert got[k].offset == at.get(k // 4096, 0)
-        assert k == 500 or got[k].bytes == sizes[k]
+        assert got[k].copies > 1 or got[k].bytes == sizes[k]
         at[k // 4096] = got[k].offset + got[k].bytes
     assert warc_audit.audit(left.limit(0), right.limit(0)).count() == 0
 
