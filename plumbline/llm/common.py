@@ -7,9 +7,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FILTER_BITS = 1 << 23
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,3 +70,22 @@ def tokenizer_path(name: str) -> str:
 def same_file(path: str) -> str:
     """path, or where this worker has the file of that name, if it is elsewhere there."""
     return path if os.path.exists(path) else tokenizer_path(os.path.basename(path))
+
+
+def _filter_bits(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of the filter for each id (ids are hashes: their own parts serve)."""
+    return ids & (FILTER_BITS - 1), (ids >> 32) & (FILTER_BITS - 1)
+
+
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of fixed size (1 MB) over hashed ids; it saves work and never decides a result."""
+    bits = ids.select(F.explode(F.expr(f"array({column} & {FILTER_BITS - 1}, shiftright({column}, 32) & {FILTER_BITS - 1})")).alias("bit"))
+    found = bits.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return words
+
+
+def maybe_in(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    a, b = _filter_bits(ids)
+    return ((words[a >> 6] >> (a & 63)) & (words[b >> 6] >> (b & 63)) & 1).astype(bool)

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blocks, staged
+from plumbline.llm.common import blocks, id_filter, maybe_in, staged
 from plumbline.llm.components import components
 from plumbline.llm.textblocks import mix, shingle_sets
 
 WIDTH = 5
 SAMPLE_ROWS, FREQUENT = 16_384, 50_000
-TILE, BITMAP_WORDS, FILTER_BITS = 512, 8, 1 << 23
+TILE, BITMAP_WORDS = 512, 8
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -176,15 +176,6 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, dict[
     return _runs(b for b in shared() if b.num_rows)
 
 
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over set ids."""
-    bits = ids.select(F.explode(F.array(*(F.pmod(F.xxhash64("set_id", F.lit(i)), F.lit(FILTER_BITS)) for i in range(2)))).alias("bit"))
-    rows = bits.groupBy(F.expr("cast(bit div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 as int)))").alias("bits")).toPandas()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return words
-
-
 def bitmap(shingles: np.ndarray) -> np.ndarray:
     """Parity of the shingles in each of 64 * BITMAP_WORDS hashed bits."""
     bits = np.bincount((shingles % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
@@ -205,15 +196,15 @@ def _arrays(words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, seen = words.value, set()
         for _, sets in _sets(batches):
+            ids = np.array([set_id(s) for s in sets], np.int64)
             rows = []
-            for s in sets:
-                if len(s) and (i := set_id(s)) not in seen:
+            for i, s, ok in zip(ids.tolist(), sets, maybe_in(wanted, ids).tolist(), strict=True):
+                if ok and len(s) and i not in seen:
                     if len(seen) < 500_000:
                         seen.add(i)
                     rows.append((i, s))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), pa.array([_pack(s) for _, s in rows], pa.binary()), pa.array([bitmap(s).tobytes() for _, s in rows], pa.binary())], names=["set_id", "n", "arr", "bits"])
-        del wanted
 
     return run
 
@@ -286,7 +277,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
     tiles = staged(shared.mapInArrow(_banded, "shingle long, set_id long, n int, place int, leader long, leader_n int, leader_place int"), "tiles")
 
-    words = spark.sparkContext.broadcast(_filter_words(tiles.select("set_id").distinct()))
+    words = spark.sparkContext.broadcast(id_filter(tiles.select("set_id").distinct(), "set_id"))
     arrays = texts.mapInArrow(_arrays(words), "set_id long, n int, arr binary, bits binary")
     arrays = staged(arrays.groupBy("set_id").agg(F.first("n").alias("n"), F.first("arr").alias("arr"), F.first("bits").alias("bits")), "arrays")
 

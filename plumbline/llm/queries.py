@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_stream, chat_format, jaccard_join, packing, quality_classifier, quality_rules, syncmers, token_counts, warc_audit
+from plumbline.llm import bpe_stream, chat_format, jaccard_join, packing, quality_classifier, quality_rules, suffix_dedup, syncmers, token_counts, warc_audit
 from plumbline.llm.common import table, tokenizer_path
 
 
@@ -42,6 +42,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits records of `pages` against a replica in which some records are damaged and some are gone."""
     pages = table(spark, sf_dir, "pages")
@@ -54,7 +59,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_jaccard_join, op4_syncmers, op5_packing, op6_quality_classifier, op7_bpe, op9_warc_audit, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_jaccard_join, op4_syncmers, op5_packing, op6_quality_classifier, op7_bpe, op8_suffix_dedup, op9_warc_audit, op10_token_counts)}
 ORACLES: dict[str, str] = {
     "op9_warc_audit": """
         WITH r AS (
