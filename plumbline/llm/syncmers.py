@@ -35,7 +35,7 @@ def syncmer_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
         df = df.withColumn(smer, F.expr(f"if({n} < {k}, cast(array() as array<bigint>), transform(sequence(0, {n} - {s}), i -> xxhash64({joined})))"))
         last = k - s
         inner = ", ".join(f"{smer}[i + {j}]" for j in range(1, last))
-        chosen = f"filter(sequence(0, {n} - {k}), i -> least({smer}[i], {smer}[i + {last}]) <= least({inner}))"
+        chosen = f"filter(sequence(0, {n} - {k}), i -> least({smer}[i], {smer}[i + {last}]) <= {f'least({inner})' if last > 2 else inner})"
         spans = ", ".join(f"{smer}[i + {j}]" for j in sorted({*range(0, last, s), last}))
         whole = f"if({n} = 0, cast(array() as array<bigint>), array(xxhash64(array_join({symbols}, ','), {k})))"
         df = df.withColumn(f"{symbols}_a", F.expr(f"if({n} < {k}, {whole}, transform({chosen}, i -> xxhash64({spans})))"))
