@@ -2,7 +2,7 @@
 
 A k-mer is chosen when its smallest inner s-mer lies at its first or last place. The choice depends on
 the k-mer alone, so an edit moves no anchor outside its own k-mers. Symbols are words (k = 5, s = 2);
-texts under `SHORT` code points add the syncmers of their characters (k = 3, s = 1), as they have few
+texts under `SHORT` code points add the syncmers of their characters (k = 5, s = 3), as they have few
 words. A fingerprint is the `SKETCH` smallest distinct anchor hashes, as hexadecimal text: equal texts
 have equal fingerprints, and the share of anchors that two fingerprints have in common among the
 smallest of both estimates the Jaccard likeness of the anchors (exact up to SKETCH anchors).
@@ -29,7 +29,7 @@ def syncmer_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
     df = df.withColumn(words, F.expr(f"transform({clean}, x -> xxhash64(x))"))
     df = df.withColumn(chars, F.expr(f"if(length({text}) < {SHORT}, transform(split({text}, ''), x -> xxhash64(x, 1)), cast(array() as array<bigint>))"))
     out = []
-    for symbols, k, s in ((words, 5, 2), (chars, 3, 1)):
+    for symbols, k, s in ((words, 5, 2), (chars, 5, 3)):
         smer, n = f"{symbols}_s", f"size({symbols})"
         joined = ", ".join(f"{symbols}[i{f' + {j}' if j else ''}]" for j in range(s))
         df = df.withColumn(smer, F.expr(f"if({n} < {k}, cast(array() as array<bigint>), transform(sequence(0, {n} - {s}), i -> xxhash64({joined})))"))
