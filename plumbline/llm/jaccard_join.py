@@ -6,14 +6,14 @@ Documents with equal sets are one class from the start, so copies never meet as
    order. The order puts shingles that are frequent in a sample last (a bad sample costs time, never a
    link). A shingle's classes, sorted by size, make size bands: within one, sizes differ by a quarter
    at most.
-2. The first class of a band is compared with the others of the band: linked ones need no further
-   comparison among themselves. Components of these links are found.
+2. Every class is compared with three of the classes that lead its size bands: linked ones need no
+   further comparison among themselves. Components of these links are found.
 3. Classes that share a shingle and are still in different components are compared tile by tile.
-   Hashed parity bitmaps bound the overlap from above by their differing bits, as positions do; what
-   passes is decided by exact intersection of the sorted arrays.
+   Hashed parity bitmaps, wider for larger sets, bound the overlap from above by their differing bits,
+   as positions do; what passes is decided by exact intersection of the sorted arrays.
 
 So no link between components is lost, and a group of near copies takes comparisons in proportion to
-its size. Shingle arrays are shuffled only for classes that share a tile (a filter of fixed size).
+its size. Shingle arrays are shuffled only for classes of pairs that pass the bitmaps (by a filter of fixed size).
 Hashes: 64 bits for shingles and classes, 40 bits a shingle within a pair's intersection.
 
 Null or empty texts, and those without words, have no shingles and link with nothing. A text with fewer
@@ -35,7 +35,7 @@ from plumbline.llm.textblocks import mix, shingle_sets
 
 WIDTH = 5
 SAMPLE_ROWS, FREQUENT = 16_384, 50_000
-TILE, BITMAP_WORDS = 512, 8
+TILE, LEAST_WORDS = 512, 8
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -43,7 +43,7 @@ def set_id(shingles: np.ndarray) -> int:
     return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
 
 
-def likely(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def likely(inter, a, b):
     """100 * inter >= 75 * union, in whole numbers."""
     return 7 * inter >= 3 * (a + b)
 
@@ -56,7 +56,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64())], names=["doc_id", "n", "set_id"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "n", "set_id", "bits"])
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +176,25 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, dict[
     return _runs(b for b in shared() if b.num_rows)
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity of the shingles in each of 64 * BITMAP_WORDS hashed bits."""
-    bits = np.bincount((shingles % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.uint64)
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parity of the shingles in hashed bits, at least two bits a shingle (a power of two)."""
+    width = 64 * max(LEAST_WORDS, 1 << max(0, (2 * len(shingles) - 1).bit_length() - 6))
+    bits = np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def folded(raws: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps as rows of `words` words: wider ones are folded by parity."""
+    out = np.empty((len(raws), words), np.uint64)
+    for i, raw in enumerate(raws):
+        row = np.frombuffer(raw, np.uint64)
+        out[i] = row if len(row) == words else np.bitwise_xor.reduce(row.reshape(-1, words), axis=0)
+    return out
+
+
+def bound(differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The overlap is at most this, where so many bits differ."""
+    return (a + b - differ) // 2
 
 
 def _pack(shingles: np.ndarray) -> bytes:
@@ -204,30 +219,52 @@ def _arrays(words):
                         seen.add(i)
                     rows.append((i, s))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), pa.array([_pack(s) for _, s in rows], pa.binary()), pa.array([bitmap(s).tobytes() for _, s in rows], pa.binary())], names=["set_id", "n", "arr", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), pa.array([_pack(s) for _, s in rows], pa.binary())], names=["set_id", "n", "arr"])
 
     return run
 
 
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that their bitmaps don't rule out."""
+    for batch in batches:
+        n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        bits_a, bits_b = (batch.column(i).to_pylist() for i in (4, 5))
+        keep = np.zeros(len(n_a), bool)
+        for i, (x, y) in enumerate(zip(bits_a, bits_b, strict=True)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if len(x) < len(y):
+                y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+            elif len(y) < len(x):
+                x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+            keep[i] = likely(bound(int(np.bitwise_count(x ^ y).sum()), n_a[i], n_b[i]), n_a[i], n_b[i])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link: bits bound the overlap, the arrays decide."""
+    """Pairs that link, by exact intersection of their arrays."""
     for batch in batches:
-        a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
-        bits = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS) for i in (4, 5)]
-        n_a, n_b = n_a.astype(np.int64), n_b.astype(np.int64)
-        bound = (n_a + n_b - np.bitwise_count(bits[0] ^ bits[1]).sum(1, dtype=np.int64)) // 2
-        keep = likely(bound, n_a, n_b)
-        for i in np.flatnonzero(keep).tolist():
-            x, y = _unpack(batch.column(6)[i].as_py()), _unpack(batch.column(7)[i].as_py())
+        n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        keep = np.zeros(len(n_a), bool)
+        for i in range(len(n_a)):
+            x, y = _unpack(batch.column(4)[i].as_py()), _unpack(batch.column(5)[i].as_py())
             keep[i] = likely(len(np.intersect1d(x, y, assume_unique=True)), n_a[i], n_b[i])
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+
+def _both(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
+    """Pairs with the size and a column of both sets."""
+    left = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col(value).alias("value_b"))
+    right = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col(value).alias("value_a"))
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "n_a", "n_b", "value_a", "value_b")
 
 
-def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    left = arrays.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("arr").alias("arr_b"))
-    right = arrays.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("arr").alias("arr_a"))
-    rows = pairs.join(left, "b").join(right, "a").select("a", "b", "n_a", "n_b", "bits_a", "bits_b", "arr_a", "arr_b")
-    return rows.mapInArrow(_verified, "a long, b long")
+def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link. Arrays are made again from the texts, for the classes of these pairs only."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    words = texts.sparkSession.sparkContext.broadcast(id_filter(ids, "set_id"))
+    arrays = texts.mapInArrow(_arrays(words), "set_id long, n int, arr binary")
+    arrays = arrays.groupBy("set_id").agg(F.first("n").alias("n"), F.first("arr").alias("arr"))
+    return staged(_both(pairs, arrays, "arr").mapInArrow(_verified, "a long, b long"), "links")
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +273,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for goes_on, run in _runs(batches):
         for at in range(0, len(run["n"]), TILE):
             tile = {k: v[at : at + TILE] for k, v in run.items()}
-            tile["words"] = np.frombuffer(b"".join(tile.pop("bits")), np.uint64).reshape(-1, BITMAP_WORDS)
+            tile["bits"] = tile["bits"].astype(object)
             if held is not None:  # rows too small for this tile's smallest go for good
                 low = np.searchsorted(held["n"], -(-3 * tile["n"][0] // 4))
                 held = {k: v[low:] for k, v in held.items()}
@@ -248,12 +285,18 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ok = (other["component"][:, None] != tile["component"][None, :]) & (4 * n_a >= 3 * n_b)
                 ok &= (start + np.arange(len(other["n"])))[:, None] < first + np.arange(len(tile["n"]))[None, :]
                 ok &= likely(np.minimum(n_a - other["place"][:, None], n_b - tile["place"][None, :]), n_a, n_b)
-                i, j = np.nonzero(ok)
-                differ = np.bitwise_count(other["words"][i] ^ tile["words"][j]).sum(1, dtype=np.int64)
-                total = other["n"][i].astype(np.int64) + tile["n"][j]
-                keep = 7 * ((total - differ) // 2) >= 3 * total
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(other["set_id"][i[keep]]), pa.array(tile["set_id"][j[keep]])], names=["a", "b"])
+                rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+                if not len(rows):
+                    continue
+                words = min(len(x) for x in (*other["bits"][rows], *tile["bits"][columns])) // 8
+                mine, theirs = folded(tile["bits"][columns].tolist(), words), folded(other["bits"][rows].tolist(), words)
+                for k, r in enumerate(rows.tolist()):
+                    j = np.flatnonzero(ok[r, columns])
+                    a, b = int(other["n"][r]), tile["n"][columns[j]].astype(np.int64)
+                    differ = np.bitwise_count(mine[j] ^ theirs[k]).sum(1, dtype=np.int64)
+                    j = j[likely(bound(differ, a, b), a, b)]
+                    if len(j):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), other["set_id"][r])), pa.array(tile["set_id"][columns[j]])], names=["a", "b"])
             held = every
         if not goes_on:
             held = None
@@ -264,7 +307,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = rows.select("text")
-    classes = staged(rows.mapInArrow(_classes, "doc_id long, n long, set_id long"), "classes")
+    classes = staged(rows.mapInArrow(_classes, "doc_id long, n long, set_id long, bits binary"), "classes")
+    signatures = classes.filter("n > 0").groupBy("set_id").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
 
     share = SAMPLE_ROWS / max(classes.count(), 1)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
@@ -277,22 +321,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
     tiles = staged(shared.mapInArrow(_banded, "shingle long, set_id long, n int, place int, leader long, leader_n int, leader_place int"), "tiles")
 
-    words = spark.sparkContext.broadcast(id_filter(tiles.select("set_id").distinct(), "set_id"))
-    arrays = texts.mapInArrow(_arrays(words), "set_id long, n int, arr binary, bits binary")
-    arrays = staged(arrays.groupBy("set_id").agg(F.first("n").alias("n"), F.first("arr").alias("arr"), F.first("bits").alias("bits")), "arrays")
-
     inter = F.least(F.col("leader_n") - F.col("leader_place"), F.col("n") - F.col("place"))
-    first = staged(tiles.filter((F.col("leader") != F.col("set_id")) & (7 * inter >= 3 * (F.col("n") + F.col("leader_n")))).select(F.col("leader").alias("a"), F.col("set_id").alias("b")).distinct(), "pairs")
-    links = staged(verify(first, arrays), "links")
+    led = tiles.filter((F.col("leader") != F.col("set_id")) & (7 * inter >= 3 * (F.col("n") + F.col("leader_n"))))
+    some = led.groupBy(F.col("set_id").alias("b")).agg(F.array_distinct(F.array(F.min("leader"), F.max("leader"), F.min_by("leader", F.xxhash64("leader", "set_id")))).alias("a"))
+    first = staged(_both(some.select(F.explode("a").alias("a"), "b"), signatures, "bits").mapInArrow(_may_link, "a long, b long"), "pairs")
+    links = verify(texts, first)
     found = components(links)
 
     labelled = tiles.select("shingle", "set_id", "n", "place").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     labelled = staged(labelled, "labelled")
     mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    signed = labelled.join(mixed, "shingle", "left_semi").join(arrays.select("set_id", "bits"), "set_id").select("shingle", "set_id", "n", "place", "component", "bits")
+    signed = labelled.join(mixed, "shingle", "left_semi").join(signatures.select("set_id", "bits"), "set_id").select("shingle", "set_id", "n", "place", "component", "bits")
     across = signed.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id").mapInArrow(_across, "a long, b long").distinct()
-    more = verify(across.join(first, ["a", "b"], "left_anti"), arrays)
-    every = components(links.union(staged(more, "links")))
+    across = staged(across.join(first, ["a", "b"], "left_anti"), "pairs")
+    every = components(links.union(verify(texts, across)))
 
     known = classes.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
     known = known.join(every.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
