@@ -14,12 +14,11 @@ URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 CHUNK_KEY = ["doc_id", "macro_id", "child_id"]
 CHUNK_TYPES, DECISIONS, SOURCES = ["narrative", "table", "heading", "boilerplate"], ["native_only", "di_required"], ["di", "native"]
 
-POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
-POLYGONS = T.ArrayType(T.StructType([T.StructField("page_number", T.IntegerType()), T.StructField("polygon", T.ArrayType(POINT))]))
-DOCUMENTS = T.StructType.fromDDL("doc_id string, filename string, sha256 string, page_count int, created_at timestamp")
-PAGES = T.StructType.fromDDL("doc_id string, page_number int, triage_metrics struct<text_length:int,text_density:double,image_coverage_ratio:double,layout_complexity_score:double>, triage_decision string, reason_codes array<string>, di_json_path string")
-CHUNKS = T.StructType.fromDDL("chunk_id string, doc_id string, page_numbers array<int>, macro_id int, child_id int, chunk_type string, text_content string, char_start int, char_end int, heading_path string, section_id string, source_type string, embedding array<float>, embedding_model string, embedding_dim int").add("polygons", POLYGONS)
-FACTS = T.StructType.fromDDL("doc_id string, fact_name string, value string, status string, confidence double, source_chunk_id string, page_numbers array<int>, evidence_excerpt string").add("polygons", POLYGONS)
+POLYGONS = "polygons array<struct<page_number:int,polygon:array<struct<x:double,y:double>>>>"
+DOCUMENTS = "doc_id string, filename string, sha256 string, page_count int, created_at timestamp"
+PAGES = "doc_id string, page_number int, triage_metrics struct<text_length:int,text_density:double,image_coverage_ratio:double,layout_complexity_score:double>, triage_decision string, reason_codes array<string>, di_json_path string"
+CHUNKS = f"chunk_id string, doc_id string, page_numbers array<int>, macro_id int, child_id int, chunk_type string, text_content string, char_start int, char_end int, heading_path string, section_id string, source_type string, embedding array<float>, embedding_model string, embedding_dim int, {POLYGONS}"
+FACTS = f"doc_id string, fact_name string, value string, status string, confidence double, source_chunk_id string, page_numbers array<int>, evidence_excerpt string, {POLYGONS}"
 
 
 def doc_uuid(sha: Column) -> Column:
@@ -63,17 +62,18 @@ def replace_documents(old: DataFrame, new: DataFrame) -> DataFrame:
     return union(old.join(new.select("doc_id").distinct(), "doc_id", "left_anti"), new)
 
 
-def schema_errors(tables: dict[str, tuple[DataFrame, T.StructType]]) -> list[str]:
-    """Missing columns and wrong types of all tables together."""
+def schema_errors(tables: dict[str, tuple[DataFrame, str]]) -> list[str]:
+    """Missing columns and wrong types of all tables together; a schema is DDL."""
     out = []
-    for name, (df, wanted) in sorted(tables.items()):
+    for name, (df, ddl) in sorted(tables.items()):
+        wanted = T.StructType.fromDDL(ddl)
         have = {f.name: f.dataType for f in df.schema}
         out += [f"{name}.{f.name}: missing" for f in wanted if f.name not in have]
         out += [f"{name}.{f.name}: {have[f.name].simpleString()}, not {f.dataType.simpleString()}" for f in wanted if f.name in have and have[f.name] != f.dataType]
     return out
 
 
-def check_schemas(tables: dict[str, tuple[DataFrame, T.StructType]]) -> None:
+def check_schemas(tables: dict[str, tuple[DataFrame, str]]) -> None:
     if found := schema_errors(tables):
         raise ValueError("schema contract: " + "; ".join(found))
 
