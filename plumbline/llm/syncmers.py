@@ -13,6 +13,8 @@ to any other. A text too short for a k-mer has its whole words or characters as
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,38 +56,41 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, cast(size(array_intersect(array_intersect({union}, {a}), {b})) as double) / greatest(size({union}), 1))")
 
 
-def with_next(rows: DataFrame, order: str, columns: list[str], partitions: int | None = None) -> DataFrame:
-    """Adds next_<column> of the row with the next larger `order` (after the last: of the first).
+def with_next(raw: DataFrame, order: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str], partitions: int | None = None) -> DataFrame:
+    """prepare(raw) with next_<column> of the row with the next larger `order` (after the last: of the first).
 
     The order is cut into ranges at quantiles of the key. Each range takes in the first row of the next
     one, so that no window spans more than a range and the rows are shuffled once.
     """
-    n = partitions or max(2, 2 * shuffle_partitions(rows))
-    cuts = rows.select(F.expr(f"percentile_approx({order}, array({', '.join(f'{i / n:.9f}D' for i in range(1, n))}), 10000)").alias("cuts")).first()["cuts"] or []
+    rows = prepare(raw)
+    n = partitions or max(2, 2 * shuffle_partitions(raw))
+    cuts = raw.select(F.expr(f"percentile_approx({order}, array({', '.join(f'{i / n:.9f}D' for i in range(1, n))}), 10000)").alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
     place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = rows.withColumn("range_", place.cast("int"))
-    ties = F.struct(order, *columns)
-    firsts = placed.groupBy("range_").agg(F.min_by(F.struct(*(F.col(c) for c in rows.columns)), ties).alias("row"))
-    # as many rows as ranges: each first row goes to the range before it, that of the first range to the last
-    numbers = placed.groupBy("range_").count().select("range_")
-    found = sorted(r["range_"] for r in numbers.collect())
+    placed = raw.withColumn("range_", place.cast("int"))
+    # two numbers a range: its first row is read by its key, nulls come first
+    least = placed.groupBy("range_").agg(F.min(order).alias("least"), F.max(F.col(order).isNull()).alias("nulls")).collect()
+    found = sorted(r["range_"] for r in least)
+    heads = F.col(order).isin([r["least"] for r in least if not r["nulls"]])
+    if any(r["nulls"] for r in least):
+        heads = heads | F.col(order).isNull()
+    whole = F.struct(order, *(c for c in raw.columns if c != order))
+    firsts = placed.filter(heads).groupBy("range_").agg(F.min(whole).alias("row")).select("row.*", "range_")
     if not found:
         return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    # each first row goes to the range before it, that of the first range to the last
     before = {b: a for a, b in zip([found[-1], *found], found, strict=False)}
     to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    last = F.when(F.col("range_") == found[0], F.lit(1)).otherwise(F.lit(0))
-    extra = firsts.select(*(F.col("row")[c].alias(c) for c in rows.columns), to[F.col("range_")].alias("range_"), F.lit(1).alias("extra_"), last.alias("wraps_"))
+    extra = prepare(firsts.withColumn("range_", to[F.col("range_")])).withColumn("extra_", F.lit(1))
     window = Window.partitionBy("range_").orderBy("extra_", order, *columns)
-    every = placed.withColumns({"extra_": F.lit(0), "wraps_": F.lit(0)}).unionByName(extra)
-    return every.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns)).filter("extra_ = 0").drop("range_", "extra_", "wraps_")
+    every = prepare(placed).withColumn("extra_", F.lit(0)).unionByName(extra)
+    return every.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns)).filter("extra_ = 0").drop("range_", "extra_")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = syncmer_columns(rows, "text", "own").withColumnRenamed("own_anchors", "marks")
-    both = with_next(own, "doc_id", ["text", "marks"])
+    both = with_next(rows, "doc_id", lambda df: syncmer_columns(df, "text", "own").withColumnRenamed("own_anchors", "marks"), ["text", "marks"])
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
     done = syncmer_columns(both, "edited", "edited")
