@@ -346,6 +346,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have the least doc_id of their component; of rows with that same id, one."""
+    """The rows of docs that have the least doc_id of their component; of rows with that same id, one.
+
+    Rows without an id stay: they can't be told from each other.
+    """
     first = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(docs.columns)
+    kept = docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
