@@ -11,13 +11,15 @@ from plumbline.functions.textnorm import is_title, is_upper, numbered, strip
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """Tokens of each page text with their offsets."""
-    parts = pages.select("doc_id", "page_number", F.posexplode(F.regexp_extract_all("text", F.lit("^\\s*\\S+\\s*|\\S+\\s*"), F.lit(0))).alias("pos", "part"))
+    """Tokens of each page text with their offsets, and the page's number of tokens."""
+    found = pages.select("doc_id", "page_number", F.regexp_extract_all("text", F.lit("^\\s*\\S+\\s*|\\S+\\s*"), F.lit(0)).alias("parts")).withColumn("n", F.size("parts"))
+    # n is made before the explode, so that no exploded row carries its page's array
+    parts = found.select("doc_id", "page_number", "n", F.posexplode("parts").alias("pos", "part"))
     before = Window.partitionBy("doc_id", "page_number").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     tail = F.regexp_replace("part", "^\\s+", "")
     start = F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)) + F.length("part") - F.length(tail)
     token = F.regexp_replace(tail, "\\s+$", "")
-    return parts.select("doc_id", "page_number", "pos", start.cast("int").alias("start"), (start + F.length(token)).cast("int").alias("end"))
+    return parts.select("doc_id", "page_number", "n", "pos", start.cast("int").alias("start"), (start + F.length(token)).cast("int").alias("end"))
 
 
 def macro_windows(tokens: DataFrame, size: int = 8192, overlap: int = 256) -> DataFrame:
@@ -28,15 +30,15 @@ def macro_windows(tokens: DataFrame, size: int = 8192, overlap: int = 256) -> Da
     return kept.withColumn("macro_no", F.floor(F.col("first") / (size - overlap)).cast("int")).withColumn("last", F.least(F.col("first") + size, "n") - 1)
 
 
-def child_spans(tokens: DataFrame, macros: DataFrame, child: int = 256, size: int = 8192, overlap: int = 256) -> DataFrame:
+def child_spans(tokens: DataFrame, child: int = 256, size: int = 8192, overlap: int = 256) -> DataFrame:
     """Runs of `child` tokens within each macro window, by the offsets of their first and last token.
 
-    A token's own position tells the windows that it can be in, so this is an equi-join.
+    A token's own position and its page's number of tokens tell the windows that it is in, so nothing
+    is joined, and the aggregate needs no other partitioning than the running offsets had.
     """
-    step = size - overlap
-    pos = F.col("pos")
+    step, pos = size - overlap, F.col("pos")
     first = F.greatest(F.lit(0), F.ceil((pos - size + 1) / step).cast("int"))
-    rows = tokens.withColumn("macro_no", F.explode(F.sequence(first, F.floor(pos / step).cast("int")))).join(macros.select("doc_id", "page_number", "macro_no"), ["doc_id", "page_number", "macro_no"])
+    rows = tokens.withColumn("macro_no", F.explode(F.sequence(first, F.floor(pos / step).cast("int")))).filter((F.col("macro_no") == 0) | (F.col("macro_no") * step < F.col("n") - overlap))
     number = F.floor((pos - F.col("macro_no") * step) / child).cast("int")
     return rows.groupBy("doc_id", "page_number", "macro_no", number.alias("child_id")).agg(F.min("start").alias("char_start"), F.max("end").alias("char_end"), F.count("*").alias("n_tokens"))
 
@@ -62,7 +64,7 @@ def chunk_type(text: Column) -> Column:
 def chunks(pages: DataFrame, spans: DataFrame, macro: int = 8192, overlap: int = 256, child: int = 256) -> DataFrame:
     """Chunks of page texts and table spans: on each page tables first, then macro windows, numbered over the document."""
     tokens = page_tokens(pages)
-    parts = lineage(child_spans(tokens, macro_windows(tokens, macro, overlap), child, macro, overlap), spans.filter(~F.col("is_table")))
+    parts = lineage(child_spans(tokens, child, macro, overlap), spans.filter(~F.col("is_table")))
     text = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     body = parts.join(pages.select("doc_id", "page_number", "text"), ["doc_id", "page_number"]).withColumn("text_content", text)
     body = body.select("doc_id", "page_number", F.lit(1).alias("kind"), F.col("macro_no").alias("ordinal"), "child_id", "char_start", "char_end", "text_content", "heading_path", "section_id", "page_numbers", chunk_type(F.col("text_content")).alias("chunk_type"))

@@ -300,7 +300,13 @@ children AS (SELECT w.doc_id, w.page_number, macro_no, (pos - first) // 64 AS ch
 @query("c1_c2_c3_windows", TOKENS + "SELECT doc_id, page_number, macro_no::INTEGER AS macro_no, child_id::INTEGER AS child_id, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, n_tokens FROM children")
 def c_windows(spark: SparkSession, sf: str) -> DataFrame:
     tokens = chunking.page_tokens(layout.page_text(layout.spans(layout.page_lines(corpus.pages(spark, sf)))))
-    return chunking.child_spans(tokens, chunking.macro_windows(tokens, 512, 32), 64, 512, 32)
+    return chunking.child_spans(tokens, 64, 512, 32)
+
+
+@query("c2_macro_windows", TOKENS + "SELECT doc_id, page_number, macro_no::INTEGER AS macro_no, first::INTEGER AS first, last::INTEGER AS last FROM windows")
+def c2(spark: SparkSession, sf: str) -> DataFrame:
+    tokens = chunking.page_tokens(layout.page_text(layout.spans(layout.page_lines(corpus.pages(spark, sf)))))
+    return chunking.macro_windows(tokens, 512, 32).select("doc_id", "page_number", "macro_no", "first", "last")
 
 
 @query("c4_c5_c6_c7_chunks", SPANS + TOKENS + """, lined AS (SELECT c.doc_id, c.page_number, macro_no, child_id, any_value(c.char_start) AS char_start, any_value(c.char_end) AS char_end,
@@ -662,7 +668,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Pages to chunks with lineage, a BM25 index over them, and the best three chunks of each benchmark text."""
     lines = layout.page_lines(corpus.pages(spark, sf))
     spans = layout.spans(lines)
-    rows = chunking.chunks(layout.page_text(spans), spans, 512, 32, 64).withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id"))
+    rows = chunking.chunks(layout.page_text(spans), spans, 512, 32, 64).withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id")).persist()
     corpus.tables(spark, sf, "benchmark")
     asked = spark.sql("SELECT CAST(item_id AS BIGINT) AS query_id, concat('src', CAST(item_id % 20 AS STRING)) AS doc_id, text AS query FROM benchmark")
     hits = search.bm25_search(search.bm25_index(rows), asked, 3)

@@ -149,7 +149,7 @@ def test_layout_json(spark):
 
 @pytest.mark.parametrize("n", [1, 5, 8, 9, 17, 40])
 def test_macro_windows(spark, n):
-    tokens = spark.createDataFrame([("d", 1, i, 2 * i, 2 * i + 1) for i in range(n)], "doc_id string, page_number int, pos int, start int, end int")
+    tokens = spark.createDataFrame([("d", 1, n, i, 2 * i, 2 * i + 1) for i in range(n)], "doc_id string, page_number int, n int, pos int, start int, end int")
     got = sorted((r.first, r.last) for r in chunking.macro_windows(tokens, 8, 3).collect())
     want, start = [], 0
     while True:
