@@ -6,8 +6,9 @@ Documents with equal sets are one class from the start, so copies never meet as
    order. The order puts shingles that are frequent in a sample last (a bad sample costs time, never a
    link). A shingle's classes, sorted by size, make size bands: within one, sizes differ by a quarter
    at most.
-2. Every class is compared with three of the classes that lead its size bands: linked ones need no
-   further comparison among themselves. Components of these links are found.
+2. Every class is compared with a few leaders: three of those that come first in its size bands, and
+   the one of its bands with the largest share of common shingles (of a group of edited copies, the
+   least edited). Linked ones need no further comparison among themselves. Components are found.
 3. Classes that share a shingle and are still in different components are compared tile by tile.
    Hashed parity bitmaps, wider for larger sets, bound the overlap from above by their differing bits,
    as positions do; what passes is decided by exact intersection of the sorted arrays.
@@ -302,6 +303,19 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = None
 
 
+def _to_central(tiles: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each class b with the best-connected class a among the size bands of its shingles."""
+    first = F.col("n") + F.floor(-3 * F.col("n") / 4) + 1  # shingles of a class that were dealt
+    share = tiles.groupBy("set_id").agg((F.count("*") / F.max(first)).alias("share"))
+    rows = tiles.select("shingle", "set_id", "n", "place", F.floor(F.log(F.col("n")) / float(np.log(4 / 3))).alias("band")).join(share, "set_id")
+    central = rows.groupBy("shingle", "band").agg(F.max(F.struct("share", "set_id", "n", "place")).alias("c"))
+    near = rows.join(central, ["shingle", "band"]).filter(F.col("c.set_id") != F.col("set_id"))
+    inter = F.least(F.col("c.n") - F.col("c.place"), F.col("n") - F.col("place"))
+    near = near.filter(7 * inter >= 3 * (F.col("n") + F.col("c.n")))
+    best = near.groupBy(F.col("set_id").alias("b")).agg(F.max(F.struct("c.share", "c.set_id")).alias("c"))
+    return best.select(F.col("c.set_id").alias("a"), "b")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row."""
     spark = docs.sparkSession
@@ -324,7 +338,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     inter = F.least(F.col("leader_n") - F.col("leader_place"), F.col("n") - F.col("place"))
     led = tiles.filter((F.col("leader") != F.col("set_id")) & (7 * inter >= 3 * (F.col("n") + F.col("leader_n"))))
     some = led.groupBy(F.col("set_id").alias("b")).agg(F.array_distinct(F.array(F.min("leader"), F.max("leader"), F.min_by("leader", F.xxhash64("leader", "set_id")))).alias("a"))
-    first = staged(_both(some.select(F.explode("a").alias("a"), "b"), signatures, "bits").mapInArrow(_may_link, "a long, b long"), "pairs")
+    some = some.select(F.explode("a").alias("a"), "b").union(_to_central(tiles)).distinct()
+    first = staged(_both(some, signatures, "bits").mapInArrow(_may_link, "a long, b long"), "pairs")
     links = verify(texts, first)
     found = components(links)
 
