@@ -36,7 +36,7 @@ from plumbline.llm.textblocks import mix, shingle_sets
 
 WIDTH = 5
 SAMPLE_ROWS, FREQUENT = 16_384, 50_000
-TILE, LEAST_WORDS = 512, 8
+TILE, LEAST_WORDS = 512, 4
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -178,8 +178,8 @@ def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, dict[
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Parity of the shingles in hashed bits, at least two bits a shingle (a power of two)."""
-    width = 64 * max(LEAST_WORDS, 1 << max(0, (2 * len(shingles) - 1).bit_length() - 6))
+    """Parity of the shingles in hashed bits, at least one bit a shingle (a power of two)."""
+    width = 64 * max(LEAST_WORDS, 1 << max(0, (len(shingles) - 1).bit_length() - 6))
     bits = np.bincount((shingles % np.uint64(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
@@ -289,12 +289,15 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
                 if not len(rows):
                     continue
-                words = min(len(x) for x in (*other["bits"][rows], *tile["bits"][columns])) // 8
-                mine, theirs = folded(tile["bits"][columns].tolist(), words), folded(other["bits"][rows].tolist(), words)
-                for k, r in enumerate(rows.tolist()):
+                mine: dict[int, np.ndarray] = {}  # the tile's bitmaps by width; a partner's set is no smaller, so its bitmap is no narrower
+                for r in rows.tolist():
+                    raw = np.frombuffer(other["bits"][r], np.uint64)
+                    if len(raw) not in mine:
+                        wide = [x if len(x) >= 8 * len(raw) else bytes(8 * len(raw)) for x in tile["bits"][columns]]
+                        mine[len(raw)] = folded(wide, len(raw))
                     j = np.flatnonzero(ok[r, columns])
                     a, b = int(other["n"][r]), tile["n"][columns[j]].astype(np.int64)
-                    differ = np.bitwise_count(mine[j] ^ theirs[k]).sum(1, dtype=np.int64)
+                    differ = np.bitwise_count(mine[len(raw)][j] ^ raw).sum(1, dtype=np.int64)
                     j = j[likely(bound(differ, a, b), a, b)]
                     if len(j):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), other["set_id"][r])), pa.array(tile["set_id"][columns[j]])], names=["a", "b"])
@@ -343,10 +346,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verify(texts, first)
     found = components(links)
 
-    labelled = tiles.select("shingle", "set_id", "n", "place").join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    labelled = staged(labelled, "labelled")
-    mixed = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    signed = labelled.join(mixed, "shingle", "left_semi").join(signatures.select("set_id", "bits"), "set_id").select("shingle", "set_id", "n", "place", "component", "bits")
+    known = signatures.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "bits")
+    signed = tiles.select("shingle", "set_id", "n", "place").join(known, "set_id").select("shingle", "set_id", "n", "place", "component", "bits")
     across = signed.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id").mapInArrow(_across, "a long, b long").distinct()
     across = staged(across.join(first, ["a", "b"], "left_anti"), "pairs")
     every = components(links.union(verify(texts, across)))
