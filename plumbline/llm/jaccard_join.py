@@ -362,10 +362,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have the least doc_id of their component; of rows with that same id, one.
+    """One row of each component: that with the least id, or, of rows with that same id, the first read.
 
-    Rows without an id stay: they can't be told from each other.
+    Rows are told apart by a key of their own, so ids may repeat or be null (null ids come last).
+    Rows without words link with nothing and all stay.
     """
-    first = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id is null"))
+    rows = staged(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
+    found = jaccard_components(rows, "row_key").select(F.col("doc_id").alias("row_key"), "component_id")
+    ids = rows.select("row_key", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key").alias("place"))
+    first = found.join(ids, "row_key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_key")
+    return rows.join(first, "row_key", "left_semi").select(docs.columns)

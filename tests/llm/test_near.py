@@ -93,6 +93,14 @@ def test_jaccard_empty_and_repeated_rows(spark):
     assert [r.doc_id for r in jaccard_join.keep_first(same.filter("doc_id is not null")).collect()] == [1]
 
 
+def test_keep_first_with_repeated_and_null_ids(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, one), (1, two), (1, three), (2, two), (None, one), (None, three + " more"), (None, "d e f g h i"), (None, "d e f g h i"), (3, None), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in jaccard_join.keep_first(frame).collect()))
+    assert kept == sorted([(1, one), (1, two), (1, three), (0, "d e f g h i"), (3, ""), (3, "")])
+
+
 def test_components(spark):
     rng = random.Random(0)
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, rng.randrange(1000, 3000)) for _ in range(500)] + [(9, 9)]
