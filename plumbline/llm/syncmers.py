@@ -1,11 +1,13 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
 A k-mer is chosen when its smallest inner s-mer lies at its first or last place. The choice depends on
-the k-mer alone, so an edit moves no anchor outside its own k-mers. Symbols are words (k = 5, s = 2);
-texts under `SHORT` code points add the syncmers of their characters (k = 5, s = 3), as they have few
-words. A fingerprint is the `SKETCH` smallest distinct anchor hashes, as hexadecimal text: equal texts
-have equal fingerprints, and the share of anchors that two fingerprints have in common among the
-smallest of both estimates the Jaccard likeness of the anchors (exact up to SKETCH anchors).
+the k-mer alone, so an edit moves no anchor outside its own k-mers. Symbols are words (k = 5, s = 2).
+Texts under `SHORT` code points or `FEW` words have a second part, the syncmers of their characters
+(k = 5, s = 3). A part is the `SKETCH` smallest distinct anchor hashes. A fingerprint is the parts as
+hexadecimal text, with a dot between them: equal texts have equal fingerprints. The share of anchors
+that two fingerprints have in common among the smallest of both estimates the Jaccard likeness of the
+anchors (exact up to SKETCH anchors). Only parts that both have are compared, so that no border between
+short and long texts shows in a likeness.
 
 Null texts are empty. An empty text has an empty fingerprint; its likeness is 1 to an empty text and 0
 to any other. A text too short for a k-mer has its whole words or characters as its only anchor.
@@ -20,18 +22,17 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import shuffle_partitions
 
-SKETCH, SHORT = 128, 400
+SKETCH, SHORT, FEW = 128, 400, 64
 WORD_SPACE = "[ \\t-\\r]+"
 
 
 def syncmer_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Adds {prefix}_anchors: the sorted distinct hashes of the closed syncmers, SKETCH at most."""
+    """Adds {prefix}_anchors and {prefix}_chars: the sorted distinct hashes of the closed syncmers of words and of characters, SKETCH at most of each."""
     words, chars = f"{prefix}_w", f"{prefix}_c"
     clean = f"filter(split({text}, '{WORD_SPACE}'), x -> x != '')"
     df = df.withColumn(words, F.expr(f"transform({clean}, x -> xxhash64(x))"))
-    df = df.withColumn(chars, F.expr(f"if(length({text}) < {SHORT}, transform(split({text}, ''), x -> xxhash64(x, 1)), cast(array() as array<bigint>))"))
-    out = []
-    for symbols, k, s in ((words, 5, 2), (chars, 5, 3)):
+    df = df.withColumn(chars, F.expr(f"if(length({text}) < {SHORT} or size({words}) < {FEW}, transform(split({text}, ''), x -> xxhash64(x, 1)), cast(array() as array<bigint>))"))
+    for symbols, k, s, part in ((words, 5, 2, "anchors"), (chars, 5, 3, "chars")):
         smer, n = f"{symbols}_s", f"size({symbols})"
         joined = ", ".join(f"{symbols}[i{f' + {j}' if j else ''}]" for j in range(s))
         df = df.withColumn(smer, F.expr(f"if({n} < {k}, cast(array() as array<bigint>), transform(sequence(0, {n} - {s}), i -> xxhash64({joined})))"))
@@ -41,19 +42,26 @@ def syncmer_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
         spans = ", ".join(f"{smer}[i + {j}]" for j in sorted({*range(0, last, s), last}))
         whole = f"if({n} = 0, cast(array() as array<bigint>), array(xxhash64(array_join({symbols}, ','), {k})))"
         df = df.withColumn(f"{symbols}_a", F.expr(f"if({n} < {k}, {whole}, transform({chosen}, i -> xxhash64({spans})))"))
-        out.append(f"{symbols}_a")
-    df = df.withColumn(f"{prefix}_anchors", F.expr(f"slice(sort_array(array_distinct(concat({out[0]}, {out[1]}))), 1, {SKETCH})"))
+        df = df.withColumn(f"{prefix}_{part}", F.expr(f"slice(sort_array(array_distinct({symbols}_a)), 1, {SKETCH})"))
     return df.drop(words, chars, *(f"{x}_{y}" for x in (words, chars) for y in ("s", "a")))
 
 
-def as_text(anchors: str) -> Column:
-    return F.expr(f"array_join(transform({anchors}, x -> lpad(hex(x), 16, '0')), '')")
+def as_text(prefix: str) -> Column:
+    """The parts of a fingerprint; the second, with its dot, only where there is one."""
+    words, chars = (f"array_join(transform({prefix}_{part}, x -> lpad(hex(x), 16, '0')), '')" for part in ("anchors", "chars"))
+    return F.expr(f"concat({words}, if(size({prefix}_chars) > 0, '.', ''), {chars})")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of common anchors among the smallest of both; two empty fingerprints are alike."""
-    union = f"slice(sort_array(array_union({a}, {b})), 1, {SKETCH})"
-    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, cast(size(array_intersect(array_intersect({union}, {a}), {b})) as double) / greatest(size({union}), 1))")
+    """Share of common anchors among the smallest of both, from the parts that both have; two empty fingerprints are alike."""
+
+    def share(x: str, y: str) -> str:
+        union = f"slice(sort_array(array_union({x}, {y})), 1, {SKETCH})"
+        return f"cast(size(array_intersect(array_intersect({union}, {x}), {y})) as double) / greatest(size({union}), 1)"
+
+    whole = [f"slice(sort_array(array_union({p}_anchors, {p}_chars)), 1, {SKETCH})" for p in (a, b)]
+    sizes = " + ".join(f"size({p}_{part})" for p in (a, b) for part in ("anchors", "chars"))
+    return F.expr(f"if({sizes} = 0, 1.0D, if(size({a}_chars) > 0 and size({b}_chars) > 0, {share(*whole)}, {share(f'{a}_anchors', f'{b}_anchors')}))")
 
 
 def with_next(raw: DataFrame, order: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str], partitions: int | None = None) -> DataFrame:
@@ -90,8 +98,8 @@ def with_next(raw: DataFrame, order: str, prepare: Callable[[DataFrame], DataFra
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = with_next(rows, "doc_id", lambda df: syncmer_columns(df, "text", "own").withColumnRenamed("own_anchors", "marks"), ["text", "marks"])
+    both = with_next(rows, "doc_id", lambda df: syncmer_columns(df, "text", "own"), ["text", "own_anchors", "own_chars"])
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
     done = syncmer_columns(both, "edited", "edited")
-    return done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text("marks").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"), likeness("marks", "edited_anchors").alias("near_edited"), likeness("marks", "next_marks").alias("near_next"))
+    return done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"), likeness("own", "next_own").alias("near_next"))

@@ -149,3 +149,23 @@ def test_syncmers_by_definition(spark):
     chosen = {(s[i], s[i + 2], s[i + 3]) for i in range(496) if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])}
     spans = spark.createDataFrame(list(chosen), "a long, b long, c long").select(F.xxhash64("a", "b", "c").alias("h")).collect()
     assert list(row.own_anchors) == sorted(r.h for r in spans)[: syncmers.SKETCH]
+
+
+def test_syncmers_across_the_border_of_short_texts(spark):
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(30):
+        words = []
+        while len(" ".join(words)) < 402:
+            words.append(f"w{rng.randrange(10**4)}")
+        pairs.append((" ".join(words), " ".join(words[:-2])))
+    letters = "".join(rng.choice("日本語文章例題") for _ in range(405))
+    pairs.append((letters, letters[:395]))
+    assert all(len(a) >= syncmers.SHORT > len(b) for a, b in pairs)
+    frame = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.fingerprints(frame).collect()}
+    assert all(got[2 * i].near_next > 0.8 for i in range(len(pairs)))
+    fallen = spark.createDataFrame([(1, pairs[0][0]), (2, "z" * 10)], "doc_id long, text string")  # the edited text of 1 is short
+    assert syncmers.fingerprints(fallen).filter("doc_id = 1").first().near_edited > 0.5
+    empty = spark.createDataFrame([(1, ""), (2, " " * 500), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.near_next for r in syncmers.fingerprints(empty).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
