@@ -118,11 +118,16 @@ def plane_buckets(vector: Column, dim: int, tables: int, bits: int) -> Column:
     return F.array(*(sum((bit(t, b) for b in range(bits)), F.lit(0)) + (t << bits) for t in range(tables)))
 
 
-def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 3, dim: int = 64, tables: int = 12, bits: int = 5) -> DataFrame:
-    """Top k among rows that share a bucket with the query, rescored exactly; compare with vector_search for recall."""
-    a = vectors.withColumn("bucket", F.explode(plane_buckets(F.col("embedding"), dim, tables, bits)))
-    b = queries.withColumn("bucket", F.explode(plane_buckets(F.col("query_embedding"), dim, tables, bits)))
-    pairs = a.join(b, "bucket").dropDuplicates(["query_id", "chunk_id"])
+def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 3, dim: int = 64, tables: int = 16, bits: int = 3, others: bool = False) -> DataFrame:
+    """Top k among rows that share a bucket with the query, rescored exactly; compare with vector_search for recall.
+
+    A pair is scored in the first bucket it shares. With others, a query is a row and no neighbour of itself.
+    """
+    a = vectors.withColumn("row_buckets", plane_buckets(F.col("embedding"), dim, tables, bits)).withColumn("bucket", F.explode("row_buckets"))
+    b = queries.withColumn("query_buckets", plane_buckets(F.col("query_embedding"), dim, tables, bits)).withColumn("bucket", F.explode("query_buckets"))
+    pairs = a.join(b, "bucket").filter(F.col("bucket") == F.array_intersect("row_buckets", "query_buckets")[0])
+    if others:
+        pairs = pairs.filter(F.col("chunk_id") != F.col("query_id").cast("string"))
     rows = pairs.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 6))
     return ranked(rows.select("query_id", "chunk_id", "score"), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 

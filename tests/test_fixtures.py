@@ -3,9 +3,11 @@
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline import queries
 from plumbline.functions import textnorm
 from plumbline.operators import chunking, evidence, facts, intents, layout, search, triage
 from plumbline.plans import retrieval
@@ -123,6 +125,21 @@ def test_approximate_search_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_approximate_search_recall(spark, sf):
+    rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
+    x = np.array(rows.embedding.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    exact = set()
+    for at in np.flatnonzero(rows.vec_id % 50 == 0):
+        score = x @ x[at]
+        score[at] = -2
+        exact |= {(int(rows.vec_id[at]), str(rows.vec_id[i])) for i in np.argsort(-score)[:3]}
+    near = {(r.query_id, r.chunk_id) for r in queries.QUERIES["r14_approximate_search"](spark, f"/root/testdata/{sf}").collect()}
+    print(sf, len(exact & near) / len(exact))
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_headings_and_spans(spark):
     pages = spark.createDataFrame([("demo", 1, "SECTION ONE\nThis is body text.\nItems of note\n a | b \n c | d \nend"), ("demo", 2, "more\n\nNote 3 x")], "doc_id string, page_number int, text string")
     lines = layout.page_lines(pages)
