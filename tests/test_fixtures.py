@@ -153,6 +153,12 @@ def test_headings_and_spans(spark):
     assert all(text[r.page_number][r.char_start : r.char_end] == r.text for r in rows)
 
 
+def test_cells_of_every_order(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 7), (20000, 1, 8), (10**9, 2, 9)], "l_orderkey long, l_linenumber long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.o_orderkey: r.body for r in queries.QUERIES["l3_cells_to_markdown"](spark, str(tmp_path)).collect()}
+    assert got == {1: "| line 1 | 7 |", 20000: "| line 1 | 8 |", 10**9: "|  | 9 |"}
+
+
 def test_layout_json(spark):
     row = ("d", [(1, [("Hello", [0.0, 0.0, 5.0])])], [([(0, 0, "Header A"), (0, 1, " Header B"), (1, 0, "1"), (1, 1, "2")], [(1, [0.0, 0.0, 10.0, 0.0, 10.0, 5.0, 0.0, 5.0]), (2, [])])])
     schema = "doc_id string, pages array<struct<pageNumber:int,lines:array<struct<content:string,polygon:array<double>>>>>, tables array<struct<cells:array<struct<rowIndex:int,columnIndex:int,content:string>>,boundingRegions:array<struct<pageNumber:int,polygon:array<double>>>>>"
