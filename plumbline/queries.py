@@ -92,14 +92,22 @@ def page_words(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks worded for the rules, with pages, polygons and a vector from `embeddings`."""
-    rows = corpus.finance_chunks(spark, sf)
+    return with_places(corpus.finance_chunks(spark, sf), spark, sf, F.col("page_id"))
+
+
+def whole_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of whole documents, with pages, polygons and a vector from `embeddings`."""
+    return with_places(corpus.whole_chunks(spark, sf), spark, sf, F.xxhash64("chunk_id"))
+
+
+def with_places(rows: DataFrame, spark: SparkSession, sf: str, key: Column) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     n = F.lit(vectors.count())
     point = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
     p, q = F.col("page_number"), F.col("page_id") % 50
     polygon = F.array(point(q, p), point(q + 10, p), point(q + 10, p + 5), point(q, p + 5))
     rows = rows.withColumn("page_numbers", F.array("page_number")).withColumn("polygons", F.array(F.struct("page_number", polygon.alias("polygon"))))
-    return rows.join(vectors.select(F.col("vec_id").alias("vec"), "embedding"), F.col("page_id") % n == F.col("vec")).drop("vec")
+    return rows.join(vectors.select(F.col("vec_id").alias("vec"), "embedding"), F.pmod(key, n) == F.col("vec")).drop("vec")
 
 
 def query_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,6 +115,12 @@ def query_rows(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.finance_queries(spark, sf).join(vectors, F.col("query_id") % 10 == F.col("vec")).drop("vec")
 
 
+def whole_query_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts of `benchmark`, with vectors from all of `embeddings`."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("query_embedding"))
+    return corpus.whole_queries(spark, sf).join(vectors, F.pmod(F.col("query_id"), F.lit(vectors.count())) == F.col("vec")).drop("vec")
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
@@ -333,7 +347,7 @@ def c8_pooling(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("c9_hash_vectors")
 def c9_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.finance_chunks(spark, sf).select("chunk_id", joined(search.hash_vector(F.col("text_content"), 16)).alias("vector"))
+    return corpus.whole_chunks(spark, sf).select("chunk_id", joined(search.hash_vector(F.col("text_content"), 16)).alias("vector"))
 
 
 # 2.5 retrieval
@@ -489,12 +503,12 @@ def q9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q12_q13_plans")
 def q13(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.run_plans(chunk_rows(spark, sf), query_rows(spark, sf))[0].select("query_id", "rank", "method", "chunk_id")
+    return retrieval.run_plans(whole_rows(spark, sf).persist(), whole_query_rows(spark, sf).persist())[0].select("query_id", "rank", "method", "chunk_id")
 
 
 @query("q13_plan_status")
 def q13_status(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.run_plans(chunk_rows(spark, sf), query_rows(spark, sf))[1].select("query_id", "intent", "coverage_type", "anchor_id", "n_chunks", "status", "decisions")
+    return retrieval.run_plans(whole_rows(spark, sf).persist(), whole_query_rows(spark, sf).persist())[1].select("query_id", "intent", "coverage_type", "anchor_id", "n_chunks", "status", "decisions")
 
 
 @query("q14_debug_record", "SELECT query_id, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages, coalesce(array_to_string(list_sort(list_distinct(list(heading_path) FILTER (heading_path IS NOT NULL))), ','), '') AS headings FROM (SELECT l.query_id, c.* FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3) GROUP BY query_id")
@@ -547,8 +561,8 @@ def f9(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f10_f11_fallback")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
-    queries = query_rows(spark, sf).withColumn("fact_name", facts.fact_name(F.col("query"))).filter("fact_name is not null")
-    return facts.fallback_answers(queries.select("query_id", "fact_name"), facts.fallback_candidates(chunk_rows(spark, sf), queries.select("query_id", "doc_id", "query_embedding")))
+    queries = whole_query_rows(spark, sf).withColumn("fact_name", facts.fact_name(F.col("query"))).filter("fact_name is not null")
+    return facts.fallback_answers(queries.select("query_id", "fact_name"), facts.fallback_candidates(whole_rows(spark, sf), queries.select("query_id", "doc_id", "query_embedding")))
 
 
 # 2.8 and 2.9 evidence
@@ -572,12 +586,15 @@ def y1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("y2_y5_list_items")
 def y5(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.list_items(per_page(spark, sf)).select("query_id", "item_no", "display")
+    rows = whole_rows(spark, sf).drop("embedding").withColumn("query_id", F.xxhash64("chunk_id")).withColumn("rank", F.lit(1))
+    return evidence.list_items(rows).select("query_id", "item_no", "display")
 
 
 @query("y6_format_list")
 def y6(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.format_list(evidence.list_items(results(spark, sf)))
+    rows = corpus.whole_chunks(spark, sf)
+    hits = search.bm25_search(search.bm25_index(rows), corpus.whole_queries(spark, sf), 3).select("query_id", "chunk_id", "rank")
+    return evidence.format_list(evidence.list_items(hits.join(rows, "chunk_id")))
 
 
 @query("y7_searched_scope", "SELECT query_id, array_to_string(list_sort(list_distinct(list(coalesce(heading_path, section_id, 'unknown')))), ', ') AS sections, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3 GROUP BY query_id")

@@ -7,6 +7,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators import chunking, layout
 
 PAGES = "SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_number, text, doc_id AS page_id FROM documents"
 
@@ -54,6 +57,10 @@ SELECT CAST(item_id AS BIGINT) AS query_id, concat('src', CAST(item_id % 20 AS S
 FROM benchmark"""
 
 
+WHOLE_CHUNKS = CHUNKS.replace("AS text_content\nFROM pages", "AS worded, text\nFROM pages_of_sources")
+WHOLE_QUERIES = QUERIES.replace("AS query\nFROM", "AS worded, text\nFROM")
+
+
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
@@ -72,3 +79,21 @@ def finance_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finance_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "benchmark")
     return spark.sql(QUERIES)
+
+
+def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of whole documents, each with its worded sentence after its text."""
+    pages(spark, sf_dir).createOrReplaceTempView("pages_of_sources")
+    text = F.when(F.col("page_id") % 12 == 11, F.col("text")).otherwise(F.concat_ws("\n", "text", "worded"))
+    rows = spark.sql(WHOLE_CHUNKS).select("doc_id", "page_number", "page_id", text.alias("text"))
+    lines = layout.page_lines(rows)
+    spans = layout.spans(lines, layout.table_islands(lines))
+    found = chunking.chunks(layout.page_text(spans.filter("not is_table")), spans, 512, 32, 64)
+    return found.withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id")).join(rows.select("doc_id", "page_number", "page_id"), ["doc_id", "page_number"])
+
+
+def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of `benchmark`, each with its worded question after it."""
+    tables(spark, sf_dir, "benchmark")
+    text = F.when(F.col("query_id") % 16 == 15, F.col("text")).otherwise(F.concat_ws(" ", "text", "worded"))
+    return spark.sql(WHOLE_QUERIES).select("query_id", "doc_id", text.alias("query"))

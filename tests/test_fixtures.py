@@ -11,7 +11,7 @@ from plumbline import queries
 from plumbline.functions import textnorm
 from plumbline.operators import chunking, evidence, facts, intents, layout, search, triage
 from plumbline.plans import retrieval
-from plumbline.sources import tables
+from plumbline.sources import corpus, tables
 from plumbline.streaming import ingest
 
 NOTE_QUERY = "List the items of note affecting 2024 net income and the aggregate impact"
@@ -140,6 +140,21 @@ def test_registered_approximate_search_recall(spark, sf):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_queries_without_sql_read_whole_texts(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(1000)) + " last"
+    spark.createDataFrame([(i, text, "s") for i in range(1, 13)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, text) for i in range(1, 17)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = corpus.whole_chunks(spark, str(tmp_path)).collect()
+    assert len({r.chunk_id for r in rows}) == len(rows)
+    for page in range(1, 13):
+        mine = " ".join(r.text_content for r in rows if r.page_id == page).split()
+        assert {f"w{i}" for i in range(1000)} | {"last"} <= set(mine)
+    assert any("FDIC special assessment" in r.text_content for r in rows)
+    assert all(r.query.startswith(text) for r in corpus.whole_queries(spark, str(tmp_path)).collect())
+    vectors = queries.QUERIES["c9_hash_vectors"](spark, str(tmp_path)).count()
+    assert vectors == len(rows) > 12
+
+
 def test_headings_and_spans(spark):
     pages = spark.createDataFrame([("demo", 1, "SECTION ONE\nThis is body text.\nItems of note\n a | b \n c | d \nend"), ("demo", 2, "more\n\nNote 3 x")], "doc_id string, page_number int, text string")
     lines = layout.page_lines(pages)
