@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from plumbline.session import prepare
 
-def union(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """unionByName of all.
 
-    Spark 4.1 lets a union of equally partitioned inputs count as partitioned by their keys, and a
-    grouping on those keys then goes without a shuffle; adaptive execution may have merged the inputs'
-    partitions in different ways, which splits groups. The setting that this relies on is switched off
-    for the session.
-    """
-    first.sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+def union(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """unionByName of all, in a prepared session (see `session.prepare`)."""
+    prepare(first.sparkSession)
     for other in others:
         first = first.unionByName(other)
     return first
