@@ -2,27 +2,32 @@
 
 Documents with equal sets are one class from the start, so copies never meet as pairs. For the rest:
 
-1. Tiles. Two linked sets share one of the first n - ceil(0.75 n) + 1 shingles of each, in any common
+1. Every text is cut into shingles once. A written table keeps each row's class, its bitmap and its
+   prefix: two linked sets share one of the first n - ceil(0.75 n) + 1 shingles of each, in any common
    order. The order puts shingles that are frequent in a sample last (a bad sample costs time, never a
-   link). A shingle's classes, sorted by size, make size bands: within one, sizes differ by a quarter
-   at most.
-2. Every class is compared with a few leaders: three of those that come first in its size bands, and
-   the one of its bands with the largest share of common shingles (of a group of edited copies, the
+   link).
+2. Tiles. A shingle's classes, sorted by size, make size bands: within one, sizes differ by a quarter at
+   most. Every class is compared with a few leaders: three of those that come first in its size bands,
+   and the one of its bands with the largest share of common shingles (of a group of edited copies, the
    least edited). Linked ones need no further comparison among themselves. Components are found.
-3. Classes that share a shingle and are still in different components are compared tile by tile.
-   Hashed parity bitmaps, wider for larger sets, bound the overlap from above by their differing bits,
-   as positions do; what passes is decided by exact intersection of the sorted arrays.
+3. Classes that share a shingle and are still in different components are compared tile by tile. A
+   shingle with more than PIECE classes is dealt out as pairs of pieces, each a group of its own, so
+   that no task holds more than two pieces of a key. Hashed parity bitmaps, wider for larger sets, bound
+   the overlap from above by their differing bits, as positions do; what passes is decided by exact
+   intersection of the sorted arrays.
 
 So no link between components is lost, and a group of near copies takes comparisons in proportion to
-its size. Shingle arrays are shuffled only for classes of pairs that pass the bitmaps (by a filter of fixed size).
-Hashes: 64 bits for shingles and classes, 40 bits a shingle within a pair's intersection.
+its size. Shingle arrays are made again only for texts of classes whose pairs pass the bitmaps.
+Shingles and classes are 64-bit hashes throughout.
 
 Null or empty texts, and those without words, have no shingles and link with nothing. A text with fewer
 words than the width has its whole sequence as its only shingle. Repeated rows stay rows of one class.
+An empty table gives no rows; columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,12 +41,8 @@ from plumbline.llm.textblocks import mix, shingle_sets
 
 WIDTH = 5
 SAMPLE_ROWS, FREQUENT = 16_384, 50_000
-TILE, LEAST_WORDS = 512, 4
-
-
-def set_id(shingles: np.ndarray) -> int:
-    """The id of a class: a hash of the set and its size."""
-    return int(mix(mix(shingles).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
+TILE, PIECE, FEW, LEAST_WORDS = 512, 4096, 64, 4
+REMEMBERED = 100_000
 
 
 def likely(inter, a, b):
@@ -49,132 +50,127 @@ def likely(inter, a, b):
     return 7 * inter >= 3 * (a + b)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in blocks(batches, "text"):
-        at = batch.schema.get_field_index("text")
-        yield batch, shingle_sets([(x or "").encode("utf-8", "surrogatepass").lower() for x in batch.column(at).to_pylist()], WIDTH)
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    return shingle_sets([(x or "").encode("utf-8", "surrogatepass").lower() for x in texts.to_pylist()], WIDTH)
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["doc_id", "n", "set_id", "bits"])
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches, "text"):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_sets(batch.column(0))).view(np.int64))], names=["shingle"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, sets in _sets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["shingle"])
+def in_order(shingles: np.ndarray, often: np.ndarray, rank: np.ndarray, first: int) -> np.ndarray:
+    """The first shingles of a set: those that are rare in the sample, then the others by their rank."""
+    rare = shingles[~often]
+    return rare[:first] if len(rare) >= first else np.concatenate([rare, shingles[often][np.argsort(rank[often], kind="stable")]])[:first]
 
 
-def _prefixes(frequent):
-    """Rows (shingle, set_id, n, place) for the first shingles of each set."""
+def _classes(frequent):
+    """doc_id, n, set_id, bits, text_key and prefix of each row; copies of a class within a task have no prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = frequent.value
-        seen: set[int] = set()  # copies within a task; a bound, not a rule: the rest goes at the next step
-        for _, sets in _sets(batches):
-            keys, ids, sizes, places = [], [], [], []
-            for s in sets:
-                n = len(s)
-                if not n or (i := set_id(s)) in seen:
+        seen: set[int] = set()  # it saves work: copies that are read again go when tiles are made
+        for batch in blocks(batches, "text"):
+            sets = _sets(batch.column(2))
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            flat = np.concatenate(sets)
+            ends = np.cumsum(sizes)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat), dtype=np.uint64)])
+            ids = set_ids(sums[ends] - sums[ends - sizes], sizes)
+            if len(common):
+                near = np.minimum(np.searchsorted(common, flat), len(common) - 1)
+                often, rank = common[near] == flat, counts[near]
+            else:
+                often, rank = np.zeros(len(flat), bool), np.zeros(len(flat), np.int64)
+            prefixes: list[bytes | None] = []
+            for i, s, end, n in zip(ids.tolist(), sets, ends.tolist(), sizes.tolist(), strict=True):
+                if not n or i in seen:
+                    prefixes.append(None)
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < REMEMBERED:
                     seen.add(i)
-                first = n + (-3 * n // 4) + 1
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    often = common[at] == s
-                    s = np.concatenate([s[~often], s[often][np.argsort(counts[at[often]], kind="stable")]])
-                keys.append(s[:first])
-                ids.append(np.full(first, i))
-                sizes.append(np.full(first, n))
-                places.append(np.arange(first))
-            if keys:
-                columns = [np.concatenate(keys).view(np.int64), np.concatenate(ids), np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["shingle", "set_id", "n", "place"])
+                mine = slice(end - n, end)
+                prefixes.append(in_order(s, often[mine], rank[mine], n + (-3 * n // 4) + 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(ids), pa.array([bitmap(s) for s in sets], pa.binary()), batch.column(1), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "set_id", "bits", "text_key", "prefix"])
 
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], key: str = "shingle", most: int = 1 << 16) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
-    """Rows sorted by key as runs of one key, in pieces of bounded size: (whether the run goes on, columns)."""
+def set_ids(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ids of classes: a hash of the set's mixed sum and its size."""
+    return mix(mix(sums) + sizes.astype(np.uint64)).view(np.int64)
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (shingle, set_id, n, place) of the classes' prefixes."""
+    for batch in blocks(batches, "prefix", 1 << 19):
+        sizes = np.array([len(p) // 8 for p in batch.column(2).to_pylist()])
+        shingles = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int64)
+        place = np.arange(len(shingles)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        columns = [shingles, np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes).astype(np.int32), place.astype(np.int32)]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["shingle", "set_id", "n", "place"])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Rows that are sorted by their first column, in pieces that end with a key; a key of over `most` rows is cut."""
     held: dict[str, np.ndarray] | None = None
     for batch in batches:
+        if not batch.num_rows:
+            continue
         new = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns, strict=True)}
         held = new if held is None else {k: np.concatenate([held[k], new[k]]) for k in new}
-        cut = np.flatnonzero(held[key][1:] != held[key][:-1]) + 1
-        at = 0
-        for end in cut.tolist():
-            yield False, {k: v[at:end] for k, v in held.items()}
-            at = end
-        held = {k: v[at:] for k, v in held.items()}
-        if len(held[key]) >= most:
-            yield True, held
-            held = {k: v[:0] for k, v in held.items()}
-    if held is not None and len(held[key]):
-        yield False, held
+        key = held[batch.schema.names[0]]
+        at = int(np.searchsorted(key == key[-1], True)) if most is None or key[0] != key[-1] or len(key) < most else len(key)
+        if at:
+            yield {k: v[:at] for k, v in held.items()}
+            held = {k: v[at:] for k, v in held.items()} if at < len(key) else None
+    if held is not None:
+        yield held
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where a row differs from the row before in one of these columns."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return new
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted prefix rows to rows of shared shingles, with the leader (first class) of each row's size band."""
-    names = ["shingle", "set_id", "n", "place", "leader", "leader_n", "leader_place"]
-    out: list[list[np.ndarray]] = []
-    size = 0
-    carry: dict | None = None
-
-    for goes_on, run in _whole_keys(batches):
-        if carry is None and not goes_on and len(run["n"]) < 2:
-            continue
-        ids, n, place = run["set_id"], run["n"], run["place"]
-        if carry is None:
-            carry = {"id": ids[0], "n": n[0], "place": place[0], "last": None}
-        fresh = np.ones(len(ids), bool)  # copies of a class are next to each other
-        fresh[1:] = ids[1:] != ids[:-1]
-        fresh[0] = ids[0] != carry["last"]
-        carry["last"] = ids[-1]
-        ids, n, place = ids[fresh], n[fresh], place[fresh]
-        leader, leader_n, leader_place = (np.empty(len(ids), k.dtype) for k in (ids, n, place))
-        at = 0
-        while at < len(ids):
-            end = int(np.searchsorted(n, carry["n"] * 4 // 3, "right"))
-            end = max(end, at)
-            leader[at:end], leader_n[at:end], leader_place[at:end] = carry["id"], carry["n"], carry["place"]
-            at = end
-            if at < len(ids):
-                carry.update(id=ids[at], n=n[at], place=place[at])
-        if len(ids) > 1 or goes_on or carry.get("more"):
-            out.append([np.full(len(ids), run["shingle"][0]), ids, n, place, leader, leader_n, leader_place])
-            size += len(ids)
-        carry["more"] = True
-        if not goes_on:
-            carry = None
-        if size > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-            out, size = [], 0
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-
-def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
-    """_runs without those of a single row, found by whole columns first: most shingles are in one set only."""
-
-    def shared() -> Iterator[pa.RecordBatch]:
-        last, kept_last = None, False
-        tail: pa.RecordBatch | None = None
-        for batch in batches:
-            if tail is not None:
-                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-            key = batch.column(0).to_numpy()
-            same = np.zeros(len(key), bool)
-            same[1:] = key[1:] == key[:-1]
-            keep = same.copy()
-            keep[:-1] |= same[1:]
-            keep[0] |= kept_last and key[0] == last
-            yield batch.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
-            tail, last, kept_last = batch.slice(len(key) - 1), key[-1], bool(same[-1]) or (len(key) == 1 and bool(keep[0]))
-        if tail is not None and kept_last:
-            yield tail
-
-    return _runs(b for b in shared() if b.num_rows)
+    """Prefix rows, sorted by shingle, to rows of shared shingles with the leader (first class) of their size band.
+
+    A shingle with very many rows comes in pieces, each with leaders of its own; `piece` counts them.
+    """
+    names = ["shingle", "set_id", "n", "place", "piece", "leader", "leader_n", "leader_place"]
+    key, pieces = None, 0  # the key that was cut, and its pieces so far
+    for run in _runs(batches, PIECE):
+        shingle = run["shingle"]
+        cut = len(shingle) >= PIECE and shingle[0] == shingle[-1]
+        shared = ~_starts(shingle)
+        shared[:-1] |= shared[1:]
+        part_of_more = np.full(len(shingle), cut) if key is None else (shingle == key) | cut
+        at = np.flatnonzero(shared | part_of_more)
+        at = at[np.lexsort((run["set_id"][at], run["n"][at], shingle[at]))]
+        at = at[_starts(shingle[at], run["set_id"][at])]  # copies of a class are next to each other
+        s, ids, n, place = (run[c][at] for c in names[:4])
+        head = np.flatnonzero(_starts(s))
+        size = np.diff(head, append=len(s))
+        piece = (np.arange(len(s)) - np.repeat(head, size)) // PIECE
+        if key is not None:
+            piece[s == key] += pieces
+        keep = np.repeat(size > 1, size) | part_of_more[at]
+        pieces = int(piece[-1]) + 1 if cut else 0
+        key = shingle[-1] if cut else None
+        head = np.flatnonzero(_starts(s, piece))
+        lead = np.repeat(head, np.diff(head, append=len(s)))
+        while (beyond := n > n[lead].astype(np.int64) * 4 // 3).any():  # the first row beyond its leader's band leads the next one
+            first = beyond.copy()
+            first[1:] &= ~(beyond[:-1] & (lead[1:] == lead[:-1]))
+            lead = np.where(beyond, np.flatnonzero(first)[np.maximum(np.cumsum(first) - 1, 0)], lead)
+        if keep.any():
+            columns = (s, ids, n, place, piece.astype(np.int32), ids[lead], n[lead], place[lead])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -198,29 +194,23 @@ def bound(differ: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a + b - differ) // 2
 
 
-def _pack(shingles: np.ndarray) -> bytes:
-    top = shingles >> np.uint64(24)
-    return (top & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (top >> np.uint64(32)).astype(np.uint8).tobytes()
-
-
-def _unpack(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, "<u4", n).astype(np.int64) | (np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64) << 32)
-
-
 def _arrays(words):
+    """The sorted arrays of the classes whose texts' keys are in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = words.value, set()
-        for _, sets in _sets(batches):
-            ids = np.array([set_id(s) for s in sets], np.int64)
-            rows = []
-            for i, s, ok in zip(ids.tolist(), sets, maybe_in(wanted, ids).tolist(), strict=True):
-                if ok and len(s) and i not in seen:
-                    if len(seen) < 500_000:
-                        seen.add(i)
-                    rows.append((i, s))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int32()), pa.array([_pack(s) for _, s in rows], pa.binary())], names=["set_id", "n", "arr"])
+        seen: set[int] = set()  # copies within a task are read once; a bound, not a rule
+        for batch in batches:
+            keep = maybe_in(words.value, batch.column(0).to_numpy())
+            for i, key in zip(np.flatnonzero(keep).tolist(), batch.column(0).to_numpy()[keep].tolist(), strict=True):
+                keep[i] = key not in seen
+                if len(seen) < REMEMBERED:
+                    seen.add(key)
+            wanted = batch.filter(pa.array(keep))
+            for part in blocks(iter([wanted]), "text"):
+                sets = [s for s in _sets(part.column(1)) if len(s)]
+                sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+                sums = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(sums, sizes)), pa.array(sizes.astype(np.int32)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["set_id", "n", "arr"])
 
     return run
 
@@ -242,14 +232,15 @@ def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that link, by exact intersection of their arrays."""
+    """Pairs that link, by exact intersection of their sorted arrays."""
     for batch in batches:
         n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-        keep = np.zeros(len(n_a), bool)
+        inter = np.zeros(len(n_a), np.int64)
         for i in range(len(n_a)):
-            x, y = _unpack(batch.column(4)[i].as_py()), _unpack(batch.column(5)[i].as_py())
-            keep[i] = likely(len(np.intersect1d(x, y, assume_unique=True)), n_a[i], n_b[i])
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (4, 5))
+            inter[i] = np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y)
+        keep = pa.array(likely(inter, n_a, n_b))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
 def _both(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
@@ -259,51 +250,87 @@ def _both(pairs: DataFrame, sets: DataFrame, value: str) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "n_a", "n_b", "value_a", "value_b")
 
 
-def verify(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link. Arrays are made again from the texts, for the classes of these pairs only."""
+def verify(texts: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link. Arrays are made again from the texts (text_key, text), for the classes of these pairs only."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    words = texts.sparkSession.sparkContext.broadcast(id_filter(ids, "set_id"))
+    keys = classes.filter("prefix is not null").select("set_id", "text_key").join(ids, "set_id").select("text_key")
+    words = texts.sparkSession.sparkContext.broadcast(id_filter(keys, "text_key"))
     arrays = texts.mapInArrow(_arrays(words), "set_id long, n int, arr binary")
     arrays = arrays.groupBy("set_id").agg(F.first("n").alias("n"), F.first("arr").alias("arr"))
-    return staged(_both(pairs, arrays, "arr").mapInArrow(_verified, "a long, b long"), "links")
+    links = staged(_both(pairs, arrays, "arr").mapInArrow(_verified, "a long, b long"), "links")
+    words.unpersist()
+    return links
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key, those of keys whose classes lie in more than one component."""
+    names = ["key", "set_id", "n", "place", "side", "component"]
+    for run in _runs(batches):
+        head = np.flatnonzero(_starts(run["key"]))
+        some = np.minimum.reduceat(run["component"], head) != np.maximum.reduceat(run["component"], head)
+        keep = np.repeat(some, np.diff(head, append=len(run["key"])))
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(run[c][keep]) for c in names], names=names)
+
+
+def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows (i no larger than j), those that sizes, positions and bitmaps don't rule out."""
+    a, b = rows["n"][i].astype(np.int64), rows["n"][j].astype(np.int64)
+    ok = (rows["component"][i] != rows["component"][j]) & (4 * a >= 3 * b) & ((rows["side"][j] == 2) | (rows["side"][i] != rows["side"][j]))
+    ok &= likely(np.minimum(a - rows["place"][i], b - rows["place"][j]), a, b)
+    i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+    keep = np.zeros(len(i), bool)
+    widths = np.array([len(x) // 8 for x in rows["bits"][i].tolist()], int)
+    for width in np.unique(widths).tolist():  # the larger set's bitmap is no narrower: it is folded
+        mine = np.flatnonzero(widths == width)
+        (left, at_l), (right, at_r) = (np.unique(x[mine], return_inverse=True) for x in (i, j))
+        x, y = folded(rows["bits"][left].tolist(), width), folded(rows["bits"][right].tolist(), width)
+        step = max(1, (1 << 17) // width)
+        for k in range(0, len(mine), step):
+            part = mine[k : k + step]
+            differ = np.bitwise_count(x[at_l[k : k + step]] ^ y[at_r[k : k + step]]).sum(1, dtype=np.int64)
+            keep[part] = likely(bound(differ, a[part], b[part]), a[part], b[part])
+    return i[keep], j[keep]
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates between components within a shingle, tile by tile over its size bands."""
-    held: dict[str, np.ndarray] | None = None
-    for goes_on, run in _runs(batches):
-        for at in range(0, len(run["n"]), TILE):
-            tile = {k: v[at : at + TILE] for k, v in run.items()}
-            tile["bits"] = tile["bits"].astype(object)
-            if held is not None:  # rows too small for this tile's smallest go for good
-                low = np.searchsorted(held["n"], -(-3 * tile["n"][0] // 4))
-                held = {k: v[low:] for k, v in held.items()}
-            every = tile if held is None else {k: np.concatenate([held[k], tile[k]]) for k in tile}
-            first = len(every["n"]) - len(tile["n"])
-            for start in range(0, len(every["n"]), TILE):
-                other = {k: v[start : start + TILE] for k, v in every.items()}
-                n_a, n_b = other["n"].astype(np.int64)[:, None], tile["n"].astype(np.int64)[None, :]
-                ok = (other["component"][:, None] != tile["component"][None, :]) & (4 * n_a >= 3 * n_b)
-                ok &= (start + np.arange(len(other["n"])))[:, None] < first + np.arange(len(tile["n"]))[None, :]
-                ok &= likely(np.minimum(n_a - other["place"][:, None], n_b - tile["place"][None, :]), n_a, n_b)
-                rows, columns = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
-                if not len(rows):
-                    continue
-                mine: dict[int, np.ndarray] = {}  # the tile's bitmaps by width; a partner's set is no smaller, so its bitmap is no narrower
-                for r in rows.tolist():
-                    raw = np.frombuffer(other["bits"][r], np.uint64)
-                    if len(raw) not in mine:
-                        wide = [x if len(x) >= 8 * len(raw) else bytes(8 * len(raw)) for x in tile["bits"][columns]]
-                        mine[len(raw)] = folded(wide, len(raw))
-                    j = np.flatnonzero(ok[r, columns])
-                    a, b = int(other["n"][r]), tile["n"][columns[j]].astype(np.int64)
-                    differ = np.bitwise_count(mine[len(raw)][j] ^ raw).sum(1, dtype=np.int64)
-                    j = j[likely(bound(differ, a, b), a, b)]
-                    if len(j):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), other["set_id"][r])), pa.array(tile["set_id"][columns[j]])], names=["a", "b"])
-            held = every
-        if not goes_on:
-            held = None
+    """Candidates between components within a key: rows by size, all small keys at once, large ones tile by tile."""
+    for run in _runs(batches):
+        order = np.lexsort((run["set_id"], run["n"], run["key"]))
+        rows = {k: v[order] for k, v in run.items()}
+        head = np.flatnonzero(_starts(rows["key"]))
+        size = np.diff(head, append=len(order))
+        left = np.repeat(head + size, size) - np.arange(len(order))  # rows of the key from here on
+        few = np.repeat(size <= FEW, size)
+        pairs = (_fits(rows, i, i + d) for d in range(1, FEW) if len(i := np.flatnonzero(few & (left > d))))
+        for i, j in itertools.chain(pairs, *(_tile_pairs(rows, a, a + n) for a, n in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True))):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(rows["set_id"][i]), pa.array(rows["set_id"][j])], names=["a", "b"])
+
+
+def _tile_pairs(rows: dict[str, np.ndarray], first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each tile of a key with itself and with the tiles before that its size band reaches."""
+    for at in range(first, end, TILE):
+        stop = min(at + TILE, end)
+        low = first + int(np.searchsorted(rows["n"][first:end], -(-3 * int(rows["n"][at]) // 4)))
+        for start in range(low, stop, TILE):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + TILE, stop)), np.arange(at, stop), indexing="ij"))
+            yield _fits(rows, i[i < j], j[i < j])
+
+
+def _dealt(tiles: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (key, set_id, n, place, side, component) to be compared within a key.
+
+    A shingle in one piece is its own key. Of a shingle in more pieces each two make a key, in which
+    rows of side 0 meet rows of side 1; rows of a piece alone have side 2 and meet each other.
+    """
+    rows = tiles.select("shingle", "set_id", "n", "place", "piece")
+    large = rows.filter("piece > 0").groupBy("shingle").agg(F.max("piece").alias("last"))
+    rows = rows.join(large, "shingle", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
+    pair = [F.least("piece", "other"), F.greatest("piece", "other")]
+    key = F.when(F.col("last").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", *pair))
+    side = F.when(F.col("piece") == F.col("other"), 2).when(F.col("piece") > F.col("other"), 1).otherwise(0)
+    return rows.select(key.alias("key"), "set_id", "n", "place", side.cast("int").alias("side")).join(known, "set_id").select("key", "set_id", "n", "place", "side", "component")
 
 
 def _to_central(tiles: DataFrame) -> DataFrame:
@@ -322,41 +349,44 @@ def _to_central(tiles: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = rows.select("text")
-    classes = staged(rows.mapInArrow(_classes, "doc_id long, n long, set_id long, bits binary"), "classes")
-    signatures = classes.filter("n > 0").groupBy("set_id").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
+    texts = rows.select("text_key", "text")
 
-    share = SAMPLE_ROWS / max(classes.count(), 1)
+    share = SAMPLE_ROWS / max(docs.count(), 1)
     sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("text")
-    often = sample.mapInArrow(_shingles, "shingle long").groupBy("shingle").count().filter("count >= 3").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toPandas()
+    often = sample.mapInArrow(_sampled, "shingle long").groupBy("shingle").count().filter("count >= 3").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toPandas()
     common = often["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
-    frequent = spark.sparkContext.broadcast((common[order], often["count"].to_numpy()[order]))
+    frequent = spark.sparkContext.broadcast((common[order], often["count"].to_numpy(np.int64)[order]))
+    classes = staged(rows.mapInArrow(_classes(frequent), "doc_id long, n long, set_id long, bits binary, text_key long, prefix binary"), "classes")
+    frequent.unpersist()
+    signatures = classes.filter("n > 0").groupBy("set_id").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
 
-    prefixes = texts.mapInArrow(_prefixes(frequent), "shingle long, set_id long, n int, place int")
-    shared = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
-    tiles = staged(shared.mapInArrow(_banded, "shingle long, set_id long, n int, place int, leader long, leader_n int, leader_place int"), "tiles")
+    prefixes = classes.filter("prefix is not null").select("set_id", "n", "prefix").mapInArrow(_prefixes, "shingle long, set_id long, n int, place int")
+    dealt = prefixes.repartition("shingle").sortWithinPartitions("shingle")
+    tiles = staged(dealt.mapInArrow(_banded, "shingle long, set_id long, n int, place int, piece int, leader long, leader_n int, leader_place int"), "tiles")
 
     inter = F.least(F.col("leader_n") - F.col("leader_place"), F.col("n") - F.col("place"))
     led = tiles.filter((F.col("leader") != F.col("set_id")) & (7 * inter >= 3 * (F.col("n") + F.col("leader_n"))))
     some = led.groupBy(F.col("set_id").alias("b")).agg(F.array_distinct(F.array(F.min("leader"), F.max("leader"), F.min_by("leader", F.xxhash64("leader", "set_id")))).alias("a"))
     some = some.select(F.explode("a").alias("a"), "b").union(_to_central(tiles)).distinct()
     first = staged(_both(some, signatures, "bits").mapInArrow(_may_link, "a long, b long"), "pairs")
-    links = verify(texts, first)
+    links = verify(texts, classes, first)
     found = components(links)
 
-    known = signatures.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"), "bits")
-    signed = tiles.select("shingle", "set_id", "n", "place").join(known, "set_id").select("shingle", "set_id", "n", "place", "component", "bits")
-    across = signed.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id").mapInArrow(_across, "a long, b long").distinct()
+    known = signatures.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
+    mixed = _dealt(tiles, known).repartition("key").sortWithinPartitions("key").mapInArrow(_mixed, "key long, set_id long, n int, place int, side int, component long")
+    signed = staged(mixed, "mixed").join(signatures.select("set_id", "bits"), "set_id").select("key", "set_id", "n", "place", "side", "component", "bits")
+    across = signed.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
     across = staged(across.join(first, ["a", "b"], "left_anti"), "pairs")
-    every = components(links.union(verify(texts, across)))
+    every = components(links.union(verify(texts, classes, across)))
 
     known = classes.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
-    known = known.join(every.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    lowest = known.groupBy("component").agg(F.min("first_doc").alias("component_id"))
+    known = staged(known.join(every.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id")), "known")
+    # written, so that the join below deals both sides anew and a large component can be split
+    lowest = staged(known.groupBy("component").agg(F.min("first_doc").alias("component_id")), "lowest")
     final = known.join(lowest, "component").select("set_id", "component_id")
-    joined = classes.filter("n > 0").join(final, "set_id")
+    joined = classes.filter("n > 0").select("doc_id", "n", "set_id").join(final, "set_id")
     alone = classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
 

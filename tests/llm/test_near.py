@@ -65,9 +65,12 @@ def test_shingle_sets(texts):
     assert [len(s) for s in got] == [len(plain_set(t)) for t in texts]
 
 
-@pytest.mark.parametrize(("seed", "partitions", "tile"), [(0, 1, 512), (1, 7, 512), (2, 4, 3)])
-def test_jaccard_components(spark, monkeypatch, seed, partitions, tile):
+@pytest.mark.parametrize(("seed", "partitions", "tile", "piece"), [(0, 1, 512, 4096), (1, 7, 512, 4096), (2, 4, 3, 4096), (3, 4, 3, 5)])
+def test_jaccard_components(spark, monkeypatch, seed, partitions, tile, piece):
+    """Also with a shingle's classes dealt out in many pieces."""
     monkeypatch.setattr(jaccard_join, "TILE", tile)
+    monkeypatch.setattr(jaccard_join, "FEW", min(64, tile))
+    monkeypatch.setattr(jaccard_join, "PIECE", piece)
     docs = corpus(seed)
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, set_id string").repartition(partitions)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()}
@@ -93,6 +96,16 @@ def test_jaccard_empty_and_repeated_rows(spark):
     assert [r.doc_id for r in jaccard_join.keep_first(same.filter("doc_id is not null")).collect()] == [1]
 
 
+def test_a_corpus_of_copies(spark):
+    """Rows of three texts only, and one shingle that very many classes share."""
+    rows = [(i, ["a b c d e f g", "q w e r t y", None][i % 3]) for i in range(3000)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {(r.doc_id % 3, r.component_id) for r in got if r.doc_id % 3 < 2} == {(0, 0), (1, 1)} and len(got) == 3000
+    hot = [(i, f"a b c d e x{i}") for i in range(700)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(hot, "doc_id long, text string").repartition(5)).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 700
+
+
 def test_keep_first_with_repeated_and_null_ids(spark):
     one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(1, one), (1, two), (1, three), (2, two), (None, one), (None, three + " more"), (None, "d e f g h i"), (None, "d e f g h i"), (3, None), (3, "")]
