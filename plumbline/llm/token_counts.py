@@ -6,11 +6,12 @@ and what follows up to the next run), and its count is the sum over its pre-toke
 
 1. the distinct pre-tokens of the corpus with their frequencies (counted in each task, then by key);
 2. the number of pieces of each distinct pre-token, once;
-3. per document: the `head` most frequent pre-tokens, a table of bounded size, are summed in the scan;
-   all other pre-tokens leave as (document, pre-token, frequency) rows for an equi-join.
+3. per document: frequent pre-tokens, a table of at most `head` rows, are summed in the scan; all other
+   pre-tokens leave as (document, pre-token, frequency) rows for an equi-join. The lowest frequency of
+   that table is read off a histogram of some hundred rows, so that only its own rows reach the driver.
 
-Null or empty texts have 0 tokens and 0 bytes. Rows are counted one by one: repeated doc_ids stay
-repeated. Columns other than the id and the text are ignored.
+Null or empty texts have 0 tokens and 0 bytes; an empty table gives no rows. Rows are counted one by one:
+repeated doc_ids stay repeated. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -77,7 +78,11 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     distinct = rows.select("text").mapInArrow(vocabulary, "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     counted = staged(distinct.mapInArrow(pieces, "piece string, freq long, n long"), "pieces")
-    top = counted.filter("freq > 1").orderBy(F.desc("freq"), "piece").limit(head).select("piece", "n").toPandas()
+    step = F.floor(F.log2("freq") * 8)
+    sizes = counted.filter("freq > 1").groupBy(step.alias("step")).count().orderBy(F.desc("step")).toPandas()
+    fitting = sizes["step"][sizes["count"].cumsum() <= head]
+    least = int(fitting.min()) if len(fitting) else None
+    top = counted.filter(F.lit(False) if least is None else (F.col("freq") > 1) & (step >= least)).select("piece", "n").toPandas()
     table = spark.sparkContext.broadcast(dict(zip(top["piece"], top["n"].tolist(), strict=True)))
 
     def per_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
