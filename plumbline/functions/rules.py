@@ -33,6 +33,11 @@ FACT_ALIASES = [("default_currency", ["default currency", "currency"]), ("report
 FACT_HEADINGS = ["Consolidated financial statements", "Basis of presentation", "Significant accounting policies", "Presentation currency", "Functional currency"]
 FACT_KEYWORDS = ["all amounts are in", "canadian dollars", "unless otherwise stated", "unless otherwise indicated", "presentation currency"]
 
+CURRENCY = r"(?i)all amounts are in ([A-Za-z\s.]+?) (dollars|currency)"
+UNITS = r"(?i)all amounts are in (?:[A-Za-z\s.]+? )?(millions|billions)"
+FRAMEWORK = r"(?i)(IFRS|GAAP)"
+PERIOD = r"(?i)year ended ([A-Za-z]+ \d{1,2}, \d{4})"
+
 HEADING_TERMS = ["class actions", "class action", "order execution only", "fees class actions", "legal proceedings", "litigation"]
 NAME = r"[A-Z][\w&.'-]+(?:\s+[A-Z][\w&.'-]+){0,4}"
 CASE_NAME = rf"(?i)\b({NAME})\s+v(?:\.|s\.|s)?\s+({NAME})\b"

@@ -68,19 +68,34 @@ def source_blocks(results: DataFrame, ids: bool = False) -> DataFrame:
 
 def closed_matters(results: DataFrame) -> DataFrame:
     """Sentences that say closed, settled or discontinued, with the names in them."""
-    rows = results.select("query_id", "rank", "chunk_id", F.posexplode(F.split("text_content", "(?<=[.!?])\\s+")).alias("sentence_no", "sentence")).filter(F.col("sentence").rlike(rules.CLOSED_WORDS) & ~F.col("sentence").rlike("(?i)\\bopen\\b"))
+    rows = results.select("query_id", "rank", "chunk_id", F.posexplode(F.split("text_content", "(?<=[.!?])\\s+")).alias("sentence_no", "sentence")).filter(F.col("sentence").rlike(rules.CLOSED_WORDS))
     names = F.transform(F.filter(matches(F.col("sentence")), lambda m: m["extractor"] != 2), lambda m: m["display"])
     return rows.withColumn("names", F.array_join(F.array_distinct(names), "; ")).withColumn("how", F.lower(F.regexp_extract("sentence", rules.CLOSED_WORDS, 1)))
 
 
+MONEY = r"(?:US|C)?\$\s*(\d[\d,]*(?:\.\d+)?)\s*(million|billion)"
+#: A label before its amount in parentheses, and an amount before its label.
+LABELLED = rf"(?i)([A-Za-z][A-Za-z' -]*?)\s*\({MONEY}"
+LABELLED_AFTER = rf"(?i){MONEY}(?: (?:after|before) tax)? (?:of|for|related to) ([A-Za-z][A-Za-z' -]*)"
+AGGREGATE_AMOUNT = rf"(?i)(?:aggregate|net|total) impact(?: of| was| is|:)?\s*{MONEY}"
+
+
+def millions(number: Column, unit: Column) -> Column:
+    scale = F.when(F.lower(unit) == "billion", 1000).otherwise(1)
+    return F.round(F.regexp_replace(number, ",", "").cast("decimal(18,4)") * scale, 3).cast("decimal(18,3)")
+
+
 def amounts(results: DataFrame) -> DataFrame:
-    """Labelled amounts in whole millions, the stated aggregate, and whether the items add up to it."""
-    item = r"(?i)([A-Za-z][A-Za-z -]*?)\s*\(\$([\d.]+) (million|billion)"
-    aggregate = r"(?i)aggregate impact \$([\d.]+) (million|billion)"
-    scale = lambda n, u: F.round(n.cast("decimal(18,4)") * F.when(F.lower(u) == "billion", 1000).otherwise(1), 3).cast("decimal(18,3)")
+    """Labelled amounts in millions, the stated aggregate or net impact, and whether the items add up to it."""
     text = F.col("text_content")
-    parts = F.zip_with(_all(text, item, 1), F.zip_with(_all(text, item, 2), _all(text, item, 3), scale), lambda label, n: F.struct(F.trim(label).alias("label"), n.alias("millions")))
-    rows = results.withColumn("item", F.explode(parts)).withColumn("stated", F.when(text.rlike(aggregate), scale(F.regexp_extract(text, aggregate, 1), F.regexp_extract(text, aggregate, 2))))
+
+    def items(pattern: str, label: int, number: int) -> Column:
+        values = F.zip_with(_all(text, pattern, number), _all(text, pattern, number + 1), millions)
+        return F.zip_with(_all(text, pattern, label), values, lambda a, n: F.struct(F.trim(a).alias("label"), n.alias("millions")))
+
+    parts = F.concat(items(LABELLED, 1, 2), items(LABELLED_AFTER, 3, 1))
+    stated = F.when(text.rlike(AGGREGATE_AMOUNT), millions(F.regexp_extract(text, AGGREGATE_AMOUNT, 1), F.regexp_extract(text, AGGREGATE_AMOUNT, 2)))
+    rows = results.withColumn("item", F.explode(parts)).withColumn("stated", stated)
     total = rows.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n_items"), F.sum("item.millions").alias("total"), F.max("stated").alias("stated"))
     return total.withColumn("adds_up", F.col("total") == F.col("stated"))
 

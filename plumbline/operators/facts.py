@@ -20,8 +20,7 @@ def _found(text: Column, pattern: str, value: Column) -> Column:
 
 def fact_values(text: Column) -> dict[str, Column]:
     """Value of each fact in a text, or null. Units need no word before them (see README)."""
-    currency, units = r"(?i)all amounts are in ([A-Za-z\s.]+?) (dollars|currency)", r"(?i)all amounts are in (?:[A-Za-z\s.]+? )?(millions|billions)"
-    framework, period = r"(?i)(IFRS|GAAP)", r"(?i)year ended ([A-Za-z]+ \d{1,2}, \d{4})"
+    currency, units, framework, period = rules.CURRENCY, rules.UNITS, rules.FRAMEWORK, rules.PERIOD
     part = lambda p, g: F.regexp_extract(text, p, g)
     return {
         "default_currency": _found(text, currency, F.concat_ws(" ", strip(part(currency, 1)), strip(part(currency, 2)))),

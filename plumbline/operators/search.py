@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,10 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
+def unit(v: Column) -> Column:
+    """A vector at length 1; a zero vector stays one."""
+    norm = F.sqrt(dot(v, v))
+    return F.transform(v, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
 def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int | None, name: str = "rank") -> DataFrame:
@@ -27,12 +30,16 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int | None,
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 3, pages: bool = False) -> DataFrame:
-    """Top k by cosine in each query's document; `pages` keeps chunks on the query's pages, before scoring."""
-    rows = vectors.join(queries, "doc_id")
+    """Top k by cosine in each query's document; `pages` keeps chunks on the query's pages, before scoring.
+
+    Lengths are divided out once a row, before the join. It is exact, and so reads every chunk of a
+    query's document; over whole tables `ivf_search` reads a part.
+    """
+    rows = vectors.withColumn("embedding", unit(F.col("embedding"))).join(queries.withColumn("query_embedding", unit(F.col("query_embedding"))), "doc_id")
     if pages:
         rows = rows.filter(F.arrays_overlap("page_numbers", "pages"))
-    rows = rows.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 6))
-    return ranked(rows, ["query_id"], [F.desc("score"), F.col("chunk_id")], k).drop("embedding", "query_embedding")
+    rows = rows.withColumn("score", F.round(dot(F.col("embedding"), F.col("query_embedding")), 6)).drop("embedding", "query_embedding")
+    return ranked(rows, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -60,12 +67,21 @@ def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
 
 
 def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 3, positive: bool = False) -> DataFrame:
-    """Top k; chunks without a query term score 0 and can fill up (unless positive)."""
+    """Top k; chunks without a query term score 0 and can fill up (unless positive).
+
+    Only queries with fewer than k scores above 0 are filled, from the first chunks of their document
+    by id, so many as they can need.
+    """
     scores = bm25_scores(index, queries)
     if positive:
         rows = scores.filter("score > 0")
     else:
-        rows = queries.select("query_id", "doc_id").join(index[2].select("doc_id", "chunk_id"), "doc_id").join(scores, ["query_id", "doc_id", "chunk_id"], "left").fillna(0.0, ["score"])
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))
+        chunks = index[2].select("doc_id", "chunk_id", number.alias("number"))
+        hits = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count_if(F.col("score") <= 0).alias("below"))
+        short = queries.select("query_id", "doc_id").join(hits, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).withColumn("most", k + F.coalesce("below", F.lit(0)))
+        fill = short.join(chunks, (short["doc_id"] == chunks["doc_id"]) & (chunks["number"] <= short["most"])).select("query_id", short["doc_id"], "chunk_id", F.lit(0.0).alias("score"))
+        rows = union(scores, fill.join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
     return ranked(rows, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
@@ -101,35 +117,70 @@ def rerank(candidates: DataFrame, scorer: Callable[[Column, Column], Column] = t
     return ranked(rows, ["query_id"], [F.desc("rerank_score"), F.col("prior_rank")], None)
 
 
-def hash_vector(text: Column, dim: int = 64) -> Column:
-    """The default embedder: signed counts of hashed tokens, not normalised; a model is a pandas UDF in its place."""
-    hashed = F.transform(tokens(text), lambda t: F.xxhash64(t))
-    slot = lambda i: F.aggregate(hashed, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dim)) == i, F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)).otherwise(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), slot)
-
+def hash_vectors(rows: DataFrame, key: str = "chunk_id", text: str = "text_content", dim: int = 64) -> DataFrame:
+    """key and vector: the default embedder, signed counts of hashed tokens, not normalised; a model is a pandas UDF in its place.
 
-def plane_buckets(vector: Column, dim: int, tables: int, bits: int) -> Column:
-    """The bucket of a vector in each table of random hyperplanes (signs from hashes of fixed names)."""
-
-    def bit(t: int, b: int) -> Column:
-        signs = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.pmod(F.xxhash64(F.lit(f"{t}/{b}"), i), F.lit(2_000_003)) / 1_000_001.5 - 1.0)
-        return F.when(dot(vector, signs) >= 0, 1 << b).otherwise(0)
-
-    return F.array(*(sum((bit(t, b) for b in range(bits)), F.lit(0)) + (t << bits) for t in range(tables)))
-
-
-def approximate_search(vectors: DataFrame, queries: DataFrame, k: int = 3, dim: int = 64, tables: int = 16, bits: int = 3, others: bool = False) -> DataFrame:
-    """Top k among rows that share a bucket with the query, rescored exactly; compare with vector_search for recall.
-
-    A pair is scored in the first bucket it shares. With others, a query is a row and no neighbour of itself.
+    The first five hexadecimal digits of a token's MD5 give its dimension, the sixth its sign.
+    """
+    words = rows.select(key, F.explode(tokens(F.col(text))).alias("t")).withColumn("h", F.md5("t"))
+    digit = F.conv(F.substring("h", 6, 1), 16, 10).cast("int")
+    at = (F.conv(F.substring("h", 1, 5), 16, 10).cast("int") % dim).alias("at")
+    counts = words.select(key, at, F.when(digit % 2 == 0, 1).otherwise(-1).alias("sign")).groupBy(key, "at").agg(F.sum("sign").cast("double").alias("x"))
+    found = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("by_at"))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(F.col("by_at"), i), F.lit(0.0)))
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce(F.when(F.col("by_at").isNotNull(), vector), F.array_repeat(F.lit(0.0), dim)).alias("vector"))
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    x = np.array([np.asarray(v, float) for v in vectors])
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def fit_lists(vectors: DataFrame, lists: int, sample: int = 8192, rounds: int = 8) -> np.ndarray:
+    """Centres of `lists` groups by cosine (k-means on at most `sample` rows, in order of a hash of their ids)."""
+    rows = vectors.select("chunk_id", "embedding").orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample).toPandas()
+    if not len(rows):
+        return np.zeros((0, 0))
+    x = _units(rows["embedding"])
+    centres = x[np.linspace(0, len(x) - 1, min(lists, len(x))).astype(int)]
+    for _ in range(rounds):
+        nearest = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, x)
+        filled = np.bincount(nearest, minlength=len(centres)) > 0
+        centres = np.where(filled[:, None], sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12), centres)
+    return centres
+
+
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 3, lists: int | None = None, probes: float = 0.5, others: bool = False) -> DataFrame:
+    """Top k of all vectors among the lists nearest to a query, rescored exactly; every row is in one list.
+
+    lists: four times the square root of the number of rows, at most 4096. probes: the share of lists
+    that a query reads; with 1 the search is exact. Vectors without groups need many probes. With others, a query is a row and no neighbour of itself.
     """
-    a = vectors.withColumn("row_buckets", plane_buckets(F.col("embedding"), dim, tables, bits)).withColumn("bucket", F.explode("row_buckets"))
-    b = queries.withColumn("query_buckets", plane_buckets(F.col("query_embedding"), dim, tables, bits)).withColumn("bucket", F.explode("query_buckets"))
-    pairs = a.join(b, "bucket").filter(F.col("bucket") == F.array_intersect("row_buckets", "query_buckets")[0])
+    n = vectors.count()
+    centres = fit_lists(vectors, lists or int(min(4096, max(4, 4 * n**0.5))))
+    if not len(centres):
+        probes = 1
+    shared = vectors.sparkSession.sparkContext.broadcast(centres)
+    reads = max(1, int(np.ceil(probes * len(centres))))
+
+    @F.pandas_udf("int")
+    def own_list(v: pd.Series) -> pd.Series:
+        return pd.Series((_units(v) @ shared.value.T).argmax(1) if len(v) else [], dtype="int32")
+
+    @F.pandas_udf("array<int>")
+    def near_lists(v: pd.Series) -> pd.Series:
+        order = np.argsort(-(_units(v) @ shared.value.T), axis=1)[:, :reads].astype("int32") if len(v) else []
+        return pd.Series(list(order))
+
+    rows = vectors.select("chunk_id", unit(F.col("embedding")).alias("embedding"), own_list("embedding").alias("list_"))
+    asked = queries.select("query_id", unit(F.col("query_embedding")).alias("query_embedding"), F.explode(near_lists("query_embedding")).alias("list_"))
+    pairs = rows.join(asked, "list_")
     if others:
         pairs = pairs.filter(F.col("chunk_id") != F.col("query_id").cast("string"))
-    rows = pairs.withColumn("score", F.round(cosine(F.col("embedding"), F.col("query_embedding")), 6))
-    return ranked(rows.select("query_id", "chunk_id", "score"), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    scored = pairs.select("query_id", "chunk_id", F.round(dot(F.col("embedding"), F.col("query_embedding")), 6).alias("score"))
+    return ranked(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
 def best_phrase_anchor(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ from plumbline.functions import rules
 from plumbline.functions.frames import union
 from plumbline.operators import intents, search
 from plumbline.operators.search import ranked
+from plumbline.sources.tables import written
 
 POSITION = ["page_number", "macro_id", "child_id", "chunk_id"]
 
@@ -80,19 +81,13 @@ def run_plans(chunks: DataFrame, queries: DataFrame, cfg: Config | None = None)
     """Results (query_id, rank, method, chunk columns) and one status row per query.
 
     `chunks` has the chunk columns, page_number and embedding; `queries` has query_id, doc_id, query and
-    query_embedding. The batch is split by route; every route is a join over its queries.
+    query_embedding. The batch is split by route; every route is a join over its queries. What several
+    routes read is a written table, so that each step is planned over tables and made once.
     """
     cfg = cfg or Config()
-    q = intents.classify(queries).withColumn("target", intents.section_target(F.col("query")))
-    q = q.persist()
-    body, vectors = chunks.drop("embedding").persist(), chunks.select("doc_id", "chunk_id", "page_numbers", "embedding").persist()
-    # every route reads these: kept rather than made again for each
-    index = tuple(part.persist() for part in search.bm25_index(body))
-
-    def found(kind: DataFrame, k: int) -> DataFrame:
-        cols = kind.select("query_id", "doc_id", "query", "query_embedding")
-        hits = search.hybrid_search(vectors, index, cols, k) if cfg.hybrid else search.vector_search(vectors, cols, k)
-        return hits.select("query_id", "chunk_id", "rank").join(body, "chunk_id")
+    q = written(intents.classify(queries).withColumn("target", intents.section_target(F.col("query"))), "queries")
+    body, vectors = written(chunks.drop("embedding"), "chunks"), written(chunks.select("doc_id", "chunk_id", "page_numbers", "embedding"), "vectors")
+    index = tuple(written(part, "index") for part in search.bm25_index(body))
 
     location = q.filter("intent = 'location'")
     at_pages = search.vector_search(vectors, location.select("query_id", "doc_id", "pages", "query_embedding"), cfg.wide_k, pages=True)
@@ -103,24 +98,35 @@ def run_plans(chunks: DataFrame, queries: DataFrame, cfg: Config | None = None)
     note = coverage.filter(items)
     phrases = F.array(*map(F.lit, rules.POSITIVE))
     candidates = search.phrase_candidates(body, note.select("query_id", "doc_id", phrases.alias("phrases")), cfg.candidates)
-    anchors_note, audit = items_of_note_anchor(candidates.join(note.select("query_id", "query", "coverage_type"), "query_id"))
+    anchors_note, audit = items_of_note_anchor(written(candidates.join(note.select("query_id", "query", "coverage_type"), "query_id"), "candidates"))
     rest = coverage.filter(~items)
     legal = rest.filter(intents.is_litigation(F.col("query")))
-    best = search.best_phrase_anchor(index, legal.select("query_id", "doc_id", F.array(*map(F.lit, rules.LITIGATION_ANCHORS)).alias("phrases")))
+    best = written(search.best_phrase_anchor(index, legal.select("query_id", "doc_id", F.array(*map(F.lit, rules.LITIGATION_ANCHORS)).alias("phrases"))), "best")
     open_ = rest.join(best.select("query_id"), "query_id", "left_anti").withColumn("query", intents.expanded(F.col("query")))
-    anchor_rows = union(*(x.select("query_id", "chunk_id") for x in (anchors_note, best, found(open_, 1))))
+    meaning = q.filter("intent = 'semantic'")
+    # one search for both routes: each query says how many chunks it takes
+    cols = ["query_id", "doc_id", "query", "query_embedding"]
+    asked = union(open_.select(*cols, F.lit("anchor").alias("route"), F.lit(1).alias("k")), meaning.select(*cols, F.lit("search").alias("route"), F.lit(cfg.wide_k).alias("k")))
+    asked = written(asked, "asked")
+    taken = asked.select("query_id", "route", "k")
+    near = search.vector_search(vectors, asked, 3 * cfg.wide_k if cfg.hybrid else cfg.wide_k)
+    if cfg.hybrid:
+        lexical = search.bm25_search(index, asked, 3 * cfg.wide_k).join(taken, "query_id")
+        near = search.fuse(near.filter("rank <= 3 * k"), lexical.filter("rank <= 3 * k"), cfg.wide_k).join(taken, "query_id")
+    hits = written(near.filter("rank <= k").select("query_id", "chunk_id", "rank", "route"), "hits")
+    anchor_rows = union(*(x.select("query_id", "chunk_id") for x in (anchors_note, best, hits.filter("route = 'anchor'"))))
     window = F.coalesce((F.col("coverage_type") == "attribute") | F.col("target").isNotNull(), F.lit(False))
-    anchors = anchor_rows.join(body, "chunk_id").join(coverage.select("query_id", window.alias("page_window")), "query_id")
+    anchor_rows = written(anchor_rows, "anchors")
+    anchors = written(anchor_rows.join(body, "chunk_id").join(coverage.select("query_id", window.alias("page_window")), "query_id"), "anchors")
     expanded = filter_tables(expand(body, anchors, cfg.window).join(q.select("query_id", "query"), "query_id"))
 
-    meaning = q.filter("intent = 'semantic'")
-    wide = filter_tables(found(meaning, cfg.wide_k).join(q.select("query_id", "query"), "query_id"))
+    wide = filter_tables(hits.filter("route = 'search'").drop("route").join(body, "chunk_id").join(q.select("query_id", "query"), "query_id"))
     chosen = ranked(wide.withColumnRenamed("rank", "rank_"), ["query_id"], [F.col("rank_")], cfg.top_k).drop("rank_").withColumn("method", F.lit("search"))
     if cfg.rerank:
         expanded, chosen = (search.rerank(x).drop("prior_rank", "rerank_score") for x in (expanded, chosen))
 
     columns = ["query_id", "rank", "method", *body.columns]
-    out = union(*(x.select(columns) for x in (located, expanded, chosen)))
+    out = written(union(*(x.select(columns) for x in (located, expanded, chosen))), "results")
     counts = out.groupBy("query_id").agg(F.count("*").alias("n_chunks"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("page_numbers")))).alias("pages_read"))
     listed = F.col("coverage_type").isin("list", "numeric_list")
     has_anchor = F.col("anchor_id").isNotNull()

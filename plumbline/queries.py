@@ -10,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import textnorm
+from plumbline import rules_sql as sql
+from plumbline.functions import rules, textnorm
 from plumbline.functions.frames import union
 from plumbline.operators import chunking, evidence, facts, intents, layout, search, triage
 from plumbline.plans import retrieval
 from plumbline.sources import corpus, tables
+from plumbline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,32 +47,24 @@ islands AS (SELECT doc_id, page_number, min(line_no) AS first_line, max(line_no)
     FROM bars GROUP BY doc_id, page_number, island HAVING count(*) >= 2),
 tables_ AS (SELECT doc_id, page_number, first_line, last_line, n_rows, shown[1] || chr(10) || '| ' || array_to_string([x FOR x IN list_transform(range(width), lambda i: '---')], ' | ') || ' |' || chr(10) || array_to_string(shown[2:], chr(10)) AS markdown FROM islands),
 words AS (SELECT doc_id, page_number, line_no, unnest(string_split_regex(line, '\\s+')) AS word, generate_subscripts(string_split_regex(line, '\\s+'), 1) - 1 AS word_no FROM lines),
-terms AS (SELECT doc_id, chunk_id, unnest(list_filter(string_split_regex(lower(text_content), '\\s+'), lambda t: t <> '')) AS term FROM chunks),
-postings AS (SELECT doc_id, chunk_id, term, count(*) AS tf FROM terms GROUP BY ALL),
-sizes AS (SELECT c.doc_id, c.chunk_id, len(list_filter(string_split_regex(lower(text_content), '\\s+'), lambda t: t <> '')) AS n_terms FROM chunks c),
-docs_ AS (SELECT doc_id, count(*) AS n, avg(n_terms) AS avg_len FROM sizes GROUP BY doc_id),
-raw_idf AS (SELECT p.doc_id, term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM postings p JOIN docs_ USING (doc_id) GROUP BY p.doc_id, term),
-idf AS (SELECT doc_id, term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER (PARTITION BY doc_id) ELSE raw END AS idf FROM raw_idf),
-asked AS (SELECT query_id, doc_id, term, count(*) AS times FROM (SELECT query_id, doc_id, unnest(list_filter(string_split_regex(lower(query), '\\s+'), lambda t: t <> '')) AS term FROM queries) GROUP BY ALL),
-scored AS (SELECT query_id, a.doc_id, p.chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_terms / avg_len))), 6) AS score
-    FROM asked a JOIN postings p USING (doc_id, term) JOIN idf USING (doc_id, term) JOIN sizes s ON s.doc_id = a.doc_id AND s.chunk_id = p.chunk_id JOIN docs_ d ON d.doc_id = a.doc_id GROUP BY ALL),
-lexical AS (SELECT * FROM (SELECT q.query_id, q.doc_id, s.chunk_id, coalesce(score, 0.0) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY coalesce(score, 0.0) DESC, s.chunk_id) AS rank
-    FROM queries q JOIN sizes s USING (doc_id) LEFT JOIN scored x ON x.query_id = q.query_id AND x.chunk_id = s.chunk_id) WHERE rank <= 9),
+{sql.bm25("", "chunks", "queries")},
+{sql.lexical("", "", "queries", 9)},
 vectors AS (SELECT c.doc_id, c.chunk_id, [CAST(page_number AS INTEGER)] AS page_numbers, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = c.page_id % (SELECT count(*) FROM embeddings)),
-vqueries AS (SELECT q.*, e.embedding AS query_embedding FROM queries q JOIN embeddings e ON e.vec_id = q.query_id % 10),
+vqueries AS (SELECT q.*, e.embedding AS query_embedding FROM queries q JOIN embeddings e ON e.vec_id = q.query_id % (SELECT count(*) FROM embeddings)),
 vscored AS (SELECT q.query_id, q.doc_id, v.chunk_id, v.page_numbers, round(list_cosine_similarity(v.embedding::DOUBLE[], q.query_embedding::DOUBLE[]), 6) AS score FROM vqueries q JOIN vectors v USING (doc_id)),
-vtop AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vscored) WHERE rank <= 9),
-fused AS (SELECT * FROM (SELECT query_id, chunk_id, round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + l.rank), 0), 9) AS score,
-    row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(1.0 / (60 + v.rank), 0) + coalesce(1.0 / (60 + l.rank), 0), 9) DESC, v.rank NULLS LAST, l.rank NULLS LAST) AS rank
-    FROM (SELECT query_id, chunk_id, rank FROM vtop) v FULL JOIN (SELECT query_id, chunk_id, rank FROM lexical) l USING (query_id, chunk_id)) WHERE rank <= 3)
+{sql.nearest("", "queries", 9)},
+{sql.fused("", 3)},
+{sql.ROUTED},
+{sql.FLAGS},
+{sql.facts()}
 """
 
 
-def query(name: str, sql: str | None = None, plain: bool = False) -> Callable[[Query], Query]:
+def query(name: str, text: str | None = None, plain: bool = False) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql if plain else WITH + sql
+        if text:
+            ORACLES[name] = text if plain else WITH + text
         return f
 
     return add
@@ -91,15 +85,10 @@ def page_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks worded for the rules, with pages, polygons and a vector from `embeddings`."""
+    """Chunks with pages, polygons and a vector from `embeddings`."""
     return with_places(corpus.finance_chunks(spark, sf), spark, sf, F.col("page_id"))
 
 
-def whole_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks of whole documents, with pages, polygons and a vector from `embeddings`."""
-    return with_places(corpus.whole_chunks(spark, sf), spark, sf, F.xxhash64("chunk_id"))
-
-
 def with_places(rows: DataFrame, spark: SparkSession, sf: str, key: Column) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     n = F.lit(vectors.count())
@@ -111,14 +100,9 @@ def with_places(rows: DataFrame, spark: SparkSession, sf: str, key: Column) -> D
 
 
 def query_rows(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 10").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("query_embedding"))
-    return corpus.finance_queries(spark, sf).join(vectors, F.col("query_id") % 10 == F.col("vec")).drop("vec")
-
-
-def whole_query_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts of `benchmark`, with vectors from all of `embeddings`."""
+    """Queries with vectors from all of `embeddings`."""
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("vec"), F.col("embedding").alias("query_embedding"))
-    return corpus.whole_queries(spark, sf).join(vectors, F.pmod(F.col("query_id"), F.lit(vectors.count())) == F.col("vec")).drop("vec")
+    return corpus.finance_queries(spark, sf).join(vectors, F.pmod(F.col("query_id"), F.lit(vectors.count())) == F.col("vec")).drop("vec")
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,7 +118,8 @@ def s1_register(spark: SparkSession, sf: str) -> DataFrame:
     return tables.register(docs(spark, sf).filter("doc_id % 3 <> 0"), old).select("doc_id", "sha256")
 
 
-@query("s2_document_ids")
+@query("s2_document_ids", """SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE WHEN h[17] IN ('0', '4', '8', 'c') THEN '8' WHEN h[17] IN ('1', '5', '9', 'd') THEN '9' WHEN h[17] IN ('2', '6', 'a', 'e') THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+    FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(sha256(text))) AS h FROM documents)""", plain=True)
 def s2_document_ids(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", tables.doc_uuid(F.sha2("text", 256)).alias("uuid"))
 
@@ -159,6 +144,40 @@ def s6_lookups(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_pages"), F.max("page_number").alias("last_page"), F.count_if(F.col("chunk_type") == "table").alias("n_tables"))
 
 
+@query("s6_facts_of", "SELECT d.doc_id, count(r.value) AS n_facts, string_agg(r.fact_name || '=' || r.value, ';' ORDER BY r.fact_name) AS facts FROM (SELECT DISTINCT doc_id FROM pages_of) d LEFT JOIN resolved r USING (doc_id) GROUP BY d.doc_id")
+def s6_facts(spark: SparkSession, sf: str) -> DataFrame:
+    found = tables.facts_of(corpus.pages(spark, sf).select("doc_id").distinct(), facts.extract_facts(chunk_rows(spark, sf)))
+    named = F.when(F.col("value").isNotNull(), F.struct("fact_name", F.concat_ws("=", "fact_name", "value").alias("shown")))
+    every = F.array_sort(F.array_compact(F.collect_list(named)))
+    return found.groupBy("doc_id").agg(F.count("value").alias("n_facts"), F.nullif(F.array_join(F.transform(every, lambda x: x["shown"]), ";"), F.lit("")).alias("facts"))
+
+
+def layout_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document as layout JSON of one page, parsed: a table on its page twice, on the next page of even documents, and without a place on a third."""
+    pages = docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("int").alias("n"), "text")
+    y = lambda i: i.cast("double") * 12
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("content"), F.array(F.lit(0.0), y(i), F.lit(99.0), y(i) + 10).alias("polygon")))
+    box = F.array(*map(F.lit, (1.0, 2.0, 3.0, 4.0)))
+    at = lambda page, polygon: F.struct(page.alias("pageNumber"), polygon.alias("polygon"))
+    regions = F.array(at(F.lit(1), box), at(F.lit(1), box), at(F.when(F.col("n") % 2 == 0, 2).otherwise(1), box), at(F.lit(3), F.array().cast("array<double>")))
+    cell = F.array(F.struct(F.lit(0).alias("rowIndex"), F.lit(0).alias("columnIndex"), F.col("doc_id").alias("content")))
+    shape = "struct<pages:array<struct<pageNumber:int,lines:array<struct<content:string,polygon:array<double>>>>>,tables:array<struct<cells:array<struct<rowIndex:int,columnIndex:int,content:string>>,boundingRegions:array<struct<pageNumber:int,polygon:array<double>>>>>>"
+    text = F.to_json(F.struct(F.array(F.struct(F.lit(1).alias("pageNumber"), lines.alias("lines"))).alias("pages"), F.array(F.struct(cell.alias("cells"), regions.alias("boundingRegions"))).alias("tables")))
+    return pages.select("doc_id", F.from_json(text, shape).alias("j")).select("doc_id", "j.*")
+
+
+@query("s7_layout_json", f"SELECT doc_id::VARCHAR AS doc_id, 1 AS page_number, line_no::INTEGER AS line_no, md5(trim(raw, {sql.SPACE})) AS line_md5, 2 AS n_points FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)", plain=True)
+def s7_layout(spark: SparkSession, sf: str) -> DataFrame:
+    lines, _ = layout.layout_json(layout_rows(spark, sf))
+    return lines.select("doc_id", "page_number", "line_no", F.md5("line").alias("line_md5"), F.size("points").alias("n_points"))
+
+
+@query("l4_table_on_page", "SELECT doc_id::VARCHAR AS doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [1, 2] ELSE [1] END) AS page_number, doc_id::VARCHAR AS cell FROM documents", plain=True)
+def l4_tables(spark: SparkSession, sf: str) -> DataFrame:
+    _, found = layout.layout_json(layout_rows(spark, sf))
+    return found.select("doc_id", "page_number", F.col("cells")[0]["content"].alias("cell"))
+
+
 @query("s9_row_contract", "SELECT chunk_id, concat_ws(',', CASE WHEN heading_path IS NULL THEN 'heading_path: null' END, CASE WHEN section_id IS NULL THEN 'section_id: null' END, CASE WHEN chunk_type NOT IN ('narrative', 'heading', 'boilerplate') THEN 'chunk_type: value' END) AS violations FROM chunks")
 def s9_row_contract(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.violations(chunk_rows(spark, sf), ["chunk_id", "heading_path", "section_id"], {"chunk_type": ["narrative", "heading", "boilerplate"]}, ("embedding", 64))
@@ -250,7 +269,7 @@ def l2_outside(spark: SparkSession, sf: str) -> DataFrame:
     return layout.outside_tables(page_words(spark, sf), box).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_words"))
 
 
-@query("l3_cells_to_markdown", "SELECT o_orderkey, '| ' || string_agg(CASE WHEN l_linenumber % 2 = 1 THEN 'line ' || l_linenumber ELSE '' END || ' | ' || l_partkey, CASE WHEN false THEN '' ELSE ' |' || chr(10) || '| ' END ORDER BY l_linenumber) || ' |' AS body FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_orderkey < 20000 GROUP BY o_orderkey", plain=True)
+@query("l3_cells_to_markdown", "SELECT o_orderkey, '| ' || string_agg(CASE WHEN l_linenumber % 2 = 1 THEN 'line ' || l_linenumber ELSE '' END || ' | ' || l_partkey, CASE WHEN false THEN '' ELSE ' |' || chr(10) || '| ' END ORDER BY l_linenumber) || ' |' AS body FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey", plain=True)
 def l3_markdown(spark: SparkSession, sf: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row_index", F.row_number().over(search.Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1)
     first = lines.filter("l_linenumber % 2 = 1").select("l_orderkey", "row_index", F.lit(0).alias("column_index"), F.concat(F.lit(" line "), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("content"), F.lit(1).alias("seq"))
@@ -334,9 +353,9 @@ def c_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunks(text, spans, 512, 32, 64).select("doc_id", "page_number", "macro_id", F.col("child_id").cast("int"), "char_start", "char_end", "heading_path")
 
 
-@query("c5_chunk_type", "SELECT chunk_id, CASE WHEN text_content LIKE 'Note %' THEN 'heading' WHEN length(trim(text_content)) <= 120 AND upper(text_content) LIKE '%CONSOLIDATED FINANCIAL STATEMENTS%' THEN 'boilerplate' ELSE 'narrative' END AS kind FROM chunks WHERE page_id % 12 <> 11")
+@query("c5_chunk_type", f"SELECT chunk_id, {sql.KIND} AS kind FROM (SELECT chunk_id, trim(text_content, {sql.SPACE}) AS t FROM chunks)")
 def c5_type(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.finance_chunks(spark, sf).filter("page_id % 12 <> 11").select("chunk_id", chunking.chunk_type(F.col("text_content")).alias("kind"))
+    return corpus.finance_chunks(spark, sf).select("chunk_id", chunking.chunk_type(F.col("text_content")).alias("kind"))
 
 
 @query("c8_late_pooling", "SELECT label, round(avg(embedding[1]), 5) AS first, round(avg(embedding[64]), 5) AS last FROM embeddings GROUP BY label", plain=True)
@@ -345,9 +364,14 @@ def c8_pooling(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("label", F.round(F.col("vector")[0], 5).alias("first"), F.round(F.col("vector")[63], 5).alias("last"))
 
 
-@query("c9_hash_vectors")
+HASHED = """, tokens_ AS (SELECT chunk_id, md5(unnest(list_filter(string_split_regex(lower(text_content), '\\s+'), lambda t: t <> ''))) AS h FROM chunks),
+slots AS (SELECT chunk_id, CAST('0x' || h[1:5] AS INTEGER) % 16 AS at, sum(CASE WHEN h[6] IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE -1 END) AS x FROM tokens_ GROUP BY ALL)
+"""
+
+
+@query("c9_hash_vectors", HASHED + "SELECT c.chunk_id, string_agg(coalesce(x, 0)::INTEGER, ',' ORDER BY i) AS vector FROM chunks c CROSS JOIN range(16) r(i) LEFT JOIN slots s ON s.chunk_id = c.chunk_id AND s.at = i GROUP BY c.chunk_id")
 def c9_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.whole_chunks(spark, sf).select("chunk_id", joined(search.hash_vector(F.col("text_content"), 16)).alias("vector"))
+    return search.hash_vectors(corpus.finance_chunks(spark, sf), dim=16).select("chunk_id", joined(F.col("vector").cast("array<int>")).alias("vector"))
 
 
 # 2.5 retrieval
@@ -403,12 +427,18 @@ def r7(spark: SparkSession, sf: str) -> DataFrame:
     return search.bm25_search(search.bm25_index(corpus.finance_chunks(spark, sf)), corpus.finance_queries(spark, sf), 3).select("query_id", "chunk_id", "score", "rank")
 
 
+@query("s15_saved_index", "SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM lexical WHERE rank <= 3")
+def s15(spark: SparkSession, sf: str) -> DataFrame:
+    """The index written, read back and searched."""
+    at = tables.scratch(spark, "index")
+    tables.save_index(search.bm25_index(corpus.finance_chunks(spark, sf)), at)
+    return search.bm25_search(tables.load_index(spark, at), corpus.finance_queries(spark, sf), 3).select("query_id", "chunk_id", "score", "rank")
+
+
 PHRASED = ", pasked AS (SELECT query_id, doc_id, term, count(*) AS times FROM (SELECT query_id, doc_id, unnest(['significant', 'legal', 'proceedings', 'contingent', 'liabilities', 'note', '21']) AS term FROM queries) GROUP BY ALL), pscored AS (SELECT query_id, p.chunk_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n_terms / avg_len))), 6) AS score FROM pasked a JOIN postings p USING (doc_id, term) JOIN idf USING (doc_id, term) JOIN sizes s ON s.doc_id = a.doc_id AND s.chunk_id = p.chunk_id JOIN docs_ d ON d.doc_id = a.doc_id GROUP BY ALL), pranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pscored WHERE score > 0)\n"
 
 
 def _anchor_phrases(spark: SparkSession, sf: str, k: int) -> DataFrame:
-    from plumbline.functions import rules
-
     queries = corpus.finance_queries(spark, sf).withColumn("phrases", F.array(*map(F.lit, rules.LITIGATION_ANCHORS)))
     return search.best_phrase_anchor(search.bm25_index(corpus.finance_chunks(spark, sf)), queries, k).select("query_id", "chunk_id", "score", "rank")
 
@@ -450,50 +480,37 @@ def r13(spark: SparkSession, sf: str) -> DataFrame:
 def r14(spark: SparkSession, sf: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     queries = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return search.approximate_search(vectors, queries, others=True)
+    return search.ivf_search(vectors, queries, others=True)
 
 
 # 2.6 routing and plans
 
 
-@query("q1_q2_q3_classify", """SELECT query_id, CASE query_id % 16 WHEN 0 THEN (1 + query_id % 40)::VARCHAR WHEN 7 THEN array_to_string(range(2 + query_id % 5, 5 + query_id % 3), ',') WHEN 9 THEN '500' ELSE '' END AS pages,
-    CASE WHEN query_id % 16 IN (0, 9) OR query_id % 16 = 7 AND 2 + query_id % 5 <= 4 + query_id % 3 THEN 'location' WHEN query_id % 16 IN (1, 2, 4, 5, 6, 10, 12, 13) THEN 'coverage' ELSE 'semantic' END AS intent,
-    CASE query_id % 16 WHEN 1 THEN 'list' WHEN 2 THEN 'list' WHEN 4 THEN 'numeric_list' WHEN 5 THEN 'pointer' WHEN 6 THEN 'attribute' WHEN 10 THEN 'list' WHEN 12 THEN 'list' WHEN 13 THEN 'attribute' END AS coverage_type,
-    CASE WHEN query_id % 16 = 2 THEN 'closed' END AS status_filter FROM queries""")
+@query("q1_q2_q3_classify", "SELECT query_id, array_to_string(pages, ',') AS pages, intent, coverage_type, status_filter FROM routed")
 def q1(spark: SparkSession, sf: str) -> DataFrame:
     return intents.classify(corpus.finance_queries(spark, sf)).select("query_id", joined("pages").alias("pages"), "intent", "coverage_type", "status_filter")
 
 
-@query("q4_q5_q6_targets", "SELECT query_id, CASE WHEN query_id % 16 IN (1, 5) THEN 'significant_events' WHEN query_id % 16 IN (4, 12) THEN 'items_of_note' WHEN query_id % 16 = 13 THEN 'note_21' END AS target, query_id % 16 IN (2, 10, 13) AS litigation, query || ' significant legal proceedings contingent liabilities Note 21 litigation' AS expanded, query_id % 16 IN (12, 13) AS explicit_note, query_id % 16 IN (1, 4, 5) AS filters_tables FROM queries")
+@query("q4_q5_q6_targets", "SELECT query_id, target, litigation, expanded, explicit_note, filters_tables FROM routed")
 def q4(spark: SparkSession, sf: str) -> DataFrame:
     q = F.col("query")
     return corpus.finance_queries(spark, sf).select("query_id", intents.section_target(q)["label"].alias("target"), intents.is_litigation(q).alias("litigation"), intents.expanded(q).alias("expanded"), intents.explicit_note(q).alias("explicit_note"), intents.filters_tables(q).alias("filters_tables"))
 
 
-@query("q8_table_filter", "SELECT query_id, chunk_id FROM queries JOIN chunks USING (doc_id) WHERE NOT (query_id % 16 IN (1, 4, 5) AND page_id % 12 IN (3, 9))")
+@query("q8_table_filter", "SELECT query_id, chunk_id FROM routed JOIN chunks USING (doc_id) WHERE NOT (filters_tables AND (chunk_type = 'table' OR text_content LIKE '[TABLE]%'))")
 def q8(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.filter_tables(corpus.finance_queries(spark, sf).join(corpus.finance_chunks(spark, sf), "doc_id")).select("query_id", "chunk_id")
 
 
-LOW = "lower(concat_ws(' ', heading_path, section_id, text_content))"
-IMPACTS = "len(regexp_extract_all(text_content, '(?i)(?:\\$|C\\$|US\\$)\\s*[\\d,.]+|[\\d,.]+\\s*(?:million|billion)'))"
-
-
-@query("q10_q11_text_flags", f"""SELECT chunk_id, {IMPACTS}::INTEGER AS impacts, contains(l, 'items of note') OR contains(l, 'specified items') OR contains(l, 'reconciliation') AND contains(l, 'net income') OR contains(l, 'impact on reported net income') AS reconciliation_signal,
-    contains(l, 'glossary') OR contains(l, 'definition') OR contains(l, 'refer to') OR contains(l, 'see section') OR contains(l, 'see the section') OR contains(l, 'see note') OR contains(l, 'see the note') OR contains(l, 'cross-reference') AS front_matter,
-    contains(l, 'aggregate') OR contains(l, 'net impact') AS aggregate_phrase,
-    (contains(l, 'for additional information') OR contains(l, 'are adjusted to exclude') OR contains(l, 'see the reconciliation') OR contains(l, 'see reconciliation') OR contains(l, 'reconciliation of reported results to adjusted')) AND NOT ({IMPACTS} >= 2 OR contains(l, 'aggregate') OR contains(l, 'net impact')) AS reference_only FROM (SELECT *, {LOW} AS l FROM chunks)""")
+@query("q10_q11_text_flags", "SELECT chunk_id, impacts, signal AS reconciliation_signal, front_matter, aggregate_phrase, reference_only, adjusted_definition FROM flagged")
 def q10(spark: SparkSession, sf: str) -> DataFrame:
     flags = intents.text_flags(F.lower(F.concat_ws(" ", "heading_path", "section_id", "text_content")), F.col("text_content"))
-    names = ("reconciliation_signal", "front_matter", "aggregate_phrase", "reference_only")
+    names = ("reconciliation_signal", "front_matter", "aggregate_phrase", "reference_only", "adjusted_definition")
     return corpus.finance_chunks(spark, sf).select("chunk_id", intents.impact_count(F.col("text_content")).alias("impacts"), *(flags[n].alias(n) for n in names))
 
 
-@query("q9_items_of_note_anchor", f"""SELECT query_id, arg_min(chunk_id, page_number) AS chunk_id FROM (SELECT q.query_id, c.*, {LOW} AS l FROM queries q JOIN chunks c USING (doc_id) WHERE q.query_id % 16 = 4
-    AND (contains(lower(concat_ws(' ', heading_path, text_content)), 'items of note') OR contains(lower(concat_ws(' ', heading_path, text_content)), 'fdic special assessment')))
-    WHERE chunk_type IN ('narrative', 'heading') AND text_content NOT LIKE '[TABLE]%' AND page_id % 12 IN (0, 5, 6, 11, 4, 10, 8)
-    AND NOT (contains(l, 'glossary') OR contains(l, 'definition') OR contains(l, 'refer to') OR contains(l, 'see note') OR contains(l, 'cross-reference')) AND contains(l, 'items of note')
-    AND ({IMPACTS} >= 2 OR contains(l, 'aggregate')) AND NOT contains(l, 'consolidated financial statements') AND NOT regexp_matches(l, '\\bnote\\s+\\d+\\b') GROUP BY query_id""")
+@query("q9_items_of_note_anchor", f"""SELECT query_id, first(chunk_id ORDER BY page_number, macro_id, child_id, chunk_id) AS chunk_id FROM routed q JOIN flagged c USING (doc_id) WHERE q.coverage_type = 'numeric_list'
+    AND {sql.any_phrase("lower(concat_ws(' ', heading_path, text_content))", ["Items of note", "FDIC special assessment"])} AND len({sql.reasons("true", "NOT q.explicit_note")}) = 0 GROUP BY query_id""")
 def q9(spark: SparkSession, sf: str) -> DataFrame:
     queries = intents.classify(corpus.finance_queries(spark, sf)).filter("coverage_type = 'numeric_list'")
     phrases = F.array(F.lit("Items of note"), F.lit("FDIC special assessment"))
@@ -501,14 +518,14 @@ def q9(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.items_of_note_anchor(rows.join(queries.select("query_id", "query", "coverage_type"), "query_id"))[0].select("query_id", "chunk_id")
 
 
-@query("q12_q13_plans")
+@query("q12_q13_plans", sql.PLANS + "SELECT query_id, rank::INTEGER AS rank, method, chunk_id FROM planned")
 def q13(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.run_plans(whole_rows(spark, sf).persist(), whole_query_rows(spark, sf).persist())[0].select("query_id", "rank", "method", "chunk_id")
+    return retrieval.run_plans(chunk_rows(spark, sf), query_rows(spark, sf))[0].select("query_id", "rank", "method", "chunk_id")
 
 
-@query("q13_plan_status")
+@query("q13_plan_status", sql.PLANS + sql.STATUS)
 def q13_status(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.run_plans(whole_rows(spark, sf).persist(), whole_query_rows(spark, sf).persist())[1].select("query_id", "intent", "coverage_type", "anchor_id", "n_chunks", "status", "decisions")
+    return retrieval.run_plans(chunk_rows(spark, sf), query_rows(spark, sf))[1].select("query_id", "intent", "coverage_type", "anchor_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "status", "decisions")
 
 
 @query("q14_debug_record", "SELECT query_id, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages, coalesce(array_to_string(list_sort(list_distinct(list(heading_path) FILTER (heading_path IS NOT NULL))), ','), '') AS headings FROM (SELECT l.query_id, c.* FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3) GROUP BY query_id")
@@ -524,28 +541,14 @@ def q15(spark: SparkSession, sf: str) -> DataFrame:
 # 2.7 facts
 
 
-FACTS = """, found AS (SELECT doc_id, chunk_id, page_number, fact_name, value FROM (
-    SELECT doc_id, chunk_id, page_number, unnest(['default_currency', 'reporting_period', 'accounting_framework', 'units', 'consolidation_basis']) AS fact_name,
-    unnest([CASE WHEN page_id % 12 = 4 THEN 'Canadian dollars' END, CASE WHEN page_id % 12 = 4 THEN 'October 31, 20' || (10 + page_id % 15) END, CASE page_id % 12 WHEN 4 THEN 'IFRS' WHEN 10 THEN 'GAAP' WHEN 1 THEN 'GAAP' WHEN 11 THEN NULL END,
-        CASE WHEN page_id % 12 = 10 THEN 'millions' END, CASE WHEN page_id % 12 = 10 THEN 'consolidated' END]) AS value FROM chunks WHERE chunk_type <> 'table' AND page_id % 12 <> 11) WHERE value IS NOT NULL),
-resolved AS (SELECT d.doc_id, n.fact_name, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS value, CASE count(DISTINCT value) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status,
-    CASE WHEN count(DISTINCT value) = 1 THEN arg_min(chunk_id, page_number) END AS source_chunk_id FROM (SELECT DISTINCT doc_id FROM chunks) d
-    CROSS JOIN (SELECT unnest(['default_currency', 'reporting_period', 'accounting_framework', 'units', 'consolidation_basis']) AS fact_name) n LEFT JOIN found USING (doc_id, fact_name) GROUP BY ALL)
-"""
-
-
-def worded(spark: SparkSession, sf: str) -> DataFrame:
-    return chunk_rows(spark, sf).filter("page_id % 12 <> 11")
-
-
-@query("f1_f6_facts", FACTS + "SELECT doc_id, fact_name, value, status, source_chunk_id FROM resolved")
+@query("f1_f6_facts", "SELECT doc_id, fact_name, value, status, source_chunk_id FROM resolved")
 def f6(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.extract_facts(worded(spark, sf)).select("doc_id", "fact_name", "value", "status", "source_chunk_id")
+    return facts.extract_facts(chunk_rows(spark, sf)).select("doc_id", "fact_name", "value", "status", "source_chunk_id")
 
 
-@query("s5_upsert_facts", FACTS + "SELECT doc_id, fact_name, CASE WHEN status = 'found' THEN 'new' ELSE 'old' END AS version FROM resolved")
+@query("s5_upsert_facts", "SELECT doc_id, fact_name, CASE WHEN status = 'found' THEN 'new' ELSE 'old' END AS version FROM resolved")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
-    rows = facts.extract_facts(worded(spark, sf)).select("doc_id", "fact_name", "status")
+    rows = facts.extract_facts(chunk_rows(spark, sf)).select("doc_id", "fact_name", "status")
     return tables.upsert(rows.withColumn("version", F.lit("old")), rows.filter("status = 'found'").withColumn("version", F.lit("new")), ["doc_id", "fact_name"]).select("doc_id", "fact_name", "version")
 
 
@@ -554,15 +557,15 @@ def f7(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", facts.excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("f8_f9_cached_facts", FACTS + "SELECT q.query_id, q.fact_name, CASE WHEN r.status = 'found' THEN q.fact_name || ': ' || r.value || ' [C1]' END AS answer FROM (SELECT *, CASE query_id % 16 WHEN 11 THEN 'default_currency' WHEN 14 THEN 'reporting_period' END AS fact_name FROM queries WHERE query_id % 16 IN (11, 14)) q LEFT JOIN resolved r USING (doc_id, fact_name)")
+@query("f8_f9_cached_facts", f"SELECT q.query_id, q.fact_name, CASE WHEN r.status = 'found' AND r.source_chunk_id IS NOT NULL THEN q.fact_name || ': ' || r.value || ' [C1]' END AS answer FROM (SELECT * FROM (SELECT *, {sql.FACT_NAME} AS fact_name FROM queries) WHERE fact_name IS NOT NULL) q LEFT JOIN resolved r USING (doc_id, fact_name)")
 def f9(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.cached_answers(corpus.finance_queries(spark, sf), facts.extract_facts(worded(spark, sf))).select("query_id", "fact_name", "answer")
+    return facts.cached_answers(corpus.finance_queries(spark, sf), facts.extract_facts(chunk_rows(spark, sf))).select("query_id", "fact_name", "answer")
 
 
-@query("f10_f11_fallback")
+@query("f10_f11_fallback", sql.FALLBACK)
 def f11(spark: SparkSession, sf: str) -> DataFrame:
-    queries = whole_query_rows(spark, sf).withColumn("fact_name", facts.fact_name(F.col("query"))).filter("fact_name is not null")
-    return facts.fallback_answers(queries.select("query_id", "fact_name"), facts.fallback_candidates(whole_rows(spark, sf), queries.select("query_id", "doc_id", "query_embedding")))
+    queries = query_rows(spark, sf).withColumn("fact_name", facts.fact_name(F.col("query"))).filter("fact_name is not null")
+    return facts.fallback_answers(queries.select("query_id", "fact_name"), facts.fallback_candidates(chunk_rows(spark, sf), queries.select("query_id", "doc_id", "query_embedding")))
 
 
 # 2.8 and 2.9 evidence
@@ -575,8 +578,8 @@ def results(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
 
 
 def per_page(spark: SparkSession, sf: str) -> DataFrame:
-    """Each worded chunk as the only result of a query of its own."""
-    return worded(spark, sf).drop("embedding").withColumn("query_id", F.col("page_id")).withColumn("rank", F.lit(1))
+    """Each chunk as the only result of a query of its own."""
+    return chunk_rows(spark, sf).drop("embedding").withColumn("query_id", F.col("page_id")).withColumn("rank", F.lit(1))
 
 
 @query("y1_normalise", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(text, '([0-9A-Za-z_])-\\s*\\n\\s*([0-9A-Za-z_])', '\\1\\2', 'g'), '\\s+', ' ', 'g'))) AS text_md5 FROM documents", plain=True)
@@ -584,17 +587,14 @@ def y1(spark: SparkSession, sf: str) -> DataFrame:
     return docs(spark, sf).select("doc_id", F.md5(textnorm.join_hyphens(F.col("text"))).alias("text_md5"))
 
 
-@query("y2_y5_list_items")
+@query("y2_y5_list_items", ", each AS (SELECT page_id AS query_id, 1 AS rank, chunk_id, text_content FROM chunks), " + sql.items("each") + "SELECT query_id, item_no::INTEGER AS item_no, raw, display FROM items")
 def y5(spark: SparkSession, sf: str) -> DataFrame:
-    rows = whole_rows(spark, sf).drop("embedding").withColumn("query_id", F.xxhash64("chunk_id")).withColumn("rank", F.lit(1))
-    return evidence.list_items(rows).select("query_id", "item_no", "display")
+    return evidence.list_items(per_page(spark, sf)).select("query_id", "item_no", "raw", "display")
 
 
-@query("y6_format_list")
+@query("y6_format_list", ", top AS (SELECT l.query_id, l.rank, c.chunk_id, text_content FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3), " + sql.items("top") + """SELECT query_id, 'Items found' || chr(10) || string_agg('- ' || display || ' | raw: ' || raw || ' (chunk_id=' || i.chunk_id || ', pages=' || page_number || ')', chr(10) ORDER BY item_no) AS answer FROM items i JOIN chunks c ON c.chunk_id = i.chunk_id GROUP BY query_id""")
 def y6(spark: SparkSession, sf: str) -> DataFrame:
-    rows = corpus.whole_chunks(spark, sf)
-    hits = search.bm25_search(search.bm25_index(rows), corpus.whole_queries(spark, sf), 3).select("query_id", "chunk_id", "rank")
-    return evidence.format_list(evidence.list_items(hits.join(rows, "chunk_id")))
+    return evidence.format_list(evidence.list_items(results(spark, sf)))
 
 
 @query("y7_searched_scope", "SELECT query_id, array_to_string(list_sort(list_distinct(list(coalesce(heading_path, section_id, 'unknown')))), ', ') AS sections, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3 GROUP BY query_id")
@@ -613,44 +613,49 @@ def y9(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.source_blocks(results(spark, sf))
 
 
-@query("y10_closed_matters", "SELECT page_id AS query_id, unnest(CASE page_id % 12 WHEN 5 THEN ['settled', 'discontinued'] ELSE ['closed'] END) AS how FROM chunks WHERE page_id % 12 IN (5, 6)")
+@query("y10_closed_matters", f"SELECT query_id, lower(regexp_extract(sentence, {sql.quoted(rules.CLOSED_WORDS)}, 1)) AS how FROM (SELECT page_id AS query_id, unnest(string_split(regexp_replace(text_content, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM chunks) WHERE regexp_matches(sentence, {sql.quoted(sql.bounded(rules.CLOSED_WORDS))})")
 def y10(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.closed_matters(per_page(spark, sf)).select("query_id", "how")
 
 
-@query("y11_amounts", "SELECT page_id AS query_id, 2::BIGINT AS n_items, (2 * (1 + page_id % 9) * 100)::DOUBLE AS total, (2 * (1 + page_id % 4) * 100)::DOUBLE AS stated, page_id % 9 = page_id % 4 AS adds_up FROM chunks WHERE page_id % 12 = 0")
+@query("y11_amounts", f"SELECT page_id AS query_id, len(parts)::BIGINT AS n_items, list_sum(parts)::DOUBLE AS total, stated::DOUBLE AS stated, list_sum(parts) = stated AS adds_up FROM (SELECT page_id, {sql.amounts()} FROM chunks) WHERE len(parts) > 0")
 def y11(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.amounts(per_page(spark, sf)).select("query_id", "n_items", F.col("total").cast("double").alias("total"), F.col("stated").cast("double").alias("stated"), "adds_up")
 
 
-@query("y12_v4_attribute_spans", "SELECT page_id AS query_id, 'nil to approximately $0.' || (1 + page_id % 9) || ' billion' AS span FROM chunks WHERE page_id % 12 = 6")
+@query("y12_v4_attribute_spans", f"SELECT page_id AS query_id, regexp_extract(lower(text_content), {sql.quoted(rules.NUMERIC_SPAN)}, 0) AS span FROM chunks WHERE regexp_extract(lower(text_content), {sql.quoted(rules.NUMERIC_SPAN)}, 0) <> ''")
 def y12(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.attribute_spans(per_page(spark, sf).filter("page_id % 12 = 6")).select("query_id", "span")
+    return evidence.attribute_spans(per_page(spark, sf)).select("query_id", "span")
 
 
-@query("y13_pointer", "SELECT query_id, 'See ' || CASE WHEN page_id % 12 = 8 THEN 'Note 21' WHEN page_id % 12 = 9 THEN 'Note 12' ELSE coalesce(heading_path, 'the cited section') END || ' [C1]' AS answer FROM (SELECT q.query_id, c.* FROM queries q JOIN chunks c ON c.doc_id = q.doc_id AND c.page_number = 1 + q.query_id % 7) WHERE page_id % 12 <> 11")
+@query("y13_pointer", "SELECT query_id, 'See ' || coalesce(nullif(regexp_extract(text_content, '(?i)Note \\d+', 0), ''), heading_path, 'the cited section') || ' [C1]' AS answer FROM (SELECT q.query_id, c.* FROM queries q JOIN chunks c ON c.doc_id = q.doc_id AND c.page_number = 1 + q.query_id % 7)")
 def y13(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.pointer_answers(anchors(spark, sf).filter("page_id % 12 <> 11")).select("query_id", "answer")
+    return evidence.pointer_answers(anchors(spark, sf)).select("query_id", "answer")
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """An answer for each worded chunk: its first words cited from it, or from the chunk before."""
+    """An answer for each chunk: its first words cited from it, or from the chunk before."""
     rows = per_page(spark, sf)
     words = F.array_join(F.slice(F.split(F.regexp_replace("text_content", "[^A-Za-z0-9 ]", ""), " +"), 1, 4), " ")
     cited = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("c-"), (F.col("page_id") - 1).cast("string"))).otherwise(F.col("chunk_id"))
     return rows.select("query_id", F.when(F.col("page_id") % 6 == 5, "no list here").otherwise(F.concat(F.lit("Items\n- "), words, F.lit(" | raw: x (chunk_id="), cited, F.lit(", pages=1)"))).alias("answer"))
 
 
-@query("v1_parse_items", "SELECT page_id AS query_id, 'c-' || CASE WHEN page_id % 4 = 0 THEN page_id - 1 ELSE page_id END AS chunk_id FROM chunks WHERE page_id % 12 <> 11 AND page_id % 6 <> 5")
+ANSWERED = f""", answered AS (SELECT page_id AS query_id, 'c-' || CASE WHEN page_id % 4 = 0 THEN page_id - 1 ELSE page_id END AS chunk_id, trim(array_to_string(string_split_regex(regexp_replace(text_content, '[^A-Za-z0-9 ]', '', 'g'), ' +')[1:4], ' ')) AS item FROM chunks WHERE page_id % 6 <> 5),
+judged AS (SELECT a.*, {PLAIN.format("item")} AS want, {PLAIN.format("coalesce(c.text_content, '')")} AS have FROM answered a LEFT JOIN chunks c USING (chunk_id)),
+missing AS (SELECT *, len(want) > 0 AND len(list_intersect(want, have)) >= 0.7 * len(want) AS ok, CASE WHEN len(want) = 0 THEN '<no tokens>' ELSE array_to_string(list_sort(list_filter(want, lambda x: NOT list_contains(have, x))), ', ') END AS gone FROM judged)
+"""
+
+
+@query("v1_parse_items", ANSWERED + "SELECT query_id, 1 AS item_no, item, chunk_id FROM answered")
 def v1(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.parse_items(answers(spark, sf)).select("query_id", "chunk_id")
+    return evidence.parse_items(answers(spark, sf)).select("query_id", "item_no", "item", "chunk_id")
 
 
-@query("v2_verify_items", f"""SELECT page_id AS query_id, CASE WHEN page_id % 6 = 5 THEN 'NO' WHEN len(list_intersect(want, have)) >= 0.7 * len(want) THEN 'YES' ELSE 'NO' END AS verdict FROM (SELECT c.page_id,
-    list_distinct(list_filter(string_split(lower(array_to_string(string_split_regex(regexp_replace(c.text_content, '[^A-Za-z0-9 ]', '', 'g'), ' +')[1:4], ' ')), ' '), lambda t: t <> '')) AS want, {PLAIN.format("coalesce(o.text_content, '')")} AS have
-    FROM chunks c LEFT JOIN chunks o ON o.chunk_id = 'c-' || CASE WHEN c.page_id % 4 = 0 THEN c.page_id - 1 ELSE c.page_id END WHERE c.page_id % 12 <> 11)""")
+@query("v2_verify_items", ANSWERED + """SELECT c.page_id AS query_id, CASE WHEN m.ok THEN 'YES' ELSE 'NO' END AS verdict, CASE WHEN m.ok IS NULL THEN 'Not found in retrieved evidence.' WHEN m.ok THEN 'All listed items meet normalized token coverage.' ELSE 'Missing tokens for ''' || item || ''': ' || gone END AS rationale
+    FROM chunks c LEFT JOIN missing m ON m.query_id = c.page_id""")
 def v2(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.verify_items(answers(spark, sf), corpus.finance_chunks(spark, sf)).select("query_id", "verdict")
+    return evidence.verify_items(answers(spark, sf), corpus.finance_chunks(spark, sf)).select("query_id", "verdict", "rationale")
 
 
 def cited_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -671,7 +676,7 @@ def v5(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.verify_attribute(cited_answers(spark, sf), results(spark, sf))
 
 
-@query("g1_g3_annotations", "SELECT page_id AS query_id, chunk_id, page_number AS page, (page_id % 50)::DOUBLE AS x, page_number::DOUBLE AS y, 10.0::DOUBLE AS width, 5.0::DOUBLE AS height, 1 AS annotation_no FROM chunks WHERE page_id % 12 <> 11")
+@query("g1_g3_annotations", "SELECT page_id AS query_id, chunk_id, page_number AS page, (page_id % 50)::DOUBLE AS x, page_number::DOUBLE AS y, 10.0::DOUBLE AS width, 5.0::DOUBLE AS height, 1 AS annotation_no FROM chunks")
 def g1(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.annotations(per_page(spark, sf)).drop("color")
 
@@ -681,12 +686,35 @@ def g4(spark: SparkSession, sf: str) -> DataFrame:
     return evidence.cited_chunk(cited_answers(spark, sf), results(spark, sf))
 
 
+# 2.10 streams
+
+
+def streamed(spark: SparkSession, sf: str, rows: DataFrame, ingest_rows) -> DataFrame:
+    """A table that a stream makes of rows, which are written first, in several files, and read one file a batch."""
+    source, table, state = (tables.scratch(spark, n) for n in ("source", "table", "state"))
+    rows.repartition(3).write.parquet(source)
+    ingest_rows(spark, source, rows.schema, table, state).awaitTermination()
+    return ingest.read_table(spark, table)
+
+
+@query("st1_ingest_pages", "SELECT doc_id, page_number, length(trim(text, E' \\t\\r\\n\\f\\x0b'))::INTEGER AS text_length, CASE WHEN length(trim(text, E' \\t\\r\\n\\f\\x0b')) < 50 OR page_id % 10 > 3 THEN 'di_required' ELSE 'native_only' END AS triage_decision FROM pages_of")
+def st1(spark: SparkSession, sf: str) -> DataFrame:
+    rows = corpus.pages(spark, sf).select("doc_id", "page_number", "text", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), ((F.col("page_id") % 10) / 10).alias("image_coverage"), F.lit(0.0).alias("layout_complexity"))
+    return streamed(spark, sf, union(rows, rows), ingest.ingest_pages).select("doc_id", "page_number", "text_length", "triage_decision")
+
+
+@query("st2_ingest_chunks", "SELECT doc_id, macro_id, child_id, chunk_id FROM chunks")
+def st2(spark: SparkSession, sf: str) -> DataFrame:
+    rows = corpus.finance_chunks(spark, sf)
+    return streamed(spark, sf, union(rows, rows), ingest.ingest_chunks).select("doc_id", "macro_id", "child_id", "chunk_id")
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Pages to chunks with lineage, a BM25 index over them, and the best three chunks of each benchmark text."""
     lines = layout.page_lines(corpus.pages(spark, sf))
-    spans = layout.spans(lines)
-    rows = chunking.chunks(layout.page_text(spans), spans, 512, 32, 64).withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id")).persist()
-    corpus.tables(spark, sf, "benchmark")
-    asked = spark.sql("SELECT CAST(item_id AS BIGINT) AS query_id, concat('src', CAST(item_id % 20 AS STRING)) AS doc_id, text AS query FROM benchmark")
+    spans = layout.spans(lines, layout.table_islands(lines))
+    rows = chunking.chunks(layout.page_text(spans.filter("not is_table")), spans, 512, 32, 64).withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id"))
+    rows = tables.written(rows, "chunks")
+    asked = corpus.finance_queries(spark, sf).join(spark.table("benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text"), "query_id").select("query_id", "doc_id", F.col("text").alias("query"))
     hits = search.bm25_search(search.bm25_index(rows), asked, 3)
     return hits.join(rows.drop("doc_id"), "chunk_id").select("query_id", "rank", "score", "chunk_id", "heading_path", "page_number", "char_start", "char_end")

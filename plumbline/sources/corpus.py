@@ -1,7 +1,8 @@
 """Views of the test tables in the shape of the data model. The SQL is portable, so checks can use it too.
 
-`corpus_pages`: documents as pages of their source. `finance_chunks`, `finance_queries`: rows of
-`documents` and `benchmark` worded with the vocabulary that the rule tables react to.
+`pages`: documents as pages of documents of their source, at most BLOCK pages each. `finance_chunks`,
+`finance_queries`: whole rows of `documents` and `benchmark`, most of them after a sentence with the
+vocabulary that the rule tables react to.
 """
 
 from __future__ import annotations
@@ -11,16 +12,20 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import chunking, layout
 
-PAGES = "SELECT source AS doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INT) AS page_number, text, doc_id AS page_id FROM documents"
+#: Documents of a source are cut by id, so that no window over a document grows with the table.
+BLOCK = 4096
+_BLOCK_NO = f"CAST(floor(doc_id / {BLOCK}) AS BIGINT)"
+PAGES = f"""SELECT concat(source, '.', CAST({_BLOCK_NO} AS STRING)) AS doc_id,
+    CAST(row_number() OVER (PARTITION BY source, {_BLOCK_NO} ORDER BY doc_id) AS INT) AS page_number, text, doc_id AS page_id FROM documents"""
 
 _AMOUNT = "CAST(1 + page_id % 9 AS STRING)"
 CHUNKS = f"""
 SELECT doc_id, concat('c-', CAST(page_id AS STRING)) AS chunk_id, page_number, page_id,
     CAST(page_number - 1 AS INT) AS macro_id, CAST(page_id % 3 AS INT) AS child_id,
     CASE WHEN page_id % 12 IN (3, 9) THEN 'table' WHEN page_id % 12 = 8 THEN 'heading' ELSE 'narrative' END AS chunk_type,
-    CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'report/Note 21/Significant legal proceedings' WHEN page_id % 3 = 1 THEN 'report/Items of note' ELSE 'report/Significant events' END AS heading_path,
+    CASE WHEN page_id % 5 = 0 THEN NULL WHEN page_id % 12 = 4 THEN 'report/Basis of presentation' WHEN page_id % 3 = 0 THEN 'report/Note 21/Significant legal proceedings' WHEN page_id % 3 = 1 THEN 'report/Items of note' ELSE 'report/Significant events' END AS heading_path,
     CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 3 = 0 THEN 'Significant legal proceedings' WHEN page_id % 3 = 1 THEN 'Items of note' ELSE 'Significant events' END AS section_id,
-    CASE CAST(page_id % 12 AS INT)
+    concat(CASE CAST(page_id % 12 AS INT)
         WHEN 0 THEN concat('Items of note: 1) FDIC special assessment ($0.', {_AMOUNT}, ' billion after tax) 2) Acquisition-related intangibles ($0.', {_AMOUNT}, ' billion after tax). Aggregate impact $0.', CAST(2 * (1 + page_id % 4) AS STRING), ' billion.')
         WHEN 1 THEN concat('Adjusted measures are non-GAAP measures. Common shareholders'' equity divided by assets, ratio ', {_AMOUNT}, '%.')
         WHEN 2 THEN 'Items of note. See the Glossary for definitions and cross-reference.'
@@ -32,12 +37,12 @@ SELECT doc_id, concat('c-', CAST(page_id AS STRING)) AS chunk_id, page_number, p
         WHEN 8 THEN 'Note 21 Significant legal proceedings'
         WHEN 9 THEN '[TABLE] Note 12 Derivative instruments'
         WHEN 10 THEN concat('All amounts are in U.S. millions. Consolidated GAAP statements, page ', CAST(page_number AS STRING), '.')
-        ELSE substring(text, 1, 300) END AS text_content
+        ELSE '' END, CASE WHEN page_id % 12 = 11 THEN '' ELSE chr(10) END, text) AS text_content
 FROM pages"""
 
 QUERIES = """
-SELECT CAST(item_id AS BIGINT) AS query_id, concat('src', CAST(item_id % 20 AS STRING)) AS doc_id,
-    CASE CAST(item_id % 16 AS INT)
+SELECT CAST(item_id AS BIGINT) AS query_id, concat('src', CAST(item_id % 20 AS STRING), '.', CAST(item_id % (SELECT 1 + CAST(floor(max(doc_id) / 4096) AS BIGINT) FROM documents) AS STRING)) AS doc_id,
+    concat(CASE CAST(item_id % 16 AS INT)
         WHEN 0 THEN concat('See page ', CAST(1 + item_id % 40 AS STRING), ' for details')
         WHEN 1 THEN 'list all significant events'
         WHEN 2 THEN 'Which matters are explicitly closed and what closed them'
@@ -53,14 +58,10 @@ SELECT CAST(item_id AS BIGINT) AS query_id, concat('src', CAST(item_id % 20 AS S
         WHEN 12 THEN 'Note 12 derivative instruments, items of note'
         WHEN 13 THEN 'every legal proceedings exposure in note 21'
         WHEN 14 THEN 'Which units and which reporting period?'
-        ELSE substring(text, 1, 60) END AS query
+        ELSE '' END, CASE WHEN item_id % 16 = 15 THEN '' ELSE ' ' END, text) AS query
 FROM benchmark"""
 
 
-WHOLE_CHUNKS = CHUNKS.replace("AS text_content\nFROM pages", "AS worded, text\nFROM pages_of_sources")
-WHOLE_QUERIES = QUERIES.replace("AS query\nFROM", "AS worded, text\nFROM")
-
-
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
@@ -77,23 +78,14 @@ def finance_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def finance_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables(spark, sf_dir, "benchmark")
+    tables(spark, sf_dir, "benchmark", "documents")
     return spark.sql(QUERIES)
 
 
 def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of whole documents, each with its worded sentence after its text."""
-    pages(spark, sf_dir).createOrReplaceTempView("pages_of_sources")
-    text = F.when(F.col("page_id") % 12 == 11, F.col("text")).otherwise(F.concat_ws("\n", "text", "worded"))
-    rows = spark.sql(WHOLE_CHUNKS).select("doc_id", "page_number", "page_id", text.alias("text"))
+    """The rows of finance_chunks as pages, cut into chunks."""
+    rows = finance_chunks(spark, sf_dir).select("doc_id", "page_number", "page_id", F.col("text_content").alias("text"))
     lines = layout.page_lines(rows)
     spans = layout.spans(lines, layout.table_islands(lines))
     found = chunking.chunks(layout.page_text(spans.filter("not is_table")), spans, 512, 32, 64)
     return found.withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id")).join(rows.select("doc_id", "page_number", "page_id"), ["doc_id", "page_number"])
-
-
-def whole_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of `benchmark`, each with its worded question after it."""
-    tables(spark, sf_dir, "benchmark")
-    text = F.when(F.col("query_id") % 16 == 15, F.col("text")).otherwise(F.concat_ws(" ", "text", "worded"))
-    return spark.sql(WHOLE_QUERIES).select("query_id", "doc_id", text.alias("query"))

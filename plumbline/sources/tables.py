@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +25,23 @@ CHUNKS = f"chunk_id string, doc_id string, page_numbers array<int>, macro_id int
 FACTS = f"doc_id string, fact_name string, value string, status string, confidence double, source_chunk_id string, page_numbers array<int>, evidence_excerpt string, {POLYGONS}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, or, on one machine without it, below /tmp."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read again: its plan ends here, and a lost executor costs no stage before it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def doc_uuid(sha: Column) -> Column:
     """UUID version 5 of a content digest in the URL namespace."""
     h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(sha, "UTF-8")))

@@ -1,4 +1,8 @@
-"""Incremental ingest: micro-batches of pages and chunks into keyed tables, safe to replay."""
+"""Incremental ingest: micro-batches of pages and chunks into keyed tables, safe to replay.
+
+A table is folders v=<batch>/bucket=<n>. A batch writes the buckets of its documents only, whole and
+under its own number, so a replay writes the same folders again; a bucket's newest folder holds it.
+"""
 
 from __future__ import annotations
 
@@ -10,35 +14,42 @@ from plumbline.functions.frames import union
 from plumbline.operators import triage
 from plumbline.sources import tables
 
+BUCKETS = 64
+
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+def _names(spark: SparkSession, path: str) -> list[str]:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
 
 
-def _latest(spark: SparkSession, path: str, before: int | None = None) -> str | None:
-    """The newest complete version under a table's folder, of those before a batch."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(fs_path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(fs_path)]
-    done = sorted(n for n in names if n.startswith("v=") and (before is None or int(n[2:]) < before) and _exists(spark, f"{path}/{n}/_SUCCESS"))
-    return f"{path}/{done[-1]}" if done else None
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket, of complete versions (before a batch)."""
+    found: dict[int, str] = {}
+    for version in sorted(n for n in _names(spark, path) if n.startswith("v=") and (before is None or int(n[2:]) < before)):
+        names = _names(spark, f"{path}/{version}")
+        if "_SUCCESS" in names:
+            found |= {int(n[7:]): f"{path}/{version}/{n}" for n in names if n.startswith("bucket=")}
+    return found
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(_latest(spark, path))
+    return spark.read.parquet(*_newest(spark, path).values())
 
 
 def _merge(path: str, merged):
-    """A foreachBatch function: the table after a batch is a new version, named by the batch; a replay writes the same one."""
+    """A foreachBatch function that merges a batch into the buckets of its documents."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = _latest(spark, path, batch_id)
-        old = spark.read.parquet(current) if current else batch.limit(0)
-        merged(old, batch).write.mode("overwrite").parquet(f"{path}/v={batch_id:012d}")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")
+        batch = batch.persist()
+        touched = [r.bucket for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS numbers at most
+        newest = _newest(spark, path, batch_id)
+        folders = [newest[b] for b in touched if b in newest]
+        old = spark.read.schema(batch.schema).parquet(*folders) if folders else batch.limit(0)
+        merged(old, batch).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id:012d}")
+        batch.unpersist()
 
     return write
 
