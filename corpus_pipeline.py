@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. All but the
 last return the columns of `documents`. Its rows can't be given by SQL (the first two stages fit models,
-the last depends on how rows lie in tasks), so each stage is tested against a plain version.
+the last depends on how rows lie in tasks); tests hold the near-copy, repeat and packing stages against
+plain versions, and the models against plain scoring (tests/llm).
+
+Rows without a text count as empty: the base rules drop them. Rows without an id are kept or dropped by
+their text like any other. Repeated rows are judged alike in the first two stages; the third keeps one of
+them. Columns besides the text, whatever their names, go with their rows; the fourth stage sets n_chars
+anew. An empty table gives no rows.
 """
 
 from __future__ import annotations
