@@ -10,7 +10,8 @@ text exactly. The loss mask covers the text between `<s>` and `</s>`.
 Turns are formatted where they lie; only then are rows brought together by conversation and sorted. A
 conversation of any length is read in a stream with constant memory. Order within a conversation:
 turn, role, text (nulls first); repeated rows are repeated turns. Null role or text is empty; rows with
-a null conversation id form one conversation.
+a null conversation id form one conversation. Columns besides those named are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import bpe_stream, chat_format, jaccard_join, packing, quality_classifier, quality_rules, suffix_dedup, syncmers, token_counts, warc_audit
@@ -22,6 +22,27 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_turns(chat_format.as_parts(rows)))
 
 
+def chat_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of `conversations`, user turns with an image, every third turn of theirs with audio, every fourth with a document."""
+    rows = chat_format.as_parts(table(spark, sf_dir, "conversations"))
+    user, n, turn = F.col("role") == "user", F.size("parts"), F.col("turn")
+    ref = lambda kind: F.concat(F.lit(f"{kind}/"), F.col("conv_id").cast("string"), F.lit("/"), turn.cast("string"))
+
+    def part(kind: str, **fields) -> Column:
+        empty = {"text": "string", "ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+        return F.struct(F.lit(kind).alias("kind"), *((fields[k] if k in fields else F.lit(None)).cast(t).alias(k) for k, t in empty.items()))
+
+    image = part("image", ref=ref("image"), width=F.lit(28) + turn, height=F.lit(14))
+    audio = part("audio", ref=ref("audio"), seconds=turn + F.lit(0.5))
+    document = part("document", ref=ref("document"), pages=turn)
+    none = F.slice("parts", n + 1, 1)
+    media = F.concat(F.when(user, F.array(image)).otherwise(none), F.when(user & (turn % 3 == 0), F.array(audio)).otherwise(none), F.when(user & (turn % 4 == 2), F.array(document)).otherwise(none))
+    turns = chat_format.format_turns(rows.withColumn("parts", F.concat(media, "parts")))
+    kinds = F.array_join(F.transform("attachments", lambda a: a["kind"]), ",")
+    refs = F.array_join(F.transform("attachments", lambda a: a["ref"]), ",")
+    return turns.select("conv_id", "turn", F.size("attachments").alias("n_attachments"), kinds.alias("kinds"), refs.alias("refs"), "expanded_tokens", F.size(F.regexp_extract_all("segment", F.lit("<(image|audio|document)>"), F.lit(0))).alias("placeholders"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -59,8 +80,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_jaccard_join, op4_syncmers, op5_packing, op6_quality_classifier, op7_bpe, op8_suffix_dedup, op9_warc_audit, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op3_jaccard_join, op4_syncmers, op5_packing, op6_quality_classifier, op7_bpe, op8_suffix_dedup, op9_warc_audit, op10_token_counts, chat_content_parts)}
 ORACLES: dict[str, str] = {
+    "chat_content_parts": """
+        SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, len(kinds)::INTEGER AS n_attachments, array_to_string(kinds, ',') AS kinds, array_to_string([k || '/' || conv_id || '/' || turn FOR k IN kinds], ',') AS refs,
+               (CASE WHEN list_contains(kinds, 'image') THEN (28 + turn + 13) // 14 ELSE 0 END + CASE WHEN list_contains(kinds, 'audio') THEN ceil((turn + 0.5) * 25)::BIGINT ELSE 0 END + CASE WHEN list_contains(kinds, 'document') THEN greatest(turn, 1) * 512 ELSE 0 END)::BIGINT AS expanded_tokens,
+               len(kinds)::INTEGER AS placeholders
+        FROM (SELECT conv_id, turn, list_filter([CASE WHEN role = 'user' THEN 'image' END, CASE WHEN role = 'user' AND turn % 3 = 0 THEN 'audio' END, CASE WHEN role = 'user' AND turn % 4 = 2 THEN 'document' END], lambda k: k IS NOT NULL) AS kinds FROM conversations)
+    """,
     "op9_warc_audit": """
         WITH r AS (
             SELECT page_id, page_id // 4096 AS archive, html,

@@ -1,16 +1,18 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A k-mer is chosen when its smallest inner s-mer lies at its first or last place. The choice depends on
-the k-mer alone, so an edit moves no anchor outside its own k-mers. Symbols are words (k = 5, s = 2).
-Texts under `SHORT` code points or `FEW` words have a second part, the syncmers of their characters
-(k = 5, s = 3). A part is the `SKETCH` smallest distinct anchor hashes. A fingerprint is the parts as
-hexadecimal text, with a dot between them: equal texts have equal fingerprints. The share of anchors
-that two fingerprints have in common among the smallest of both estimates the Jaccard likeness of the
-anchors (exact up to SKETCH anchors). Only parts that both have are compared, so that no border between
-short and long texts shows in a likeness.
+A text is read as units: each run without white space is cut into pieces of at most UNIT code points,
+from its start, so that one rule holds for texts of any length, with or without spaces. A k-mer of units
+is chosen when its smallest inner s-mer lies at its first or last place. The choice depends on the k-mer
+alone, so an edit moves no anchor outside its own k-mers: anchors are context-free, and their places
+tell where two texts match. A fingerprint is the set of a text's anchors; as text it is the `SKETCH`
+smallest of them in hexadecimal form. Likeness is the Jaccard likeness of all anchors of both texts,
+not of the sketches. `anchors` gives every anchor with its place, for joins on passages; `aligned_edited`
+is the share of a text's anchors that stand at the same place in its edited text.
 
 Null texts are empty. An empty text has an empty fingerprint; its likeness is 1 to an empty text and 0
-to any other. A text too short for a k-mer has its whole words or characters as its only anchor.
+to any other. A text too short for a k-mer has its whole units as its only anchor. The next document is
+the one with the next larger id, null ids first; rows with equal ids follow one another by text, and
+equal rows are each other's next. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,84 +24,104 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import shuffle_partitions
 
-SKETCH, SHORT, FEW = 128, 400, 64
-WORD_SPACE = "[ \\t-\\r]+"
+UNIT, K, S, SKETCH = 4, 7, 3, 128
+RANGE_BYTES, GRID = 32 << 20, 10_000
 
 
 def syncmer_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
-    """Adds {prefix}_anchors and {prefix}_chars: the sorted distinct hashes of the closed syncmers of words and of characters, SKETCH at most of each."""
-    words, chars = f"{prefix}_w", f"{prefix}_c"
-    clean = f"filter(split({text}, '{WORD_SPACE}'), x -> x != '')"
-    df = df.withColumn(words, F.expr(f"transform({clean}, x -> xxhash64(x))"))
-    df = df.withColumn(chars, F.expr(f"if(length({text}) < {SHORT} or size({words}) < {FEW}, transform(split({text}, ''), x -> xxhash64(x, 1)), cast(array() as array<bigint>))"))
-    for symbols, k, s, part in ((words, 5, 2, "anchors"), (chars, 5, 3, "chars")):
-        smer, n = f"{symbols}_s", f"size({symbols})"
-        joined = ", ".join(f"{symbols}[i{f' + {j}' if j else ''}]" for j in range(s))
-        df = df.withColumn(smer, F.expr(f"if({n} < {k}, cast(array() as array<bigint>), transform(sequence(0, {n} - {s}), i -> xxhash64({joined})))"))
-        last = k - s
-        inner = ", ".join(f"{smer}[i + {j}]" for j in range(1, last))
-        chosen = f"filter(sequence(0, {n} - {k}), i -> least({smer}[i], {smer}[i + {last}]) <= {f'least({inner})' if last > 2 else inner})"
-        spans = ", ".join(f"{smer}[i + {j}]" for j in sorted({*range(0, last, s), last}))
-        whole = f"if({n} = 0, cast(array() as array<bigint>), array(xxhash64(array_join({symbols}, ','), {k})))"
-        df = df.withColumn(f"{symbols}_a", F.expr(f"if({n} < {k}, {whole}, transform({chosen}, i -> xxhash64({spans})))"))
-        df = df.withColumn(f"{prefix}_{part}", F.expr(f"slice(sort_array(array_distinct({symbols}_a)), 1, {SKETCH})"))
-    return df.drop(words, chars, *(f"{x}_{y}" for x in (words, chars) for y in ("s", "a")))
-
-
-def as_text(prefix: str) -> Column:
-    """The parts of a fingerprint; the second, with its dot, only where there is one."""
-    words, chars = (f"array_join(transform({prefix}_{part}, x -> lpad(hex(x), 16, '0')), '')" for part in ("anchors", "chars"))
-    return F.expr(f"concat({words}, if(size({prefix}_chars) > 0, '.', ''), {chars})")
+    """Adds {prefix}_places, the units at which chosen k-mers start, and {prefix}_anchors, their hashes in that order."""
+    units, smer, n = f"{prefix}_u", f"{prefix}_s", f"size({prefix}_u)"
+    df = df.withColumn(units, F.expr(f"regexp_extract_all({text}, '[^ \\t-\\r]{{1,{UNIT}}}', 0)"))
+    joined = ", ".join(f"{units}[i{f' + {j}' if j else ''}]" for j in range(S))
+    df = df.withColumn(smer, F.expr(f"if({n} < {K}, array(xxhash64(array_join({units}, ','))), transform(sequence(0, {n} - {S}), i -> xxhash64({joined})))"))
+    last = K - S
+    inner = ", ".join(f"{smer}[i + {j}]" for j in range(1, last))
+    df = df.withColumn(f"{prefix}_places", F.expr(f"if({n} < {K}, if({n} = 0, cast(array() as array<int>), array(0)), filter(sequence(0, {n} - {K}), i -> least({smer}[i], {smer}[i + {last}]) <= least({inner})))"))
+    spans = ", ".join(f"{smer}[i + {j}]" for j in sorted({*range(0, last, S), last}))
+    df = df.withColumn(f"{prefix}_anchors", F.expr(f"if({n} < {K}, slice({smer}, 1, size({prefix}_places)), transform({prefix}_places, i -> xxhash64({spans})))"))
+    return df.drop(units, smer)
+
+
+def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, anchor, place (in units) for every anchor of every row: equi-joins on anchor find common passages."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = syncmer_columns(rows, "text", "own").select("doc_id", F.explode(F.arrays_zip("own_anchors", "own_places")).alias("at"))
+    return found.select("doc_id", F.col("at.own_anchors").alias("anchor"), F.col("at.own_places").alias("place"))
 
 
-def likeness(a: str, b: str) -> Column:
-    """Share of common anchors among the smallest of both, from the parts that both have; two empty fingerprints are alike."""
+def matches(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
+    """Passages that rows of two sets of anchors have in common: left_id, right_id, shift, n_anchors, first, last.
+
+    Anchors match where they are equal; those of one passage have the same shift between their places.
+    Give one side few rows (passages to be found), the join being on anchors.
+    """
+    a = left.select(F.col("doc_id").alias("left_id"), "anchor", F.col("place").alias("at"))
+    both = a.join(right.select(F.col("doc_id").alias("right_id"), "anchor", "place"), "anchor")
+    found = both.groupBy("left_id", "right_id", (F.col("place") - F.col("at")).alias("shift")).agg(F.countDistinct("at").alias("n_anchors"), F.min("at").alias("first"), F.max("at").alias("last"))
+    return found.filter(F.col("n_anchors") >= least)
+
 
-    def share(x: str, y: str) -> str:
-        union = f"slice(sort_array(array_union({x}, {y})), 1, {SKETCH})"
-        return f"cast(size(array_intersect(array_intersect({union}, {x}), {y})) as double) / greatest(size({union}), 1)"
+def as_text(anchor_set: str) -> Column:
+    return F.expr(f"array_join(transform(slice(sort_array({anchor_set}), 1, {SKETCH}), x -> lpad(hex(x), 16, '0')), '')")
 
-    whole = [f"slice(sort_array(array_union({p}_anchors, {p}_chars)), 1, {SKETCH})" for p in (a, b)]
-    sizes = " + ".join(f"size({p}_{part})" for p in (a, b) for part in ("anchors", "chars"))
-    return F.expr(f"if({sizes} = 0, 1.0D, if(size({a}_chars) > 0 and size({b}_chars) > 0, {share(*whole)}, {share(f'{a}_anchors', f'{b}_anchors')}))")
 
+def likeness(a: str, b: str) -> Column:
+    """Jaccard likeness of two sets of anchors (distinct); two empty ones are alike."""
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, transform(array(size(array_intersect({a}, {b}))), x -> cast(x as double) / (size({a}) + size({b}) - x))[0])")
 
-def with_next(raw: DataFrame, order: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str], partitions: int | None = None) -> DataFrame:
-    """prepare(raw) with next_<column> of the row with the next larger `order` (after the last: of the first).
 
-    The order is cut into ranges at quantiles of the key. Each range takes in the first row of the next
-    one, so that no window spans more than a range and the rows are shuffled once.
+def with_next(rows: DataFrame, order: str, size: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str], partitions: int | None = None) -> DataFrame:
+    """prepare(rows) with next_<column> of the row with the next larger `order` (after the last: of the first).
+
+    The order is cut into ranges at quantiles of the key, so many that one holds about RANGE_BYTES of
+    the column `size`. Each range takes in the first row of the next one, so that no window spans more
+    than a range and the rows are shuffled once, as they are read.
     """
-    rows = prepare(raw)
-    n = partitions or max(2, 2 * shuffle_partitions(raw))
-    cuts = raw.select(F.expr(f"percentile_approx({order}, array({', '.join(f'{i / n:.9f}D' for i in range(1, n))}), 10000)").alias("cuts")).first()["cuts"] or []
-    cuts = sorted(set(cuts))
-    place = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
-    placed = raw.withColumn("range_", place.cast("int"))
+    grid = F.expr(f"percentile_approx({order}, array({', '.join(f'{i / GRID}D' for i in range(1, GRID))}), {10 * GRID})")
+    found = rows.agg(grid.alias("grid"), F.sum(F.octet_length(size).cast("long")).alias("bytes")).first()
+    n = min(GRID, partitions or max(2, shuffle_partitions(rows), (found["bytes"] or 0) // RANGE_BYTES))
+    grid = found["grid"] or []
+    cuts = sorted({grid[i * GRID // n - 1] for i in range(1, n)}) if grid else []
+    placed = rows.withColumn("range_", _place(cuts, order))
     # two numbers a range: its first row is read by its key, nulls come first
     least = placed.groupBy("range_").agg(F.min(order).alias("least"), F.max(F.col(order).isNull()).alias("nulls")).collect()
-    found = sorted(r["range_"] for r in least)
+    ranges = sorted(r["range_"] for r in least)
     heads = F.col(order).isin([r["least"] for r in least if not r["nulls"]])
     if any(r["nulls"] for r in least):
         heads = heads | F.col(order).isNull()
-    whole = F.struct(order, *(c for c in raw.columns if c != order))
+    whole = F.struct(order, *(c for c in rows.columns if c != order))
     firsts = placed.filter(heads).groupBy("range_").agg(F.min(whole).alias("row")).select("row.*", "range_")
-    if not found:
-        return rows.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     # each first row goes to the range before it, that of the first range to the last
-    before = {b: a for a, b in zip([found[-1], *found], found, strict=False)}
+    before = {b: a for a, b in zip([ranges[-1], *ranges], ranges, strict=False)} if ranges else {0: 0}
     to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    extra = prepare(firsts.withColumn("range_", to[F.col("range_")])).withColumn("extra_", F.lit(1))
-    window = Window.partitionBy("range_").orderBy("extra_", order, *columns)
-    every = prepare(placed).withColumn("extra_", F.lit(0)).unionByName(extra)
-    return every.select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns)).filter("extra_ = 0").drop("range_", "extra_")
+    every = placed.withColumn("extra_", F.lit(0)).unionByName(firsts.withColumn("range_", to[F.col("range_")]).withColumn("extra_", F.lit(1)))
+    sorted_ = every.repartitionById(n, "range_").sortWithinPartitions("range_", "extra_", order, *columns[:1])
+    window = Window.partitionBy("range_").orderBy("extra_", order, *columns[:1])
+    return prepare(sorted_).select("*", *(F.lead(c).over(window).alias(f"next_{c}") for c in columns)).filter("extra_ = 0").drop("range_", "extra_")
+
+
+def _place(cuts: list[int], order: str) -> Column:
+    """The number of cuts up to a key: first among every m-th one, then among the m that follow."""
+    if not cuts:
+        return F.lit(0)
+    m = max(1, int(len(cuts) ** 0.5))
+    every, some = (f"cast(split('{','.join(map(str, c))}', ',') as array<bigint>)" for c in (cuts, cuts[m - 1 :: m]))
+    block = f"size(filter({some}, c -> c <= {order}))"
+    return F.expr(f"cast({block} * {m} + size(filter(slice({every}, {block} * {m} + 1, {m}), c -> c <= {order})) as int)")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, aligned_edited for each row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    both = with_next(rows, "doc_id", lambda df: syncmer_columns(df, "text", "own"), ["text", "own_anchors", "own_chars"])
+
+    def with_anchors(df: DataFrame, text: str, prefix: str) -> DataFrame:
+        df = syncmer_columns(df, text, prefix)
+        placed = F.expr(f"transform({prefix}_places, (x, i) -> xxhash64(x, {prefix}_anchors[i]))")
+        return df.select(*(c for c in df.columns if c != f"{prefix}_places"), placed.alias(f"{prefix}_placed")).withColumn(f"{prefix}_anchors", F.array_distinct(f"{prefix}_anchors"))
+
+    both = with_next(rows, "doc_id", "text", lambda df: with_anchors(df, "text", "own"), ["text", "own_anchors"])
     both = both.withColumn("n_chars", F.length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), substring(next_text, 1, int(n_chars div 4)))"))
-    done = syncmer_columns(both, "edited", "edited")
-    return done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text("own").alias("fingerprint"), as_text("edited").alias("edited_fingerprint"), likeness("own", "edited").alias("near_edited"), likeness("own", "next_own").alias("near_next"))
+    done = with_anchors(both, "edited", "edited")
+    aligned = F.expr("if(size(own_placed) = 0, 1.0D, cast(size(array_intersect(own_placed, edited_placed)) as double) / size(own_placed))")
+    return done.select("doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), as_text("own_anchors").alias("fingerprint"), as_text("edited_anchors").alias("edited_fingerprint"), likeness("own_anchors", "edited_anchors").alias("near_edited"), likeness("own_anchors", "next_own_anchors").alias("near_next"), aligned.alias("aligned_edited"))

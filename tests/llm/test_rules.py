@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -56,6 +58,106 @@ def test_sum_of_squares_identity():
     assert fm.raw([(at, x)])[0] == pytest.approx(slow, rel=1e-4)
 
 
+def plain_features(text):
+    """Bucket to value, by definition."""
+    words = [w for w in __import__("re").split(b"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
+    tf = {}
+    for w in words:
+        k = zlib.crc32(w) % quality_classifier.BUCKETS
+        tf[k] = tf.get(k, 0) + 1
+    tf = {k: math.log1p(n) for k, n in tf.items()}
+    norm = math.sqrt(sum(v * v for v in tf.values())) or 1.0
+    out = {k: v / norm for k, v in tf.items()}
+    for i, v in enumerate(quality_rules.rule_statistics(text or "")[1]):
+        out[quality_classifier.BUCKETS + i] = min(max(v * quality_classifier.SCALES[i], 0), 3)
+    out[quality_classifier.BUCKETS + quality_rules.N_FEATURES + min(int(2 * math.log1p(len(text or ""))), quality_classifier.LENGTHS - 1)] = 1.0
+    return out
+
+
+def plain_raw(fm, x):
+    """All pairs of features, one by one."""
+    items = list(x.items())
+    pairs = sum(float(fm.v[i] @ fm.v[j]) * a * b for n, (i, a) in enumerate(items) for j, b in items[:n])
+    return fm.b + sum(float(fm.w[i]) * a for i, a in items) + pairs
+
+
+def test_trained_scores_equal_all_pairs_on_odd_rows(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    texts = [*ODD, None, "word " * 30_000, "same text twice", "same text twice"]
+    odd = spark.createDataFrame([(10**6 + i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    frame = docs.unionByName(odd).selectExpr("doc_id", "text", "'x' score", "'y' held_out", "'z' predicted", "'q' quality")
+    machine = quality_classifier.train(frame, labels)
+    got = quality_classifier.quality_scores(frame, labels).filter("doc_id >= 1000000").collect()
+    want = sorted(1 / (1 + math.exp(-(plain_raw(machine, plain_features(t)) + machine.shift))) for t in texts)
+    assert sorted(r.score for r in got) == pytest.approx(want, abs=1e-4)
+    assert all(r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    kept = quality_classifier.keep_predicted(frame, labels)
+    assert kept.columns == frame.columns and kept.filter("doc_id >= 1000000").count() == sum(r.predicted for r in got)
+    assert quality_classifier.keep_predicted(frame.limit(0), labels).count() == 0
+
+
+def test_training_equals_plain_steps():
+    texts, y = ["a b c", "a b d d", "x y | z", "x # y", "b c a a", "z z y"], np.array([1.0, 1, 0, 0, 1, 0])
+    rows = [quality_classifier.Features()(t) for t in texts]
+    got = quality_classifier.FactorisationMachine().fit(rows, y, epochs=2, batch=2)
+    fm = quality_classifier.FactorisationMachine()
+    w, v, b = np.zeros_like(fm.w, float), fm.v.astype(float), 0.0
+    gb, gw, gv = 1e-6, np.full(w.shape, 1e-6), np.full(v.shape, 1e-6)
+    rng = np.random.default_rng(5)
+    for _ in range(2):
+        order = rng.permutation(6)
+        for k in range(0, 6, 2):
+            dw, dv, db, used = np.zeros_like(w), np.zeros_like(v), 0.0, set()
+            for r in order[k : k + 2]:
+                x = dict(zip(rows[r][0].tolist(), rows[r][1].astype(float).tolist(), strict=True))
+                z = b + sum(w[i] * a for i, a in x.items()) + sum(v[i] @ v[j] * x[i] * x[j] for i in x for j in x if i < j)
+                g = (1 / (1 + math.exp(-z)) - y[r]) / 2  # both labels are equally frequent
+                db += g
+                for i in x:
+                    used.add(i)
+                    dw[i] += g * x[i]
+                    dv[i] += g * x[i] * sum(v[j] * x[j] for j in x if j != i)
+                    if x[i]:
+                        dv[i] += 0
+            at = sorted(used)
+            dw[at] += 1e-5 * w[at]
+            dv[at] += 1e-5 * v[at]
+            gb, gw[at], gv[at] = gb + db**2, gw[at] + dw[at] ** 2, gv[at] + dv[at] ** 2
+            b -= 0.08 * db / math.sqrt(gb)
+            w[at] -= 0.08 * dw[at] / np.sqrt(gw[at])
+            v[at] -= 0.04 * dv[at] / np.sqrt(gv[at])
+    for row, t in zip(rows, texts, strict=True):
+        x = dict(zip(row[0].tolist(), row[1].tolist(), strict=True))
+        fm.w, fm.v, fm.b = w, v, b
+        assert got.raw([row])[0] == pytest.approx(plain_raw(fm, x), rel=0.02, abs=0.02), t
+
+
+def test_forest_scores_equal_walks():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4))
+    forest = quality_rules.IsolationForest(x, np.ptp(x, axis=0), trees=20, rows=64)
+    odd = np.vstack([x[:20], rng.normal(size=(5, 4)) * 9])
+
+    def depth(tree, row):
+        f, cut, left, path = tree
+        at = 0
+        while np.isfinite(cut[at]):
+            at = left[at] + (row[f[at]] > cut[at])
+        return path[at]
+
+    mean = np.array([np.mean([depth(t, r) for t in forest.trees]) for r in odd])
+    assert forest.scores(odd) == pytest.approx(2.0 ** (-mean / float(quality_rules.average_path(64))))
+    assert forest.scores(odd)[20:].mean() > forest.scores(odd)[:20].mean()
+
+
+def test_parts_of_every_kind_in_a_query(spark):
+    from plumbline.llm import queries as llm
+
+    rows = llm.chat_content_parts(spark, SF).collect()
+    assert rows and all(r.placeholders == r.n_attachments for r in rows) and {r.kinds for r in rows} >= {"", "image", "image,audio", "image,document"}
+
+
 def test_classifier_on_held_out_rows(spark):
     sf = SF.replace("0.001", "0.1")
     labels = table(spark, sf, "labels")
@@ -139,33 +241,64 @@ def test_syncmers(spark):
 
 def test_syncmers_by_definition(spark):
     rng = random.Random(5)
-    symbols = [rng.choice("abcdefgh") for _ in range(500)]
-    frame = spark.createDataFrame([(" ".join(symbols),)], "t string")
-    row = syncmers.syncmer_columns(frame, "t", "own").first()
-    hashes = {tuple(p): h for p, h in [((symbols[i], symbols[i + 1]), None) for i in range(499)]}
-    pairs = spark.createDataFrame(list(hashes), "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).collect()
-    hashes = {(r.a, r.b): r.h for r in pairs}
-    s = [hashes[symbols[i], symbols[i + 1]] for i in range(499)]
-    chosen = {(s[i], s[i + 2], s[i + 3]) for i in range(496) if min(s[i], s[i + 3]) <= min(s[i + 1], s[i + 2])}
-    spans = spark.createDataFrame(list(chosen), "a long, b long, c long").select(F.xxhash64("a", "b", "c").alias("h")).collect()
-    assert list(row.own_anchors) == sorted(r.h for r in spans)[: syncmers.SKETCH]
-
-
-def test_syncmers_across_the_border_of_short_texts(spark):
+    text = " ".join("".join(rng.choice("abé日") for _ in range(rng.choice([1, 3, 4, 5, 9]))) for _ in range(300))
+    units = [w[i : i + 4] for w in text.split(" ") for i in range(0, len(w), 4)]
+    row = syncmers.syncmer_columns(spark.createDataFrame([(text,)], "t string"), "t", "own").first()
+    inner = sorted({tuple(units[i : i + 3]) for i in range(len(units) - 2)})
+    h = {(r.a, r.b, r.c): r.h for r in spark.createDataFrame(inner, "a string, b string, c string").select("*", F.xxhash64("a", "b", "c").alias("h")).collect()}
+    s = [h[tuple(units[i : i + 3])] for i in range(len(units) - 2)]
+    chosen = [i for i in range(len(units) - 6) if min(s[i], s[i + 4]) <= min(s[i + 1 : i + 4])]
+    assert list(row.own_places) == chosen
+    spans = spark.createDataFrame([(i, s[i], s[i + 3], s[i + 4]) for i in chosen], "i long, a long, b long, c long").select("i", F.xxhash64("a", "b", "c").alias("h"))
+    assert list(row.own_anchors) == [r.h for r in spans.orderBy("i").collect()]
+
+
+def test_likeness_is_of_all_anchors_and_near_copies_are_near_at_any_length(spark):
     rng = random.Random(6)
     pairs = []
-    for _ in range(30):
-        words = []
-        while len(" ".join(words)) < 402:
-            words.append(f"w{rng.randrange(10**4)}")
+    for n in (12, 20, 60, 66, 400, 5000):
+        words = [f"w{rng.randrange(10**4)}" for _ in range(n)]
         pairs.append((" ".join(words), " ".join(words[:-2])))
     letters = "".join(rng.choice("日本語文章例題") for _ in range(405))
     pairs.append((letters, letters[:395]))
-    assert all(len(a) >= syncmers.SHORT > len(b) for a, b in pairs)
-    frame = spark.createDataFrame([(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)], "doc_id long, text string")
+    rows = [(2 * i + j, t) for i, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in syncmers.fingerprints(frame).collect()}
-    assert all(got[2 * i].near_next > 0.8 for i in range(len(pairs)))
-    fallen = spark.createDataFrame([(1, pairs[0][0]), (2, "z" * 10)], "doc_id long, text string")  # the edited text of 1 is short
+    sets = {}
+    for r in syncmers.anchors(frame).collect():
+        sets.setdefault(r.doc_id, set()).add(r.anchor)
+    for i in range(len(rows)):
+        a, b = sets[i], sets[(i + 1) % len(rows)]
+        assert got[i].near_next == pytest.approx(len(a & b) / len(a | b))
+        assert got[i].fingerprint == "".join(f"{x % 2**64:016X}" for x in sorted(a)[: syncmers.SKETCH])
+    assert all(got[2 * i].near_next > 0.6 for i in range(len(pairs)))
+    assert all(0.4 < got[2 * i].aligned_edited < 0.9 for i in range(2, len(pairs)))
+    fallen = spark.createDataFrame([(1, pairs[2][0]), (2, "z" * 10)], "doc_id long, text string")  # the edited text of 1 is shorter
     assert syncmers.fingerprints(fallen).filter("doc_id = 1").first().near_edited > 0.5
     empty = spark.createDataFrame([(1, ""), (2, " " * 500), (3, None)], "doc_id long, text string")
-    assert {r.doc_id: r.near_next for r in syncmers.fingerprints(empty).collect()} == {1: 0.0, 2: 0.0, 3: 1.0}
+    assert {r.doc_id: r.near_next for r in syncmers.fingerprints(empty).collect()} == {1: 1.0, 2: 1.0, 3: 1.0}
+
+
+def test_matches_find_a_passage_and_its_shift(spark):
+    rng = random.Random(7)
+    other = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    passage = other(60)
+    left = spark.createDataFrame([(1, " ".join(passage))], "doc_id long, text string")
+    right = spark.createDataFrame([(7, " ".join([*other(100), *passage, *other(30)])), (8, " ".join(other(200))), (9, None)], "doc_id long, text string")
+    found = syncmers.matches(syncmers.anchors(left), syncmers.anchors(right)).collect()
+    assert [(r.left_id, r.right_id) for r in found] == [(1, 7)] and found[0].n_anchors > 20 and found[0].last - found[0].first > 80
+
+
+def test_next_with_tied_and_null_ids(spark):
+    a, b, c = ("x" + "ab" * 50, "y" + "cd" * 50, "z" + "ef" * 50)
+    rows = [(None, b), (5, c), (5, a), (5, a), (9, None), (None, None)]
+    got = syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    order = ["", b, a, a, c, ""]  # nulls first, equal ids by text
+    want = sorted((len(t), hashlib.sha256((t[: len(t) - len(t) // 4] + n[: len(t) // 4]).encode()).hexdigest()) for t, n in zip(order, [*order[1:], order[0]], strict=True))
+    assert sorted((r.n_chars, r.edited_sha256) for r in got) == want
+
+
+def test_place_among_many_cuts(spark):
+    cuts = list(range(0, 3000, 7))
+    rows = spark.range(-5, 3100).select("id", syncmers._place(cuts, "id").alias("at")).collect()
+    assert all(r["at"] == sum(c <= r["id"] for c in cuts) for r in rows)
