@@ -86,16 +86,20 @@ def millions(number: Column, unit: Column) -> Column:
 
 
 def amounts(results: DataFrame) -> DataFrame:
-    """Labelled amounts in millions, the stated aggregate or net impact, and whether the items add up to it."""
-    text = F.col("text_content")
+    """Labelled amounts in millions, the stated aggregate or net impact, and whether the items add up to it.
 
-    def items(pattern: str, label: int, number: int) -> Column:
-        values = F.zip_with(_all(text, pattern, number), _all(text, pattern, number + 1), millions)
-        return F.zip_with(_all(text, pattern, label), values, lambda a, n: F.struct(F.trim(a).alias("label"), n.alias("millions")))
+    Only lines with a currency sign are searched, one by one.
+    """
+    lines = F.filter(F.split("text_content", "\n"), lambda x: x.contains("$"))
 
-    parts = F.concat(items(LABELLED, 1, 2), items(LABELLED_AFTER, 3, 1))
-    stated = F.when(text.rlike(AGGREGATE_AMOUNT), millions(F.regexp_extract(text, AGGREGATE_AMOUNT, 1), F.regexp_extract(text, AGGREGATE_AMOUNT, 2)))
-    rows = results.withColumn("item", F.explode(parts)).withColumn("stated", stated)
+    def items(line: Column, pattern: str, label: int, number: int) -> Column:
+        values = F.zip_with(_all(line, pattern, number), _all(line, pattern, number + 1), millions)
+        return F.zip_with(_all(line, pattern, label), values, lambda a, n: F.struct(F.trim(a).alias("label"), n.alias("millions")))
+
+    parts = F.flatten(F.transform(lines, lambda x: F.concat(items(x, LABELLED, 1, 2), items(x, LABELLED_AFTER, 3, 1))))
+    said = F.get(F.filter(lines, lambda x: x.rlike(AGGREGATE_AMOUNT)), 0)
+    stated = F.when(said.isNotNull(), millions(F.regexp_extract(said, AGGREGATE_AMOUNT, 1), F.regexp_extract(said, AGGREGATE_AMOUNT, 2)))
+    rows = results.withColumn("stated", stated).withColumn("item", F.explode(parts))
     total = rows.groupBy("query_id", "chunk_id").agg(F.count("*").alias("n_items"), F.sum("item.millions").alias("total"), F.max("stated").alias("stated"))
     return total.withColumn("adds_up", F.col("total") == F.col("stated"))
 

@@ -163,10 +163,12 @@ def millions(number: str, unit: str) -> str:
 
 
 def amounts(text: str = "text_content") -> str:
-    """List of a text's labelled amounts in millions, and the stated aggregate."""
-    before, after = (f"[{millions('z_[1]', 'z_[2]')} FOR z_ IN list_zip({found(text, p, g)}, {found(text, p, g + 1)})]" for p, g in ((evidence.LABELLED, 2), (evidence.LABELLED_AFTER, 1)))
-    stated = f"CASE WHEN regexp_matches({text}, {quoted(evidence.AGGREGATE_AMOUNT)}) THEN " + millions(*(f"regexp_extract({text}, {quoted(evidence.AGGREGATE_AMOUNT)}, {g})" for g in (1, 2))) + " END"
-    return f"list_concat({before}, {after}) AS parts, {stated} AS stated"
+    """List of the labelled amounts of a text's lines, in millions, and the stated aggregate."""
+    lines = f"list_filter(string_split({text}, chr(10)), lambda x: contains(x, '$'))"
+    before, after = (f"[{millions('z_[1]', 'z_[2]')} FOR z_ IN list_zip({found('l_', p, g)}, {found('l_', p, g + 1)})]" for p, g in ((evidence.LABELLED, 2), (evidence.LABELLED_AFTER, 1)))
+    said = f"list_filter({lines}, lambda x: regexp_matches(x, {quoted(evidence.AGGREGATE_AMOUNT)}))[1]"
+    stated = f"CASE WHEN {said} IS NOT NULL THEN " + millions(*(f"regexp_extract({said}, {quoted(evidence.AGGREGATE_AMOUNT)}, {g})" for g in (1, 2))) + " END"
+    return f"flatten([list_concat({before}, {after}) FOR l_ IN {lines}]) AS parts, {stated} AS stated"
 
 
 KIND = f"""CASE WHEN t = '' THEN 'boilerplate'

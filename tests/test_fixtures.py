@@ -316,3 +316,16 @@ def test_streams_replay(spark, tmp_path):
         for checkpoint in ("one", "two"):  # the second run replays every batch
             run(spark, f"{tmp_path}/{name}-in", frame.schema, f"{tmp_path}/{name}-table", f"{tmp_path}/{name}-{checkpoint}").awaitTermination()
             assert ingest.read_table(spark, f"{tmp_path}/{name}-table").count() == n
+
+
+def test_amounts_in_several_wordings(spark):
+    text = "Results\nWe booked US$1,234.5 million of severance costs and a bank levy (C$0.2 billion).\nNo sign here (3 million)\nNet impact of $1,434.5 million"
+    frame = spark.createDataFrame([(1, "c", text), (2, "d", "nothing")], "query_id long, chunk_id string, text_content string")
+    (row,) = evidence.amounts(frame).collect()
+    assert (row.query_id, row.n_items, float(row.total), float(row.stated), row.adds_up) == (1, 2, 1434.5, 1434.5, True)
+
+
+def test_closed_matters_in_one_sentence_with_open_ones(spark):
+    text = "The Fresco matter was settled while others stay open. Nothing else."
+    frame = spark.createDataFrame([(1, 1, "c", text)], "query_id long, rank int, chunk_id string, text_content string")
+    assert [r.how for r in evidence.closed_matters(frame).collect()] == ["settled"]
