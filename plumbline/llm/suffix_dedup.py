@@ -2,12 +2,13 @@
 
 A sparse suffix array does the work. In every run of WINDOW possible starts, the start with the least
 hash of its first bytes is an anchor; the choice depends on the string alone, so two equal strings of
-LENGTH bytes have their anchor at the same offset. Strings are compared through rows of two tokens: a
-hash of bytes that all candidate strings of the row have in common (core), and a hash of all bytes that
-they reach (hull). Rows are range-partitioned by leading tokens with splitters sampled by Spark, ties
-by place, so that a string with very many copies spreads over tasks; buckets sort by a multikey
-quicksort (a token is compared only among rows equal in the tokens before it), and rows are compared
-with their neighbours, the first and last rows of buckets across boundaries.
+LENGTH bytes have their anchor at the same offset. Strings are compared through rows of three tokens:
+their leading bytes, a hash of the bytes that all candidate strings of the row have in common (core),
+and a hash of all bytes that they reach (hull). Rows are range-partitioned by leading tokens with
+splitters sampled by Spark, ties by place, so that a string with very many copies spreads over tasks;
+the number of ranges follows the number of rows. Buckets sort by a multikey quicksort (a token is
+compared only among rows equal in the tokens before it), and rows are compared with their neighbours,
+the first and last rows of buckets across boundaries.
 
 - Equal hulls: every string of the row is also elsewhere, and its bytes are covered.
 - Equal cores, different hulls: some strings may be. One row of each such class goes on.
@@ -17,8 +18,10 @@ Three rounds do this: all strings of an anchor (suffixes), then runs of BLOCK st
 What goes on shrinks from round to round to the strings around the ends of repeats.
 
 Null or empty texts, and those shorter than LENGTH, lose nothing. Repeated rows match each other.
-Results are carried by a hash of id and text, so rows equal in both get equal results. Equality is
-that of 64-bit hashes of core and hull together (in the last round, of both halves of a string).
+Results are carried by a hash of id and text, so rows equal in both get equal results, and a place of
+such a text is kept once, however many rows have it. Equality is that of 64-bit hashes of core and hull
+together (in the last round, of both halves of a string). Other columns are ignored or, where they are
+asked for, carried in a struct of their own, so that no name clashes. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from plumbline.llm.common import blocks, id_filter, maybe_in, shuffle_partitions
 from plumbline.llm.textblocks import Block, mix
 
 LENGTH, WINDOW, GRAM = 400, 200, 8
-BLOCK = 25
+BLOCK, RANGE_ROWS = 25, 500_000
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
@@ -99,7 +102,13 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-_ROWS = "core long, hull long, key long, at long"
+def leading(block: Block, starts: np.ndarray) -> np.ndarray:
+    """The first eight bytes from each place, as integers of the same order."""
+    raw = block.bytes[starts[:, None] + np.arange(8)]
+    return (raw.copy().view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+_ROWS = "lead long, core long, hull long, key long, at long"
 _FOUND = f"{_ROWS}, settled boolean, more boolean, task long, last boolean, edge boolean"
 
 
@@ -110,9 +119,9 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     del parts
-    order = multikey_order(columns[:2])
+    order = multikey_order(columns[:3])
     columns = [c[order] for c in columns]
-    core, hull = (c[1:] == c[:-1] for c in columns[:2])
+    core, hull = (c[1:] == c[:-1] for c in columns[1:3])
     none = np.zeros(1, bool)
     same, near = core & hull, core & ~hull
     settled = np.concatenate([none, same]) | np.concatenate([same, none])
@@ -121,17 +130,25 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(pick: np.ndarray, last: list[bool], edge: bool) -> pa.RecordBatch:
         arrays = [*(c[pick] for c in columns), settled[pick], more[pick], np.full(len(pick), task)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(last, pa.bool_()), pa.array([edge] * len(pick), pa.bool_())], names=["core", "hull", "key", "at", "settled", "more", "task", "last", "edge"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(last, pa.bool_()), pa.array([edge] * len(pick), pa.bool_())], names=["lead", "core", "hull", "key", "at", "settled", "more", "task", "last", "edge"])
 
     yield rows(np.array([0, len(core)]), [False, True], True)
+    # of equal places of equal texts one row goes on, with what any of them has
     found = np.flatnonzero(settled | more)
+    found = found[np.lexsort((columns[4][found], columns[3][found]))]
+    new = np.ones(len(found), bool)
+    new[1:] = (columns[3][found[1:]] != columns[3][found[:-1]]) | (columns[4][found[1:]] != columns[4][found[:-1]])
+    if len(found):
+        first = np.flatnonzero(new)
+        settled[found[first]], more[found[first]] = (np.logical_or.reduceat(x[found], first) for x in (settled, more))
+        found = found[first]
     for i in range(0, len(found), 50_000):
         yield rows(part := found[i : i + 50_000], [False] * len(part), False)
 
 
-def compared(rows: DataFrame, name: str) -> DataFrame:
-    """key, at, settled, more of the rows (core, hull, key, at) that have an equal core elsewhere; a row may come twice."""
-    dealt = rows.repartitionByRange(max(2, shuffle_partitions(rows)), "core", "hull", "key", "at")
+def compared(rows: DataFrame, name: str, about: int) -> DataFrame:
+    """key, at, settled, more of the rows (about so many) that have an equal core elsewhere; a row may come twice."""
+    dealt = rows.repartitionByRange(max(2, shuffle_partitions(rows), about // RANGE_ROWS), "lead", "core", "hull", "key", "at")
     found = staged(dealt.mapInArrow(_bucket, _FOUND), name)
     # two rows a bucket, whatever the input: the last of each against the first of the next
     order = Window.orderBy("task", "last")
@@ -147,11 +164,11 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, at, _, _ = anchors(block)
         if len(at):
             core, hull, _, _ = tokens(block, text, at, 0, WINDOW - 1)
-            yield _token_batch(core, hull, batch.column(0).to_numpy()[text], at - block.starts[text])
+            yield _token_batch(leading(block, at), core, hull, batch.column(0).to_numpy()[text], at - block.starts[text])
 
 
-def _token_batch(core: np.ndarray, hull: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(keys), pa.array(at)], names=["core", "hull", "key", "at"])
+def _token_batch(lead: np.ndarray, core: np.ndarray, hull: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(keys), pa.array(at)], names=["lead", "core", "hull", "key", "at"])
 
 
 def _runs_of(block: Block, i: int, places: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -175,7 +192,7 @@ def _run_rows(width: int):
                         core, hull, _, _ = tokens(block, np.full(len(at), i), at, low, high)
                     else:  # one string: its halves
                         core, hull = block.hashes(at - low, at - low + LENGTH // 2), block.hashes(at - low + LENGTH // 2, at - low + LENGTH)
-                    yield _token_batch(core, hull, np.full(len(at), batch.column(0)[i].as_py()), places)
+                    yield _token_batch(leading(block, at - low), core, hull, np.full(len(at), batch.column(0)[i].as_py()), places)
 
     return run
 
@@ -190,8 +207,8 @@ def joined_spans(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], np.maximum.reduceat(spans[:, 1], np.flatnonzero(new))], 1)
 
 
-_RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary()), ("kept", pa.binary())]
-_RESULT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept binary"
+_RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary()), ("kept", pa.string())]
+_RESULT_DDL = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary, kept string"
 
 
 def _cut(raw: bytes, spans: np.ndarray, keep: bool) -> tuple:
@@ -200,7 +217,7 @@ def _cut(raw: bytes, spans: np.ndarray, keep: bool) -> tuple:
         out.append(raw[at:a])
         at = b
     rest = b"".join([*out, raw[at:]])
-    return len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), spans.astype("<i8").tobytes(), rest if keep else None
+    return len(raw), len(raw) - len(rest), len(spans), hashlib.sha256(rest).hexdigest(), spans.astype("<i8").tobytes(), rest.decode("utf-8", "ignore") if keep else None
 
 
 def _covered(block: Block, i: int, places: np.ndarray, width: int) -> np.ndarray:
@@ -261,10 +278,16 @@ def _next_round(width: int, then: int, keep: bool):
     return run
 
 
+def _n_open(texts: DataFrame) -> int:
+    """The number of runs that are open in the texts."""
+    return (texts.agg(F.sum(F.octet_length("open").cast("long"))).first()[0] or 0) // 8
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carried: list[str] | None = None, keep: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (little-endian pairs of longs), kept for each row.
 
-    carried: further columns that stay with their rows, in a struct `rest`. keep: `kept` holds the remaining bytes.
+    carried: further columns that stay with their rows, in a struct `rest`. keep: `kept` holds the remaining
+    text; pieces of a character at the edge of a removed run go with it.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -277,7 +300,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         joined = frame.join(of_key, "key", "left").select("key", "text", "marks", "spans", "rest")
         return joined.mapInArrow(_next_round(width, then, keep), f"key long, text string, open binary, {_RESULT_DDL}, {rest_ddl}")
 
-    marks = compared(rows.select("key", "text").mapInArrow(_suffixes, _ROWS), "suffixes")
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    marks = compared(rows.select("key", "text").mapInArrow(_suffixes, _ROWS), "suffixes", 2 * n_bytes // WINDOW)
     words = spark.sparkContext.broadcast(id_filter(marks.select("key").distinct(), "key"))
 
     @F.pandas_udf("boolean")
@@ -286,14 +310,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     first = staged(texts_with(rows.filter(marked("key")).withColumn("spans", F.lit(None).cast("binary")), marks, WINDOW, BLOCK), "first")
     still = first.filter("open is not null")
-    marks = compared(still.select("key", "text", "open").mapInArrow(_run_rows(BLOCK), _ROWS), "runs")
+    marks = compared(still.select("key", "text", "open").mapInArrow(_run_rows(BLOCK), _ROWS), "runs", _n_open(still))
     second = staged(texts_with(still.select("key", "text", "spans", "rest"), marks, BLOCK, 1), "second")
     still = second.filter("open is not null")
-    marks = compared(still.select("key", "text", "open").mapInArrow(_run_rows(1), _ROWS), "strings").filter("settled")
+    marks = compared(still.select("key", "text", "open").mapInArrow(_run_rows(1), _ROWS), "strings", _n_open(still)).filter("settled")
     last = texts_with(still.select("key", "text", "spans", "rest"), marks, 1, 0)
     columns = ["rest", *(n for n, _ in _RESULT)]
     raw = F.encode("text", "UTF-8")
-    alone = rows.filter(~marked("key")).select("rest", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), F.encode(F.lit(""), "UTF-8").alias("spans"), (raw if keep else F.lit(None).cast("binary")).alias("kept"))
+    alone = rows.filter(~marked("key")).select("rest", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(raw, 256).alias("kept_sha256"), F.encode(F.lit(""), "UTF-8").alias("spans"), (F.col("text") if keep else F.lit(None).cast("string")).alias("kept"))
     done = alone
     for part in (first.filter("open is null"), second.filter("open is null"), last):
         done = done.union(part.select(columns))
@@ -301,14 +325,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs with the remaining text; pieces of a character at the edge of a removed run go with it."""
+    """The rows of docs with the remaining text, and n_chars of it."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    done = remove_repeats(docs, carried=others, keep=True)
-
-    @F.pandas_udf("string")
-    def readable(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda x: bytes(x).decode("utf-8", "ignore"))
-
-    back = done.select("doc_id", readable("kept").alias("text"), "rest")
+    back = remove_repeats(docs, carried=others, keep=True).select("doc_id", F.col("kept").alias("text"), "rest")
     have = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
     return back.select(*(have.get(c, F.col("rest")[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
