@@ -6,8 +6,9 @@ sum of all pairwise interactions <v_i, v_j> x_i x_j in time linear in the featur
 It is trained on at most 2 * `sample_rows` labelled rows outside the held-out fold, in order of a hash
 of the id; every document is scored whole. A fifth of the sample sets the calibration: the cut that
 separates it best is moved to a score of 0.7. Inputs are the text and its length; labels, language,
-source and id are none. Null or empty texts are scored as texts without words. Without labelled rows
-of both kinds every score is 0.5.
+source and id are none. Null or empty texts are scored as texts without words. Repeated rows get equal
+scores; other columns, whatever their names, are ignored or kept; an empty table gives no rows. Without
+labelled rows of both kinds every score is 0.5.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PASS = 0.7
 class Features:
     """Sparse features of a text; the hashes of words are remembered up to a bound."""
 
-    def __init__(self, remembered: int = 300_000):
+    def __init__(self, remembered: int = 50_000):
         self.memo: dict[bytes, int] = {}
         self.remembered = remembered
 
