@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 # Vocabulary and patterns that results depend on.
-LOCATION = [r"\bpage\s+(\d+)\b", r"\bp\.?\s*(\d+)\b"]
-LOCATION_RANGE = r"\bpages?\s+(\d+)\s*-\s*(\d+)\b"
+LOCATION = [r"\bpage\s+(\d+)\b", r"\bp\.?\s*(\d+)\b", r"\bpages?\s+(\d+)\s*-\s*(\d+)\b"]
 POINTER_TERMS = [r"\bwhere can i find\b", r"\bwhere is\b", r"\brefer to\b", r"\bwhich section\b", r"\bwhere is described\b"]
 CLOSED_TERMS = [r"\bwhich matters\b", r"\bexplicitly closed\b", r"\bsettled\b", r"\bdiscontinued\b"]
-COVERAGE_TERMS = [r"\blist all\b", r"\ball\s+\w+\b", r"\bprovide all\b", r"\bevery\b", r"\blitigation events\b", r"\blegal proceedings\b", r"\bsummarize section\b", r"\bitems of note\b", r"\bsignificant events\b"]
+COVERAGE_TERMS = [r"\blist all\b", r"\ball\s+\w+", r"\bprovide all\b", r"\bevery\b", r"\blitigation events\b", r"\blegal proceedings\b", r"\bsummarize section\b", r"\bitems of note\b", r"\bsignificant events\b"]
 LIST_TERMS = [r"\blist\b", r"\ball\b", r"\beach\b"]
-ATTRIBUTE_TERMS = [r"\brange\b", r"\baggregate\b", r"\btotal\b", r"\bamount\b", r"\bexposure\b", r"\bloss(es)?\b", r"\bliabilit(y|ies)\b"]
+ATTRIBUTE_TERMS = [r"\brange\b", r"\baggregate\b", r"\btotal\b", r"\bamount\b", r"\bexposure\b", r"\bloss(?:es)?\b", r"\bliabilit(?:y|ies)\b"]
 LITIGATION_TERMS = [r"\blitigation\b", r"\blegal proceedings\b", r"\bcontingent liabilities\b", r"\bnote\s*21\b", r"\bmatters?\b"]
 LITIGATION_ANCHORS = ["Significant legal proceedings", "Contingent liabilities", "Note 21"]
 EXPANSION = ["significant legal proceedings", "contingent liabilities", "Note 21", "litigation"]

@@ -11,8 +11,8 @@ from plumbline.functions.textnorm import any_pattern, any_phrase
 
 def page_numbers(query: Column) -> Column:
     """Sorted distinct pages named by a query; a reversed range names none, nor does a number beyond an int."""
-    single = [F.transform(F.regexp_extract_all(query, F.lit(f"(?i){p}"), F.lit(1)), lambda x: x.try_cast("int")) for p in rules.LOCATION]
-    lows, highs = (F.regexp_extract_all(query, F.lit(f"(?i){rules.LOCATION_RANGE}"), F.lit(g)) for g in (1, 2))
+    single = [F.transform(F.regexp_extract_all(query, F.lit(f"(?i){p}"), F.lit(1)), lambda x: x.try_cast("int")) for p in rules.LOCATION[:2]]
+    lows, highs = (F.regexp_extract_all(query, F.lit(f"(?i){rules.LOCATION[2]}"), F.lit(g)) for g in (1, 2))
     ranges = F.flatten(F.zip_with(lows, highs, lambda a, b: F.when(a.try_cast("int") <= b.try_cast("int"), F.sequence(a.try_cast("int"), b.try_cast("int"))).otherwise(F.array().cast("array<int>"))))
     return F.array_sort(F.array_distinct(F.array_compact(F.concat(*single, ranges))))
 

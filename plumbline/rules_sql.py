@@ -40,6 +40,8 @@ def title(x: str) -> str:
     return f"array_to_string([upper(w_[1]) || lower(w_[2:]) FOR w_ IN string_split({x}, ' ')], ' ')"
 
 
+#: First and last pages of a query's page ranges, as lists of equal length.
+_LOW, _HIGH = (found("query", "(?i)" + rules.LOCATION[2], g) for g in (1, 2))
 ROUTED = f"""routed AS (SELECT *, CASE WHEN len(pages) > 0 THEN 'location' WHEN pointer OR closed OR covers THEN 'coverage' ELSE 'semantic' END AS intent,
     CASE WHEN len(pages) > 0 THEN NULL WHEN pointer THEN 'pointer' WHEN closed THEN 'list' WHEN covers THEN CASE WHEN numeric_ THEN 'numeric_list' WHEN listed THEN 'list' WHEN attribute THEN 'attribute' ELSE 'list' END END AS coverage_type,
     CASE WHEN len(pages) = 0 AND NOT pointer AND closed THEN 'closed' END AS status_filter, notes_or_events AND NOT explicit_note AS filters_tables
@@ -48,13 +50,9 @@ ROUTED = f"""routed AS (SELECT *, CASE WHEN len(pages) > 0 THEN 'location' WHEN
         CASE {" ".join(f"WHEN {any_pattern('query', [p])} THEN {quoted(label)}" for label, p, _ in rules.SECTION_TARGETS)} END AS target, {any_pattern("query", rules.LITIGATION_TERMS)} AS litigation,
         {any_pattern("query", rules.EXPLICIT_NOTE)} AS explicit_note, {any_pattern("query", [r"\bitems of note\b", r"\bsignificant events\b"])} AS notes_or_events,
         query || {quoted(" " + " ".join(rules.EXPANSION))} AS expanded,
-        list_sort(list_distinct(list_filter(list_concat({", ".join(f"[TRY_CAST(x AS INTEGER) FOR x IN {found('query', '(?i)' + p, 1)}]" for p in rules.LOCATION)},
-            flatten([generate_series(lo, hi) FOR lo, hi IN [0]]) ), lambda p: p IS NOT NULL))) AS pages
+        list_sort(list_distinct(list_filter(list_concat({", ".join(f"[TRY_CAST(x AS INTEGER) FOR x IN {found('query', '(?i)' + p, 1)}]" for p in rules.LOCATION[:2])},
+            flatten(list_transform(list_zip({_LOW}, {_HIGH}), lambda z: generate_series(TRY_CAST(z[1] AS INTEGER), TRY_CAST(z[2] AS INTEGER))))), lambda p: p IS NOT NULL))) AS pages
         FROM queries))"""
-# a range is a pair of lists of equal length
-_LOW, _HIGH = (found("query", "(?i)" + rules.LOCATION_RANGE, g) for g in (1, 2))
-ROUTED = ROUTED.replace("flatten([generate_series(lo, hi) FOR lo, hi IN [0]])", f"flatten(list_transform(list_zip({_LOW}, {_HIGH}), lambda z: generate_series(TRY_CAST(z[1] AS INTEGER), TRY_CAST(z[2] AS INTEGER))))")
-
 IMPACTS = f"len({found('text_content', rules.IMPACT, 0)})"
 FLAGS = f"""flagged AS (SELECT *, {any_phrase("l", rules.FRONT_MATTER)} AS front_matter, {any_phrase("l", rules.AGGREGATE)} AS aggregate_phrase, {any_phrase("l", rules.POSITIVE)} AS positive, {any_phrase("l", rules.NEGATIVE)} AS negative,
     {any_phrase("l", rules.REFERENCE_ONLY)} AND NOT (impacts >= 2 OR {any_phrase("l", rules.AGGREGATE)}) AS reference_only, {any_phrase("l", rules.ADJUSTED)} AND ({any_phrase("l", rules.RATIO_TERMS)} OR NOT signal) AS adjusted_definition,
