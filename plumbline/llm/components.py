@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import staged
+from plumbline.llm.common import discard, staged
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,12 +17,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     links = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
     links = staged(links.union(links.select("b", "a")), "links")
-    labels = staged(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    at = staged(links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "node"), "labels")
+    labels = at
     while True:
         near = links.join(labels.select(F.col("node").alias("b"), F.col("component").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
         least = labels.join(near, "node").select("node", "component", F.least("component", "other").alias("found"))
         up = labels.select(F.col("node").alias("found"), F.col("component").alias("above"))
         after = staged(least.join(up, "found").select("node", F.least("found", "above").alias("component"), (F.least("found", "above") < F.col("component")).alias("moved")), "labels")
-        labels = after.select("node", "component")
+        discard(at)
+        at, labels = after, after.select("node", "component")
         if after.filter("moved").isEmpty():
+            discard(links)
             return labels

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import blocks, id_filter, maybe_in, staged
+from plumbline.llm.common import blocks, discard, id_filter, maybe_in, staged
 from plumbline.llm.components import components
 from plumbline.llm.textblocks import mix, shingle_sets
 
@@ -348,6 +348,11 @@ def _to_central(tiles: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row."""
+    return _components(docs, id_col, text_col)[0]
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of jaccard_components, and the staged tables that they are read from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     texts = rows.select("text_key", "text")
@@ -376,9 +381,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     known = signatures.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", F.coalesce("component", "set_id").alias("component"))
     mixed = _dealt(tiles, known).repartition("key").sortWithinPartitions("key").mapInArrow(_mixed, "key long, set_id long, n int, place int, side int, component long")
-    signed = staged(mixed, "mixed").join(signatures.select("set_id", "bits"), "set_id").select("key", "set_id", "n", "place", "side", "component", "bits")
+    mixed = staged(mixed, "mixed")
+    signed = mixed.join(signatures.select("set_id", "bits"), "set_id").select("key", "set_id", "n", "place", "side", "component", "bits")
     across = signed.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
     across = staged(across.join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(tiles, mixed)
     every = components(links.union(verify(texts, classes, across)))
 
     known = classes.filter("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"))
@@ -386,19 +393,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # written, so that the join below deals both sides anew and a large component can be split
     lowest = staged(known.groupBy("component").agg(F.min("first_doc").alias("component_id")), "lowest")
     final = known.join(lowest, "component").select("set_id", "component_id")
+    discard(first, across, links)
     joined = classes.filter("n > 0").select("doc_id", "n", "set_id").join(final, "set_id")
     alone = classes.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone), [classes, known, lowest]
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the least id, or, of rows with that same id, the first read.
+    """One row of each component: that with the least id, null ids last, and of rows with that same id one by its text.
 
-    Rows are told apart by a key of their own, so ids may repeat or be null (null ids come last).
-    Rows without words link with nothing and all stay.
+    Rows are told apart by a hash of id and text, so ids may repeat or be null; of rows equal in both,
+    which are always of one component, one stays. Rows without words link with nothing and all stay.
     """
-    rows = staged(docs.withColumn("row_key", F.monotonically_increasing_id()), "rows")
-    found = jaccard_components(rows, "row_key").select(F.col("doc_id").alias("row_key"), "component_id")
-    ids = rows.select("row_key", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key").alias("place"))
-    first = found.join(ids, "row_key").groupBy("component_id").agg(F.min("place").alias("place")).select("place.row_key")
-    return rows.join(first, "row_key", "left_semi").select(docs.columns)
+    key = F.xxhash64("doc_id", "text").alias("row_key")
+    found, read = _components(docs.select(key, "text"), "row_key", "text")
+    found = staged(found.filter("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct(), "found")
+    discard(*read)
+    places = docs.select(key, "doc_id").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    first = found.join(places, "row_key").groupBy("component_id").agg(F.min(place).alias("place")).select("place.row_key")
+    # copies of a row are dropped within each task before anything is shuffled
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    rows = docs.select(key, F.struct(*docs.columns).alias("row"), worded.alias("worded"))
+    kept = rows.filter("worded").dropDuplicates(["row_key"]).join(first, "row_key", "left_semi")
+    return kept.select("row.*").unionByName(rows.filter("not worded").select("row.*"))

@@ -217,6 +217,15 @@ def test_warc_audit(spark):
     assert warc_audit.audit(left.limit(0), right.limit(0)).count() == 0
 
 
+def test_warc_audit_of_odd_rows(spark):
+    """Null url and html, negative and very large keys, other columns with the operator's own names."""
+    big = 2**60
+    rows = [(-1, None, None), (-4097, "u", ""), (big, "u", "h"), (big + 1, "u", "h"), (big + 1, "u", "h")]
+    frame = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "page_id long, url string, html string, node string, digest string, archive string")
+    records = warc_audit.to_records(frame)
+    got = {r.key: r for r in warc_audit.audit(records, warc_audit.to_records(frame.filter("page_id <> -1"))).collect()}
+    assert {k: r.status for k, r in got.items()} == {-1: "missing", -4097: "ok", big: "ok", big + 1: "ok"}
+    assert (got[-1].archive, got[-4097].archive, got[big].archive) == (-1, -2, big // 4096) and got[big + 1].offset == got[big].bytes and got[big + 1].copies == 2
 
 
 def test_syncmers(spark):
