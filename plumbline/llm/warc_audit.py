@@ -2,22 +2,27 @@
 
 Pages become WARC response records, in archives of FANOUT**LEVELS consecutive record keys. Within an
 archive, records lie in key order, so a run of keys is an ordered range of offsets. A leaf is the digest
-of all records of a key (count and additive digest sums, hence any order and partial aggregation; a key
-with very many copies is one row per task). A node of level l covers FANOUT**l keys and hashes its
-children, at most FANOUT, in order. The audit compares the roots of two replicas, joins the children of
-mismatching nodes only, level by level, and ends at the records that differ.
+of all records of a key (count, bytes and additive digest sums, hence any order and partial aggregation;
+a key with very many copies is one row per task). A node of level l covers FANOUT**l keys, and so one
+range of offsets: it has the range's length and hashes its children, at most FANOUT, in order, each with
+its place and length. The audit compares the roots of two replicas, joins the children of mismatching
+nodes only, level by level, and ends at the records that differ. Each replica is read once: its leaves,
+then each level above, are written tables, and so is what is found on each level down.
 
 Null url or html is empty; null keys are left out (a record without an id can't be located) and
-reported by no row. Empty tables give no rows.
+reported by no row. Repeated records are copies of one key, in any order. Columns besides those named
+are ignored. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import staged
+
 FANOUT, LEVELS = 16, 3
 ARCHIVE = FANOUT**LEVELS
 
@@ -34,17 +39,22 @@ def leaves(records: DataFrame) -> DataFrame:
     """One row per key: bytes and digest of its records."""
     digest = records.select("key", F.octet_length("record").cast("long").alias("bytes"), F.sha2("record", 256).alias("sha"))
     parts = [F.sum(F.conv(F.substring("sha", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
-    leaf = digest.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("copies"), F.concat_ws(":", F.count("*").cast("string"), *parts).alias("sums"))
+    leaf = digest.groupBy("key").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("copies"), F.concat_ws(":", F.count("*").cast("string"), F.sum("bytes").cast("string"), *parts).alias("sums"))
     return leaf.select("key", "bytes", "copies", F.sha2("sums", 256).alias("digest"))
 
 
+def parent_of(node: str, width: int = FANOUT) -> Column:
+    """node / width, rounded down, in whole numbers."""
+    return F.expr(f"({node} - pmod({node}, {width}L)) div {width}L")
+
+
 def levels(leaf: DataFrame) -> list[DataFrame]:
-    """Nodes (node, digest) of each level, leaves first; a root's node is its archive."""
-    out = [leaf.select(F.col("key").alias("node"), "digest")]
-    for _ in range(LEVELS):
-        up = out[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(F.sort_array(F.collect_list(F.struct("node", "digest"))).alias("children"))
-        joined = F.array_join(F.transform("children", lambda x: F.concat_ws(":", x["node"].cast("string"), x["digest"])), "|")
-        out.append(up.select(F.col("parent").alias("node"), F.sha2(joined, 256).alias("digest")))
+    """Nodes (node, bytes, digest) of each level, leaves first; a root's node is its archive."""
+    out = [leaf.select(F.col("key").alias("node"), "bytes", "digest")]
+    for level in range(LEVELS):
+        up = out[-1].groupBy(parent_of("node").alias("parent")).agg(F.sum("bytes").alias("bytes"), F.sort_array(F.collect_list(F.struct("node", "bytes", "digest"))).alias("children"))
+        joined = F.array_join(F.transform("children", lambda x: F.concat_ws(":", x["node"].cast("string"), x["bytes"].cast("string"), x["digest"])), "|")
+        out.append(staged(up.select(F.col("parent").alias("node"), "bytes", F.sha2(joined, 256).alias("digest")), f"level{level + 1}"))
     return out
 
 
@@ -54,11 +64,11 @@ def mismatches(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
     def differing(a: DataFrame, b: DataFrame) -> DataFrame:
         both = a.alias("a").join(b.alias("b"), F.col("a.node") == F.col("b.node"), "full_outer")
         unequal = both.filter(~F.col("a.digest").eqNullSafe(F.col("b.digest")))
-        return unequal.select(F.coalesce("a.node", "b.node").alias("node"), F.col("a.node").isNotNull().alias("in_left"), F.col("b.node").isNotNull().alias("in_right"))
+        return staged(unequal.select(F.coalesce("a.node", "b.node").alias("node"), F.col("a.node").isNotNull().alias("in_left"), F.col("b.node").isNotNull().alias("in_right")), "mismatches")
 
     def descend(found: DataFrame, level: int) -> DataFrame:
         parents = found.select(F.col("node").alias("parent"))
-        under = [x[level].join(parents, F.floor(x[level]["node"] / FANOUT) == F.col("parent"), "left_semi") for x in (left, right)]
+        under = [x[level].withColumn("parent", parent_of("node")).join(parents, "parent", "left_semi") for x in (left, right)]
         return differing(*under)
 
     return reduce(descend, range(LEVELS - 1, -1, -1), differing(left[-1], right[-1]))
@@ -69,11 +79,11 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
     status: ok, corrupt, missing (not in the second) or extra (in the second only; no offset).
     """
-    a, b = leaves(left), leaves(right)
+    a, b = staged(leaves(left), "leaves"), staged(leaves(right), "leaves")
     found = mismatches(levels(a), levels(b))
     order = Window.partitionBy("archive").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = a.withColumn("archive", F.floor(F.col("key") / ARCHIVE)).withColumn("offset", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
+    placed = a.withColumn("archive", parent_of("key", ARCHIVE)).withColumn("offset", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
     rows = placed.join(found, F.col("key") == F.col("node"), "full_outer")
     status = F.when(F.col("node").isNull(), "ok").when(~F.col("in_left"), "extra").when(~F.col("in_right"), "missing").otherwise("corrupt")
-    key = F.coalesce("key", "node")
-    return rows.select(key.alias("key"), F.floor(key / ARCHIVE).alias("archive"), "offset", "bytes", "copies", status.alias("status"))
+    rows = rows.withColumn("key", F.coalesce("key", "node"))
+    return rows.select("key", parent_of("key", ARCHIVE).alias("archive"), "offset", "bytes", "copies", status.alias("status"))
