@@ -9,7 +9,7 @@ BATCH_BYTES = "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets what the library needs of a session; every query of this repository starts with it.
+    """Sets what the library needs of a session; the views, tables and unions of this repository start with it.
 
     Spark 4.1 lets a union of equally partitioned inputs count as partitioned by their keys, and a
     grouping on those keys then goes without a shuffle; adaptive execution may have merged the inputs'

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import chunking, layout
+from plumbline.session import prepare
 
 #: Documents of a source are cut by id, so that no window over a document grows with the table.
 BLOCK = 4096
@@ -63,6 +64,7 @@ FROM benchmark"""
 
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    prepare(spark)
     for name in names:
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
