@@ -3,10 +3,12 @@
 Merges apply by rank. Whether a token boundary is final can depend on what follows it, but only
 through a chain of merges of falling rank that overlap to the right. `lookahead()` computes the
 longest such chain of a merge list once; a boundary further than that from the end of what has been
-read can't change any more. `Transducer.feed` keeps only the unstable rest of a pre-token, so memory
-doesn't grow with a text or a word; words that are short are remembered.
+read can't change any more. `Bpe.stream` keeps only the unstable rest of a word, `Bpe.pieces` gives the
+ids of a text word by word, and `Decoder` turns ids into text as they come, so memory besides the text
+itself doesn't grow with a text or a word; words that are short are remembered.
 
-Texts: null is empty. Special strings inside texts become their own ids, as in the library.
+Texts: null is empty. Special strings inside texts become their own ids, as in the library. Repeated rows
+are encoded each by itself; columns besides the id and the text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import codecs
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import sys
 import unicodedata
@@ -46,8 +49,8 @@ def _words(wide: bool) -> regex.Pattern:
     return regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{letters}+|{digits}|[^{_SPACE}{letters}{digits}]+")
 
 
-def words(text: str) -> list[str]:
-    return _words(not text.isascii() and _WIDE.search(text) is not None).findall(text)
+def words(text: str) -> Iterator[str]:
+    return (m.group() for m in _words(not text.isascii() and _WIDE.search(text) is not None).finditer(text))
 
 
 def byte_marks() -> list[str]:
@@ -98,6 +101,10 @@ class Bpe:
         self.block, self.longest, self.limit = block, longest, remembered
         self.marks = byte_marks()
         self.memo: dict[str, bytes] = {}
+        byte_of = {m: bytes([i]) for i, m in enumerate(self.marks)}
+        special = set(self.specials.values())
+        self.plain_bytes = {i: t.encode("utf-8") for i, t in self.surface.items()}
+        self.readable_bytes = {i: self.plain_bytes[i] if i in special or not all(c in byte_of for c in t.removesuffix(self.end)) else b"".join(byte_of[c] for c in t.removesuffix(self.end)) + b" " * (bool(self.end) and t.endswith(self.end)) for i, t in self.surface.items()}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """The merges in order of rank, leftmost first, over a linked list with a heap."""
@@ -148,34 +155,50 @@ class Bpe:
             self.memo[word] = found
         return found
 
-    def encode(self, text: str) -> bytes:
+    def pieces(self, text: str) -> Iterator[bytes]:
+        """Ids of a text, one special string or word after the other."""
         parts = self.split_specials.split(text) if self.split_specials and "<" in text else [text]
-        out = []
         for part in parts:
             if part in self.specials:
-                out.append(array("I", [self.specials[part]]).tobytes())
+                yield array("I", [self.specials[part]]).tobytes()
             elif part:
-                out += map(self.word, words(normalized(part)))
-        return b"".join(out)
+                yield from map(self.word, words(normalized(part)))
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(self.pieces(text))
 
     def decode(self, ids: bytes) -> str:
-        """As the library does without a decoder: the tokens' own strings, one space between them."""
-        return " ".join(map(self.surface.__getitem__, memoryview(ids).cast("I")))
+        decoder = Decoder(self)
+        return decoder.feed(ids) + decoder.end()
 
     def text(self, ids: bytes) -> str:
-        """Readable text: an incremental byte-to-text machine over the tokens' bytes, a space after word ends."""
-        byte_of = {m: i for i, m in enumerate(self.marks)}
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        out, special = [], set(self.specials.values())
-        for i in memoryview(ids).cast("I"):
-            token = self.surface[i]
-            if i in special:
-                out.append(machine.decode(b"", True) + token)
-                machine.reset()
-                continue
-            ends = bool(self.end) and token.endswith(self.end)
-            out.append(machine.decode(bytes(byte_of[c] for c in (token[: -len(self.end)] if ends else token)), ends) + " " * ends)
-        return "".join(out) + machine.decode(b"", True)
+        """Readable text."""
+        decoder = Decoder(self, readable=True)
+        return decoder.feed(ids) + decoder.end()
+
+
+class Decoder:
+    """Ids to text as they come: a machine over the tokens' bytes that holds back an unfinished character.
+
+    Plain: as the library does without a decoder, the tokens' own strings with a space between them.
+    readable: the bytes that a byte-level vocabulary stands for, with a space after word ends.
+    """
+
+    def __init__(self, bpe: Bpe, readable: bool = False):
+        self.bytes_of = bpe.readable_bytes if readable else bpe.plain_bytes
+        self.between = b"" if readable else b" "
+        self.begun = False
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def feed(self, ids: bytes) -> str:
+        raw = self.between.join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I")))
+        if raw and self.begun:
+            raw = self.between + raw
+        self.begun = self.begun or bool(raw)
+        return self.machine.decode(raw)
+
+    def end(self) -> str:
+        return self.machine.decode(b"", True)
 
 
 def normalized(text: str) -> str:
@@ -192,23 +215,43 @@ def normalized(text: str) -> str:
 
 def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids binary (little-endian unsigned 32-bit), decoded string for each row."""
-    return _over(docs, path, id_col, text_col, [("ids", pa.binary(), lambda ids, _: ids), ("decoded", pa.string(), lambda _, decoded: decoded)])
+
+    def whole(bpe: Bpe, text: str) -> tuple:
+        ids = bpe.encode(text)
+        return ids, bpe.decode(ids)
+
+    return _over(docs, path, id_col, text_col, whole, {"ids": pa.binary(), "decoded": pa.string()})
+
+
+def digests(bpe: Bpe, text: str, chunk: int = 4096) -> tuple[int, str, str]:
+    """Number of ids, digest of the ids, digest of the decoded text; ids are hashed and decoded as they come."""
+    n, of_ids, of_text, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(bpe)
+    for pieces in itertools.batched(bpe.pieces(text), chunk):
+        ids = b"".join(pieces)
+        n += len(ids) // 4
+        of_ids.update(ids)
+        of_text.update(decoder.feed(ids).encode())
+    of_text.update(decoder.end().encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; ids and texts don't leave the tasks."""
-    columns = [("n_tokens", pa.int64(), lambda ids, _: len(ids) // 4), ("ids_sha256", pa.string(), lambda ids, _: hashlib.sha256(ids).hexdigest()), ("decoded_sha256", pa.string(), lambda _, decoded: hashlib.sha256(decoded.encode()).hexdigest())]
-    return _over(docs, path, id_col, text_col, columns)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 for each row; ids and decoded texts are never held whole."""
+    return _over(docs, path, id_col, text_col, digests, {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()})
+
 
+def _over(docs: DataFrame, path: str, id_col: str, text_col: str, of, kinds: dict[str, pa.DataType]) -> DataFrame:
+    """doc_id and the columns of `of(bpe, text)` for each row."""
 
-def _over(docs: DataFrame, path: str, id_col: str, text_col: str, columns: list) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                done = [(ids, bpe.decode(ids)) for text in part.column(1) for ids in [bpe.encode(text.as_py() or "")]]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([f(*x) for x in done], kind) for _, kind, f in columns)], names=["doc_id", *(name for name, _, _ in columns)])
+                done = [of(bpe, text.as_py() or "") for text in part.column(1)]
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*done, strict=True), kinds.values(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", *kinds])
 
-    kinds = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{name} {kinds[kind]}" for name, kind, _ in columns))
+    ddl = {pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{name} {ddl[kind]}" for name, kind in kinds.items()))

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm.bpe_stream import Bpe, bpe_digests, bpe_round_trip
+from plumbline.llm.bpe_stream import Bpe, Decoder, bpe_digests, bpe_round_trip, digests, lookahead
 from plumbline.llm.common import tokenizer_path
 from plumbline.llm.packing import ByteLevelIds, merge_windows, pack
 from plumbline.llm.token_counts import _load, pretokens, token_counts
@@ -55,6 +55,43 @@ def test_streaming_of_long_words_keeps_little(library):
     assert small.ahead < 10_000
 
 
+def bounds(bpe, word):
+    at, out = 0, []
+    for token in bpe.merged(list(word)):
+        at += len(token)
+        out.append(at)
+    return out
+
+
+def test_lookahead_is_sufficient_for_random_merge_lists():
+    rng = random.Random(1)
+    for t in range(120):
+        tokens, merges = list("ab" if t % 2 else "abc"), []
+        for _ in range(rng.choice([2, 3, 5, 8, 14])):
+            pair = rng.choice(tokens), rng.choice(tokens)
+            if pair not in merges and len(pair[0] + pair[1]) <= 6:
+                merges.append(pair)
+                tokens.append(pair[0] + pair[1])
+        small = object.__new__(Bpe)
+        small.ranks, ahead = {m: i for i, m in enumerate(merges)}, lookahead(merges)
+        for _ in range(3):
+            word = [rng.choice(tokens[:2]) for _ in range(rng.choice([1, 2, 3, 5, 80]))] * 80
+            word = word[:80]
+            whole = set(bounds(small, word))
+            for cut in range(1, 80):
+                assert {x for x in bounds(small, word[:cut]) if x <= cut - ahead} == {x for x in whole if x <= cut - ahead}
+
+
+def test_ids_and_text_come_in_pieces(library):
+    text = " ".join(f"naïve wörd {i} 日本 <|endoftext|>" for i in range(3000))
+    ids_ = np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+    want = len(ids_), hashlib.sha256(ids_.tobytes()).hexdigest(), hashlib.sha256(library.decode(ids_.tolist(), skip_special_tokens=False).encode()).hexdigest()
+    assert digests(BPE, text, chunk=7) == digests(BPE, text) == want
+    decoder = Decoder(BPE, readable=True)
+    readable = "".join(decoder.feed(ids_[i : i + 1].tobytes()) for i in range(len(ids_))) + decoder.end()
+    assert readable == BPE.text(ids_.tobytes()) and "naïve wörd 2 9 9 9 日本" in readable
+
+
 def test_bpe_queries(spark, library):
     texts = [*ODD, None]
     got = {r.doc_id: r for r in bpe_digests(docs_of(spark, texts), tokenizer_path("word_bpe_49k.json")).collect()}
@@ -68,12 +105,30 @@ def test_bpe_queries(spark, library):
     assert bpe_digests(docs_of(spark, []), tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
+def test_bpe_query_on_long_and_repeated_rows(spark, library):
+    texts = ["ab" * 6000 + " x", "ab" * 6000 + " x", "word " * 20_000, "é" * 5000]
+    rows = [(7, t, "x") for t in texts]
+    got = bpe_digests(spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string"), tokenizer_path("word_bpe_49k.json")).collect()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted((r.n_tokens, r.ids_sha256) for r in got) == sorted((len(e), hashlib.sha256(np.array(e, "<u4").tobytes()).hexdigest()) for e in want)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(words, st.text(max_size=60)))
 def test_pretokens_add_up(text):
     assert sum(len(SP.encode(p)) if p else 1 for p in pretokens(text)) == len(SP.encode(text))
 
 
+def test_frequent_pretokens_fit_the_bound(spark, monkeypatch):
+    """What reaches the driver is at most `head` rows, whatever the ties."""
+    sent = []
+    real = type(spark.range(1)).toPandas
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", lambda df: sent.append(real(df)) or sent[-1])
+    texts = [" ".join(f"w{j}" for j in range(i % 50, 60)) for i in range(200)]
+    token_counts(docs_of(spark, texts), tokenizer_path("piece_bpe_32k.model"), head=20).collect()
+    assert 0 < len(sent[-1]) <= 20 and len(sent[0]) < 100
+
+
 @pytest.mark.parametrize("head", [0, 3, 1000])
 def test_token_counts(spark, head):
     texts = [*ODD, None, *ODD, "word " * 5000]
