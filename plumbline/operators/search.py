@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.frames import union
 from plumbline.functions.textnorm import plain_tokens, tokens
+from plumbline.operators.vectors import candidates, nearest
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,14 +33,31 @@ def ranked(rows: DataFrame, keys: list[str], order: list[Column], k: int | None,
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 3, pages: bool = False) -> DataFrame:
     """Top k by cosine in each query's document; `pages` keeps chunks on the query's pages, before scoring.
 
-    Lengths are divided out once a row, before the join. It is exact, and so reads every chunk of a
-    query's document; over whole tables `ivf_search` reads a part.
+    Exact: blocks of a document's vectors meet blocks of its queries in matrix products, and each block gives its
+    first k. Over whole tables `code_search` reads codes. Queries and chunks without a vector take no part;
+    the queries' other columns are kept.
     """
-    rows = vectors.withColumn("embedding", unit(F.col("embedding"))).join(queries.withColumn("query_embedding", unit(F.col("query_embedding"))), "doc_id")
-    if pages:
-        rows = rows.filter(F.arrays_overlap("page_numbers", "pages"))
-    rows = rows.withColumn("score", F.round(dot(F.col("embedding"), F.col("query_embedding")), 6)).drop("embedding", "query_embedding")
-    return ranked(rows, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    found = ranked(nearest(vectors, queries, k, pages), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    more = [c for c in queries.columns if c not in ("query_id", "doc_id", "query_embedding", "pages")]
+    return found.join(queries.select("query_id", *more), "query_id") if more else found
+
+
+def code_search(codes: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 3, most: int | None = 100, others: bool = False) -> DataFrame:
+    """Top k of all vectors (chunk_id, embedding) by scanning `encode(vectors)`; full vectors are read of candidates only.
+
+    Bounds of what the codes lose decide who is a candidate, so with most=None the result is exact; else a
+    query takes its first `most` candidates by their bounds. With others, a row is no neighbour of itself.
+    """
+    found = candidates(codes, queries, k, others)
+    best = Window.partitionBy("query_id").orderBy(F.desc("lower"), "chunk_id")
+    least = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("least"))
+    near = found.join(least, "query_id").filter("upper >= least")
+    if most:
+        near = ranked(near, ["query_id"], [F.desc("upper"), F.col("chunk_id")], most)
+    full = vectors.select(F.col("chunk_id").cast("string").alias("chunk_id"), "embedding")
+    rows = full.join(near.select("query_id", "chunk_id"), "chunk_id").join(queries.select("query_id", "query_embedding"), "query_id")
+    score = F.round(dot(unit(F.col("embedding")), unit(F.col("query_embedding"))), 6)
+    return ranked(rows.select("query_id", "chunk_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
 def bm25_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -66,22 +84,23 @@ def bm25_scores(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
     return hits.groupBy("query_id", "doc_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 3, positive: bool = False) -> DataFrame:
-    """Top k; chunks without a query term score 0 and can fill up (unless positive).
+def filled(scores: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """scores with chunks (doc_id, chunk_id) that have none, at 0, for queries with fewer than k scores above 0.
 
-    Only queries with fewer than k scores above 0 are filled, from the first chunks of their document
-    by id, so many as they can need.
+    Such a query gets the first chunks of its document by id, so many as it can need.
     """
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))
+    chunks = chunks.select("doc_id", "chunk_id", number.alias("number"))
+    hits = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count_if(F.col("score") <= 0).alias("below"))
+    short = queries.select("query_id", "doc_id").join(hits, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).withColumn("most", k + F.coalesce("below", F.lit(0)))
+    fill = short.join(chunks, (short["doc_id"] == chunks["doc_id"]) & (chunks["number"] <= short["most"])).select("query_id", short["doc_id"], "chunk_id", F.lit(0.0).alias("score"))
+    return union(scores, fill.join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
+
+
+def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFrame, k: int = 3, positive: bool = False) -> DataFrame:
+    """Top k; chunks without a query term score 0 and can fill up (unless positive)."""
     scores = bm25_scores(index, queries)
-    if positive:
-        rows = scores.filter("score > 0")
-    else:
-        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id"))
-        chunks = index[2].select("doc_id", "chunk_id", number.alias("number"))
-        hits = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("above"), F.count_if(F.col("score") <= 0).alias("below"))
-        short = queries.select("query_id", "doc_id").join(hits, "query_id", "left").filter(F.coalesce("above", F.lit(0)) < k).withColumn("most", k + F.coalesce("below", F.lit(0)))
-        fill = short.join(chunks, (short["doc_id"] == chunks["doc_id"]) & (chunks["number"] <= short["most"])).select("query_id", short["doc_id"], "chunk_id", F.lit(0.0).alias("score"))
-        rows = union(scores, fill.join(scores.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti"))
+    rows = scores.filter("score > 0") if positive else filled(scores, index[2], queries, k)
     return ranked(rows, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 

@@ -14,6 +14,7 @@ from plumbline import rules_sql as sql
 from plumbline.functions import rules, textnorm
 from plumbline.functions.frames import union
 from plumbline.operators import chunking, evidence, facts, intents, layout, search, triage
+from plumbline.operators.vectors import encode
 from plumbline.plans import retrieval
 from plumbline.sources import corpus, tables
 from plumbline.streaming import ingest
@@ -476,11 +477,11 @@ def r13(spark: SparkSession, sf: str) -> DataFrame:
     return search.rerank(found).select("query_id", "chunk_id", "rerank_score", "rank")
 
 
-@query("r14_approximate_search")
+@query("r14_approximate_search", "SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id::VARCHAR AS chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id::VARCHAR) AS rank FROM embeddings q JOIN embeddings v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id) WHERE rank <= 3", plain=True)
 def r14(spark: SparkSession, sf: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
     queries = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
-    return search.ivf_search(vectors, queries, others=True)
+    return search.code_search(tables.written(encode(vectors), "codes"), vectors, queries, others=True)
 
 
 # 2.6 routing and plans
@@ -514,7 +515,7 @@ def q10(spark: SparkSession, sf: str) -> DataFrame:
 def q9(spark: SparkSession, sf: str) -> DataFrame:
     queries = intents.classify(corpus.finance_queries(spark, sf)).filter("coverage_type = 'numeric_list'")
     phrases = F.array(F.lit("Items of note"), F.lit("FDIC special assessment"))
-    rows = search.phrase_candidates(corpus.finance_chunks(spark, sf), queries.select("query_id", "doc_id", phrases.alias("phrases")), 1_000_000)
+    rows = search.phrase_candidates(corpus.finance_chunks(spark, sf), queries.select("query_id", "doc_id", phrases.alias("phrases")), None)
     return retrieval.items_of_note_anchor(rows.join(queries.select("query_id", "query", "coverage_type"), "query_id"))[0].select("query_id", "chunk_id")
 
 
