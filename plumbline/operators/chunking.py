@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules
+from plumbline.functions import rules, scan
 from plumbline.functions.frames import union
 from plumbline.functions.textnorm import is_title, is_upper, numbered, strip
+from plumbline.session import prepare
+
+#: A token: what stands between white space as SQL's patterns see it.
+TOKEN = re.compile("[^ \t\n\x0b\f\r]+")
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
@@ -43,6 +52,33 @@ def child_spans(tokens: DataFrame, child: int = 256, size: int = 8192, overlap:
     return rows.groupBy("doc_id", "page_number", "macro_no", number.alias("child_id")).agg(F.min("start").alias("char_start"), F.max("end").alias("char_end"), F.count("*").alias("n_tokens"))
 
 
+def page_children(pages: DataFrame, child: int = 256, size: int = 8192, overlap: int = 256) -> DataFrame:
+    """The rows of `child_spans` straight from page texts: offsets stay in arrays of a page, no token is a row."""
+    step = size - overlap
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, int, int, int, int]] = []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                ends = [m.span() for m in TOKEN.finditer(text or "")]
+                n = len(ends)
+                for macro, first in enumerate(range(0, n, step)):
+                    if first and first >= n - overlap:
+                        break
+                    for number, at in enumerate(range(first, min(first + size, n), child)):
+                        last = min(at + child, first + size, n)
+                        found.append((row, macro, number, ends[at][0], ends[last - 1][1], last - at))
+            x = np.array(found, np.int64).reshape(-1, 6)
+            keys = batch.take(pa.array(x[:, 0])).select(["doc_id", "page_number"])
+            names = ("macro_no", "child_id", "char_start", "char_end")
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(x[:, k].astype(np.int32)) for k in range(1, 5)), pa.array(x[:, 5])], names=["doc_id", "page_number", *names, "n_tokens"])
+
+    kinds = pages.select("doc_id", "page_number").schema
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", macro_no int, child_id int, char_start int, char_end int, n_tokens long"
+    prepare(pages.sparkSession)
+    return pages.select("doc_id", "page_number", "text").mapInArrow(cut, schema)
+
+
 def lineage(children: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans that overlap a child: number, heading and section of the first non-empty, sorted pages."""
     s = spans.select("doc_id", "page_number", "span_no", F.col("char_start").alias("s0"), F.col("char_end").alias("s1"), "heading_path", "section_id")
@@ -63,14 +99,16 @@ def chunk_type(text: Column) -> Column:
 
 def chunks(pages: DataFrame, spans: DataFrame, macro: int = 8192, overlap: int = 256, child: int = 256) -> DataFrame:
     """Chunks of page texts and table spans: on each page tables first, then macro windows, numbered over the document."""
-    tokens = page_tokens(pages)
-    parts = lineage(child_spans(tokens, child, macro, overlap), spans.filter(~F.col("is_table")))
+    parts = lineage(page_children(pages, child, macro, overlap), spans.filter(~F.col("is_table")))
     text = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     body = parts.join(pages.select("doc_id", "page_number", "text"), ["doc_id", "page_number"]).withColumn("text_content", text)
     body = body.select("doc_id", "page_number", F.lit(1).alias("kind"), F.col("macro_no").alias("ordinal"), "child_id", "char_start", "char_end", "text_content", "heading_path", "section_id", "page_numbers", chunk_type(F.col("text_content")).alias("chunk_type"))
     table = spans.filter("is_table").select("doc_id", "page_number", F.lit(0).alias("kind"), F.col("span_no").alias("ordinal"), F.lit(0).alias("child_id"), "char_start", "char_end", F.col("text").alias("text_content"), "heading_path", "section_id", F.array("page_number").alias("page_numbers"), F.lit("table").alias("chunk_type"))
-    over_doc = Window.partitionBy("doc_id").orderBy("page_number", "kind", "ordinal")
-    return union(body, table).withColumn("macro_id", F.dense_rank().over(over_doc) - 1).drop("kind", "ordinal")
+    rows = union(body, table).withColumn("place_", F.dense_rank().over(Window.partitionBy("doc_id", "page_number").orderBy("kind", "ordinal")))
+    # A page's numbers start after those of the pages before it.
+    counts = union(body.select("doc_id", "page_number", "kind", "ordinal"), table.select("doc_id", "page_number", "kind", "ordinal")).distinct().groupBy("doc_id", "page_number").agg(F.count("*").alias("macros_"))
+    rows = rows.join(scan.before(counts, {"macros_": "sum"}), ["doc_id", "page_number"])
+    return rows.withColumn("macro_id", (F.col("macros_") + F.col("place_") - 1).cast("int")).drop("kind", "ordinal", "place_", "macros_")
 
 
 def late_pooling(token_vectors: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules
+from plumbline.functions import rules, scan
 from plumbline.functions.frames import union
 from plumbline.functions.textnorm import any_pattern, collapse, is_title, is_upper, numbered, strip
 
@@ -40,18 +40,22 @@ def heading_level(line: Column) -> Column:
     return level.cast("int")
 
 
-def heading_stack(lines: DataFrame) -> DataFrame:
+def heading_stack(lines: DataFrame, at_once: int = scan.RANGE) -> DataFrame:
     """Adds level, heading_path, section_id: the stack carried over the lines and pages of a document.
 
-    Levels are 1 and 2 only, so the stack is the first heading since the last level 1 and the latest
-    one; both are window functions.
+    Levels are 1 and 2 only, so the stack is the last heading of level 1 (before any, the first heading) and
+    the latest heading. Both are maxima and minima of places, so each page is summed up in one row, the rows
+    are scanned (`scan.before`), and a page's lines start from what came before it: no task needs more
+    than a page's lines or a range of pages.
     """
-    order = [F.col("page_number"), F.col("line_no")]
-    whole = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("level", heading_level(F.col("line"))).withColumn("group_", F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(whole))
-    within = Window.partitionBy("doc_id", "group_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     here = F.when(F.col("level").isNotNull(), F.struct("page_number", "line_no", collapse(F.col("line")).alias("text")))
-    rows = rows.withColumn("base_", F.first(here, ignorenulls=True).over(within)).withColumn("last_", F.last(here, ignorenulls=True).over(within))
+    rows = lines.withColumn("level", heading_level(F.col("line"))).withColumn("here_", here)
+    one = F.when(F.col("level") == 1, F.col("here_"))
+    pages = rows.groupBy("doc_id", "page_number").agg(F.max(one).alias("one_"), F.min("here_").alias("first_"), F.max("here_").alias("last_"))
+    state = scan.before(pages, {"one_": "max", "first_": "min", "last_": "max"}, at_once)
+    so_far = Window.partitionBy("doc_id", "page_number").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"own_one_": F.max(one).over(so_far), "own_first_": F.min("here_").over(so_far), "own_last_": F.max("here_").over(so_far)})
+    rows = rows.join(state, ["doc_id", "page_number"]).withColumn("base_", F.coalesce("own_one_", "one_", "first_", "own_first_")).withColumn("last_", F.coalesce("own_last_", "last_"))
     deep = (F.col("last_.page_number") != F.col("base_.page_number")) | (F.col("last_.line_no") != F.col("base_.line_no"))
     path = F.concat_ws("/", F.col("doc_id"), F.col("base_.text"), F.when(deep, F.col("last_.text")))
     return rows.select(*lines.columns, "level", path.alias("heading_path"), F.coalesce(F.col("last_.text"), F.col("doc_id")).alias("section_id"))

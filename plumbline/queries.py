@@ -333,8 +333,7 @@ children AS (SELECT w.doc_id, w.page_number, macro_no, (pos - first) // 64 AS ch
 
 @query("c1_c2_c3_windows", TOKENS + "SELECT doc_id, page_number, macro_no::INTEGER AS macro_no, child_id::INTEGER AS child_id, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, n_tokens FROM children")
 def c_windows(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = chunking.page_tokens(layout.page_text(layout.spans(layout.page_lines(corpus.pages(spark, sf)))))
-    return chunking.child_spans(tokens, 64, 512, 32)
+    return chunking.page_children(layout.page_text(layout.spans(layout.page_lines(corpus.pages(spark, sf)))), 64, 512, 32)
 
 
 @query("c2_macro_windows", TOKENS + "SELECT doc_id, page_number, macro_no::INTEGER AS macro_no, first::INTEGER AS first, last::INTEGER AS last FROM windows")
