@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from plumbline.functions import rules, scan
-from plumbline.functions.frames import union
 from plumbline.functions.textnorm import is_title, is_upper, numbered, strip
 from plumbline.session import prepare
 
@@ -39,53 +41,35 @@ def macro_windows(tokens: DataFrame, size: int = 8192, overlap: int = 256) -> Da
     return kept.withColumn("macro_no", F.floor(F.col("first") / (size - overlap)).cast("int")).withColumn("last", F.least(F.col("first") + size, "n") - 1)
 
 
-def child_spans(tokens: DataFrame, child: int = 256, size: int = 8192, overlap: int = 256) -> DataFrame:
-    """Runs of `child` tokens within each macro window, by the offsets of their first and last token.
-
-    A token's own position and its page's number of tokens tell the windows that it is in, so nothing
-    is joined, and the aggregate needs no other partitioning than the running offsets had.
-    """
-    step, pos = size - overlap, F.col("pos")
-    first = F.greatest(F.lit(0), F.ceil((pos - size + 1) / step).cast("int"))
-    rows = tokens.withColumn("macro_no", F.explode(F.sequence(first, F.floor(pos / step).cast("int")))).filter((F.col("macro_no") == 0) | (F.col("macro_no") * step < F.col("n") - overlap))
-    number = F.floor((pos - F.col("macro_no") * step) / child).cast("int")
-    return rows.groupBy("doc_id", "page_number", "macro_no", number.alias("child_id")).agg(F.min("start").alias("char_start"), F.max("end").alias("char_end"), F.count("*").alias("n_tokens"))
+def children(text: str, child: int, size: int, overlap: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Macro number, child number, first and last offset and tokens of each child of a text."""
+    spans = [m.span() for m in TOKEN.finditer(text)]
+    n = len(spans)
+    for macro, first in enumerate(range(0, n, size - overlap)):
+        if first and first >= n - overlap:
+            break
+        end = min(first + size, n)
+        for number, at in enumerate(range(first, end, child)):
+            last = min(at + child, end)
+            yield macro, number, spans[at][0], spans[last - 1][1], last - at
 
 
 def page_children(pages: DataFrame, child: int = 256, size: int = 8192, overlap: int = 256) -> DataFrame:
-    """The rows of `child_spans` straight from page texts: offsets stay in arrays of a page, no token is a row."""
-    step = size - overlap
+    """Runs of `child` tokens within each macro window of a page; no token is a row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[int, int, int, int, int, int]] = []
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                ends = [m.span() for m in TOKEN.finditer(text or "")]
-                n = len(ends)
-                for macro, first in enumerate(range(0, n, step)):
-                    if first and first >= n - overlap:
-                        break
-                    for number, at in enumerate(range(first, min(first + size, n), child)):
-                        last = min(at + child, first + size, n)
-                        found.append((row, macro, number, ends[at][0], ends[last - 1][1], last - at))
+            found = [(row, *c) for row, text in enumerate(batch.column("text").to_pylist()) for c in children(text or "", child, size, overlap)]
             x = np.array(found, np.int64).reshape(-1, 6)
             keys = batch.take(pa.array(x[:, 0])).select(["doc_id", "page_number"])
-            names = ("macro_no", "child_id", "char_start", "char_end")
-            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(x[:, k].astype(np.int32)) for k in range(1, 5)), pa.array(x[:, 5])], names=["doc_id", "page_number", *names, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*keys.columns, *(pa.array(x[:, k].astype(np.int32)) for k in range(1, 5)), pa.array(x[:, 5])], names=["doc_id", "page_number", "macro_no", "child_id", "char_start", "char_end", "n_tokens"])
 
-    kinds = pages.select("doc_id", "page_number").schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds) + ", macro_no int, child_id int, char_start int, char_end int, n_tokens long"
     prepare(pages.sparkSession)
-    return pages.select("doc_id", "page_number", "text").mapInArrow(cut, schema)
+    return pages.select("doc_id", "page_number", "text").mapInArrow(cut, f"{_ddl(pages, 'doc_id', 'page_number')}, macro_no int, child_id int, char_start int, char_end int, n_tokens long")
 
 
-def lineage(children: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans that overlap a child: number, heading and section of the first non-empty, sorted pages."""
-    s = spans.select("doc_id", "page_number", "span_no", F.col("char_start").alias("s0"), F.col("char_end").alias("s1"), "heading_path", "section_id")
-    rows = children.join(s, ["doc_id", "page_number"]).filter((F.col("s0") < F.col("char_end")) & (F.col("s1") > F.col("char_start")))
-    keys = ["doc_id", "page_number", "macro_no", "child_id"]
-    first = lambda c: F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col("span_no")))
-    return rows.groupBy(*keys).agg(F.first("char_start").alias("char_start"), F.first("char_end").alias("char_end"), F.count("*").alias("n_spans"), first("heading_path").alias("heading_path"), first("section_id").alias("section_id"), F.array_sort(F.collect_set("page_number")).alias("page_numbers"))
+def _ddl(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def chunk_type(text: Column) -> Column:
@@ -97,18 +81,46 @@ def chunk_type(text: Column) -> Column:
     return F.when(t == "", "boilerplate").when(heading, "heading").when(plate & (F.length(t) <= 120), "boilerplate").otherwise("narrative")
 
 
-def chunks(pages: DataFrame, spans: DataFrame, macro: int = 8192, overlap: int = 256, child: int = 256) -> DataFrame:
-    """Chunks of page texts and table spans: on each page tables first, then macro windows, numbered over the document."""
-    parts = lineage(page_children(pages, child, macro, overlap), spans.filter(~F.col("is_table")))
-    text = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    body = parts.join(pages.select("doc_id", "page_number", "text"), ["doc_id", "page_number"]).withColumn("text_content", text)
-    body = body.select("doc_id", "page_number", F.lit(1).alias("kind"), F.col("macro_no").alias("ordinal"), "child_id", "char_start", "char_end", "text_content", "heading_path", "section_id", "page_numbers", chunk_type(F.col("text_content")).alias("chunk_type"))
-    table = spans.filter("is_table").select("doc_id", "page_number", F.lit(0).alias("kind"), F.col("span_no").alias("ordinal"), F.lit(0).alias("child_id"), "char_start", "char_end", F.col("text").alias("text_content"), "heading_path", "section_id", F.array("page_number").alias("page_numbers"), F.lit("table").alias("chunk_type"))
-    rows = union(body, table).withColumn("place_", F.dense_rank().over(Window.partitionBy("doc_id", "page_number").orderBy("kind", "ordinal")))
-    # A page's numbers start after those of the pages before it.
-    counts = union(body.select("doc_id", "page_number", "kind", "ordinal"), table.select("doc_id", "page_number", "kind", "ordinal")).distinct().groupBy("doc_id", "page_number").agg(F.count("*").alias("macros_"))
-    rows = rows.join(scan.before(counts, {"macros_": "sum"}), ["doc_id", "page_number"])
-    return rows.withColumn("macro_id", (F.col("macros_") + F.col("place_") - 1).cast("int")).drop("kind", "ordinal", "place_", "macros_")
+def _overlapping(first: list[int], last: list[int], start: int, end: int) -> range:
+    """Which of the spans first[i]..last[i] (in order, apart) overlap start..end."""
+    return range(bisect_right(last, start), bisect_left(first, end))
+
+
+def chunks(spans: DataFrame, macro: int = 8192, overlap: int = 256, child: int = 256) -> DataFrame:
+    """Chunks of the spans of pages: on each page tables first, then macro windows, numbered over the document.
+
+    Spans come together once, as a page; its text, windows, children and their lineage (heading and section of the
+    first span with one, by bisection) are made there. Macro numbers go on from the pages before. The
+    spans are read twice: hand over a written table.
+    """
+    prepare(spans.sparkSession)
+    names = ("span_no", "char_start", "is_table", "text", "heading_path", "section_id")
+    pages = spans.groupBy("doc_id", "page_number").agg(F.sort_array(F.collect_list(F.struct(*names))).alias("spans"))
+    schema = f"{_ddl(spans, 'doc_id', 'page_number')}, place int, child_id int, char_start int, char_end int, text_content string, heading_path string, section_id string, n_spans int, is_table boolean"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, page, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_number", "spans")), strict=True):
+                tables, lines = [s for s in own if s["is_table"]], [s for s in own if not s["is_table"]]
+                rows = [(place, 0, s["char_start"], s["char_start"] + len(s["text"]), s["text"], s["heading_path"], s["section_id"], 1, True) for place, s in enumerate(tables)]
+                text = "\n".join(s["text"] for s in lines)
+                first, last = [s["char_start"] for s in lines], [s["char_start"] + len(s["text"]) for s in lines]
+                for number, at, start, end, _ in children(text, child, macro, overlap):
+                    under = _overlapping(first, last, start, end)
+                    named = (next((lines[i][c] for i in under if lines[i][c]), None) for c in ("heading_path", "section_id"))
+                    rows.append((len(tables) + number, at, start, end, text[start:end], *named, len(under), False))
+                yield pa.RecordBatch.from_pylist([dict(zip(fields, (doc, page, *r), strict=True)) for r in rows], schema=arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    fields = arrow.names
+    # A page's numbers start after the tables and macro windows of the pages before it.
+    tokens = F.sum(F.when(~F.col("is_table"), F.size(F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)))).otherwise(0))
+    more = F.greatest(F.ceil((F.col("tokens") - overlap) / (macro - overlap)), F.lit(1))
+    counts = spans.groupBy("doc_id", "page_number").agg(tokens.alias("tokens"), F.count_if("is_table").alias("tables"))
+    counts = counts.select("doc_id", "page_number", (F.col("tables") + F.when(F.col("tokens") > 0, more).otherwise(0)).alias("macros_"))
+    rows = pages.mapInArrow(cut, schema).join(scan.before(counts, {"macros_": "sum"}), ["doc_id", "page_number"])
+    kind = F.when(F.col("is_table"), "table").otherwise(chunk_type(F.col("text_content")))
+    return rows.select("doc_id", "page_number", (F.col("macros_") + F.col("place")).cast("int").alias("macro_id"), "child_id", "char_start", "char_end", "text_content", "heading_path", "section_id", "n_spans", F.array("page_number").alias("page_numbers"), kind.alias("chunk_type"))
 
 
 def late_pooling(token_vectors: DataFrame, keys: list[str]) -> DataFrame:

@@ -348,9 +348,8 @@ kinds AS (SELECT doc_id, page_number, 1 AS kind, macro_no AS ordinal, child_id,
 SELECT doc_id, page_number, (dense_rank() OVER (PARTITION BY doc_id ORDER BY page_number, kind, ordinal) - 1)::INTEGER AS macro_id, child_id::INTEGER AS child_id, char_start::INTEGER AS char_start, char_end::INTEGER AS char_end, heading_path FROM kinds""")
 def c_chunks(spark: SparkSession, sf: str) -> DataFrame:
     lines = layout.page_lines(corpus.pages(spark, sf))
-    spans = layout.spans(lines, layout.table_islands(lines))
-    text = layout.page_text(spans.filter("not is_table"))
-    return chunking.chunks(text, spans, 512, 32, 64).select("doc_id", "page_number", "macro_id", F.col("child_id").cast("int"), "char_start", "char_end", "heading_path")
+    spans = tables.written(layout.spans(lines, layout.table_islands(lines)), "spans")
+    return chunking.chunks(spans, 512, 32, 64).select("doc_id", "page_number", "macro_id", F.col("child_id").cast("int"), "char_start", "char_end", "heading_path")
 
 
 @query("c5_chunk_type", f"SELECT chunk_id, {sql.KIND} AS kind FROM (SELECT chunk_id, trim(text_content, {sql.SPACE}) AS t FROM chunks)")
@@ -712,8 +711,8 @@ def st2(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Pages to chunks with lineage, a BM25 index over them, and the best three chunks of each benchmark text."""
     lines = layout.page_lines(corpus.pages(spark, sf))
-    spans = layout.spans(lines, layout.table_islands(lines))
-    rows = chunking.chunks(layout.page_text(spans.filter("not is_table")), spans, 512, 32, 64).withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id"))
+    spans = tables.written(layout.spans(lines, layout.table_islands(lines)), "spans")
+    rows = chunking.chunks(spans, 512, 32, 64).withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id"))
     rows = tables.written(rows, "chunks")
     asked = corpus.finance_queries(spark, sf).join(spark.table("benchmark").select(F.col("item_id").cast("long").alias("query_id"), "text"), "query_id").select("query_id", "doc_id", F.col("text").alias("query"))
     hits = search.bm25_search(search.bm25_index(rows), asked, 3)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import chunking, layout
 from plumbline.session import prepare
+from plumbline.sources.tables import written
 
 #: Documents of a source are cut by id, so that no window over a document grows with the table.
 BLOCK = 4096
@@ -88,6 +89,6 @@ def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of finance_chunks as pages, cut into chunks."""
     rows = finance_chunks(spark, sf_dir).select("doc_id", "page_number", "page_id", F.col("text_content").alias("text"))
     lines = layout.page_lines(rows)
-    spans = layout.spans(lines, layout.table_islands(lines))
-    found = chunking.chunks(layout.page_text(spans.filter("not is_table")), spans, 512, 32, 64)
+    spans = written(layout.spans(lines, layout.table_islands(lines)), "spans")
+    found = chunking.chunks(spans, 512, 32, 64)
     return found.withColumn("chunk_id", F.concat_ws("-", "doc_id", "macro_id", "child_id")).join(rows.select("doc_id", "page_number", "page_id"), ["doc_id", "page_number"])

@@ -206,7 +206,7 @@ def test_chunk_text_and_partitions(spark):
     for n in (1, 16):
         spans = layout.spans(layout.page_lines(pages.repartition(n)))
         body = layout.page_text(spans)
-        rows = chunking.chunks(body, spans, 64, 8, 16)
+        rows = chunking.chunks(spans, 64, 8, 16)
         known = {r.page_number: r.text for r in body.collect()}
         assert all(known[r.page_number][r.char_start : r.char_end] == r.text_content for r in rows.collect())
         seen.append(sorted(map(str, rows.collect())))
