@@ -74,7 +74,7 @@ def _ddl(df: DataFrame, *columns: str) -> str:
 
 def chunk_type(text: Column) -> Column:
     t, short = strip(text), F.length(strip(text)) <= 80
-    heading = ((is_upper(t) | t.endswith(":") | is_title(t)) & short) | (numbered(t) & (F.length(t) <= 100)) | t.rlike("(?i)^Note\\s+\\d+")
+    heading = (short & (is_upper(t) | t.endswith(":") | is_title(t))) | ((F.length(t) <= 100) & numbered(t)) | t.rlike("(?i)^Note\\s+\\d+")
     plate = F.lit(False)
     for phrase in rules.BOILERPLATE:
         plate = plate | F.upper(t).contains(phrase)

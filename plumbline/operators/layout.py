@@ -33,7 +33,7 @@ def outside_tables(boxes: DataFrame, tables: DataFrame) -> DataFrame:
 def heading_level(line: Column) -> Column:
     """1, 2 or null; the first rule that applies wins."""
     short = F.length(line) <= 80
-    rules_ = [(any_pattern(line, rules.HEADING_ONE), 1), (any_pattern(line, rules.HEADING_TWO), 2), (is_upper(line) & short, 1), (line.endswith(":") & short, 2), (is_title(line) & short, 2), (numbered(line) & (F.length(line) <= 100), 2)]
+    rules_ = [(any_pattern(line, rules.HEADING_ONE), 1), (any_pattern(line, rules.HEADING_TWO), 2), (short & is_upper(line), 1), (short & line.endswith(":"), 2), (short & is_title(line), 2), ((F.length(line) <= 100) & numbered(line), 2)]
     level = F.when(F.length(line) < 3, None)
     for condition, value in rules_:
         level = level.when(condition, value)
@@ -63,7 +63,7 @@ def heading_stack(lines: DataFrame, at_once: int = scan.RANGE) -> DataFrame:
 
 def table_islands(lines: DataFrame, least: int = 2) -> DataFrame:
     """Runs of at least `least` lines with cells between bars: table_no and markdown per run."""
-    bars = lines.filter(F.size(F.split("line", " \\| ")) >= 2)
+    bars = lines.filter(F.col("line").contains(" | "))
     page = Window.partitionBy("doc_id", "page_number").orderBy("line_no")
     runs = bars.withColumn("island", F.col("line_no") - F.row_number().over(page))
     cells = F.filter(F.split(F.regexp_replace("line", "^\\||\\|$", ""), "\\|"), lambda x: strip(x) != "")
