@@ -11,7 +11,7 @@ Documents with equal sets are one class from the start, so copies never meet as
    and the one of its bands with the largest share of common shingles (of a group of edited copies, the
    least edited). Linked ones need no further comparison among themselves. Components are found.
 3. Classes that share a shingle and are still in different components are compared tile by tile. A
-   shingle with more than PIECE classes is dealt out as pairs of pieces, each a group of its own, so
+   shingle with more than `Sizes.piece` classes is dealt out as pairs of pieces, each a group of its own, so
    that no task holds more than two pieces of a key. Hashed parity bitmaps, wider for larger sets, bound
    the overlap from above by their differing bits, as positions do; what passes is decided by exact
    intersection of the sorted arrays.
@@ -21,18 +21,19 @@ its size. Shingle arrays are made again only for texts of classes whose pairs pa
 Shingles and classes are 64-bit hashes throughout.
 
 Null or empty texts, and those without words, have no shingles and link with nothing. A text with fewer
-words than the width has its whole sequence as its only shingle. Repeated rows stay rows of one class.
-An empty table gives no rows; columns besides the id and the text are ignored.
+words than the width has its whole sequence as its only shingle. Repeated rows stay rows of one class. Very long
+texts count whole, one at a time. An empty table gives no rows; columns besides the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import blocks, discard, id_filter, maybe_in, staged
@@ -41,10 +42,20 @@ from plumbline.llm.textblocks import mix, shingle_sets
 
 WIDTH = 5
 SAMPLE_ROWS, FREQUENT = 16_384, 50_000
-TILE, PIECE, FEW, LEAST_WORDS = 512, 4096, 64, 4
+LEAST_WORDS = 4
 REMEMBERED = 100_000
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Rows of a tile, of a piece of a hot shingle, and of keys that are compared all at once."""
+
+    tile: int = 512
+    piece: int = 4096
+    few: int = 64
+
+
+
 def likely(inter, a, b):
     """100 * inter >= 75 * union, in whole numbers."""
     return 7 * inter >= 3 * (a + b)
@@ -137,40 +148,44 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix rows, sorted by shingle, to rows of shared shingles with the leader (first class) of their size band.
+def _banded(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Prefix rows, sorted by shingle and size, to rows of shared shingles with the leader (first class) of their size band.
 
-    A shingle with very many rows comes in pieces, each with leaders of its own; `piece` counts them.
+    A shingle with very many rows comes in pieces of `most` rows, by size, each with leaders of its own; `piece` counts them.
     """
-    names = ["shingle", "set_id", "n", "place", "piece", "leader", "leader_n", "leader_place"]
-    key, pieces = None, 0  # the key that was cut, and its pieces so far
-    for run in _runs(batches, PIECE):
-        shingle = run["shingle"]
-        cut = len(shingle) >= PIECE and shingle[0] == shingle[-1]
-        shared = ~_starts(shingle)
-        shared[:-1] |= shared[1:]
-        part_of_more = np.full(len(shingle), cut) if key is None else (shingle == key) | cut
-        at = np.flatnonzero(shared | part_of_more)
-        at = at[np.lexsort((run["set_id"][at], run["n"][at], shingle[at]))]
-        at = at[_starts(shingle[at], run["set_id"][at])]  # copies of a class are next to each other
-        s, ids, n, place = (run[c][at] for c in names[:4])
-        head = np.flatnonzero(_starts(s))
-        size = np.diff(head, append=len(s))
-        piece = (np.arange(len(s)) - np.repeat(head, size)) // PIECE
-        if key is not None:
-            piece[s == key] += pieces
-        keep = np.repeat(size > 1, size) | part_of_more[at]
-        pieces = int(piece[-1]) + 1 if cut else 0
-        key = shingle[-1] if cut else None
-        head = np.flatnonzero(_starts(s, piece))
-        lead = np.repeat(head, np.diff(head, append=len(s)))
-        while (beyond := n > n[lead].astype(np.int64) * 4 // 3).any():  # the first row beyond its leader's band leads the next one
-            first = beyond.copy()
-            first[1:] &= ~(beyond[:-1] & (lead[1:] == lead[:-1]))
-            lead = np.where(beyond, np.flatnonzero(first)[np.maximum(np.cumsum(first) - 1, 0)], lead)
-        if keep.any():
-            columns = (s, ids, n, place, piece.astype(np.int32), ids[lead], n[lead], place[lead])
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["shingle", "set_id", "n", "place", "piece", "leader", "leader_n", "leader_place"]
+        key, pieces = None, 0  # the key that was cut, and its pieces so far
+        for run in _runs(batches, most):
+            shingle = run["shingle"]
+            cut = len(shingle) >= most and shingle[0] == shingle[-1]
+            shared = ~_starts(shingle)
+            shared[:-1] |= shared[1:]
+            part_of_more = np.full(len(shingle), cut) if key is None else (shingle == key) | cut
+            at = np.flatnonzero(shared | part_of_more)
+            at = at[np.lexsort((run["set_id"][at], run["n"][at], shingle[at]))]
+            at = at[_starts(shingle[at], run["set_id"][at])]  # copies of a class are next to each other
+            s, ids, n, place = (run[c][at] for c in names[:4])
+            head = np.flatnonzero(_starts(s))
+            size = np.diff(head, append=len(s))
+            piece = (np.arange(len(s)) - np.repeat(head, size)) // most
+            if key is not None:
+                piece[s == key] += pieces
+            keep = np.repeat(size > 1, size) | part_of_more[at]
+            pieces = int(piece[-1]) + 1 if cut else 0
+            key = shingle[-1] if cut else None
+            head = np.flatnonzero(_starts(s, piece))
+            lead = np.repeat(head, np.diff(head, append=len(s)))
+            while (beyond := n > n[lead].astype(np.int64) * 4 // 3).any():  # the first row beyond its leader's band leads the next one
+                first = beyond.copy()
+                first[1:] &= ~(beyond[:-1] & (lead[1:] == lead[:-1]))
+                lead = np.where(beyond, np.flatnonzero(first)[np.maximum(np.cumsum(first) - 1, 0)], lead)
+            if keep.any():
+                columns = (s, ids, n, place, piece.astype(np.int32), ids[lead], n[lead], place[lead])
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+    return band
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -293,44 +308,62 @@ def _fits(rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np
     return i[keep], j[keep]
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates between components within a key: rows by size, all small keys at once, large ones tile by tile."""
-    for run in _runs(batches):
-        order = np.lexsort((run["set_id"], run["n"], run["key"]))
-        rows = {k: v[order] for k, v in run.items()}
-        head = np.flatnonzero(_starts(rows["key"]))
-        size = np.diff(head, append=len(order))
-        left = np.repeat(head + size, size) - np.arange(len(order))  # rows of the key from here on
-        few = np.repeat(size <= FEW, size)
-        pairs = (_fits(rows, i, i + d) for d in range(1, FEW) if len(i := np.flatnonzero(few & (left > d))))
-        for i, j in itertools.chain(pairs, *(_tile_pairs(rows, a, a + n) for a, n in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True))):
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(rows["set_id"][i]), pa.array(rows["set_id"][j])], names=["a", "b"])
-
-
-def _tile_pairs(rows: dict[str, np.ndarray], first: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _across(tile: int, few_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Candidates between components within a key: rows by size, all keys of few rows at once, others tile by tile."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches):
+            order = np.lexsort((run["set_id"], run["n"], run["key"]))
+            rows = {k: v[order] for k, v in run.items()}
+            head = np.flatnonzero(_starts(rows["key"]))
+            size = np.diff(head, append=len(order))
+            left = np.repeat(head + size, size) - np.arange(len(order))  # rows of the key from here on
+            few = np.repeat(size <= few_rows, size)
+            pairs = (_fits(rows, i, i + d) for d in range(1, few_rows) if len(i := np.flatnonzero(few & (left > d))))
+            for i, j in itertools.chain(pairs, *(_tile_pairs(rows, a, a + n, tile) for a, n in zip(head[size > few_rows].tolist(), size[size > few_rows].tolist(), strict=True))):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(rows["set_id"][i]), pa.array(rows["set_id"][j])], names=["a", "b"])
+
+    return pair
+
+
+def _tile_pairs(rows: dict[str, np.ndarray], first: int, end: int, tile: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each tile of a key with itself and with the tiles before that its size band reaches."""
-    for at in range(first, end, TILE):
-        stop = min(at + TILE, end)
+    for at in range(first, end, tile):
+        stop = min(at + tile, end)
         low = first + int(np.searchsorted(rows["n"][first:end], -(-3 * int(rows["n"][at]) // 4)))
-        for start in range(low, stop, TILE):
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + TILE, stop)), np.arange(at, stop), indexing="ij"))
+        for start in range(low, stop, tile):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + tile, stop)), np.arange(at, stop), indexing="ij"))
             yield _fits(rows, i[i < j], j[i < j])
 
 
 def _dealt(tiles: DataFrame, known: DataFrame) -> DataFrame:
     """Rows (key, set_id, n, place, side, component) to be compared within a key.
 
-    A shingle in one piece is its own key. Of a shingle in more pieces each two make a key, in which
-    rows of side 0 meet rows of side 1; rows of a piece alone have side 2 and meet each other.
+    A shingle in one piece is its own key. Of a shingle in more pieces, which follow each other by size, two whose
+    size bands meet make a key, in which rows of side 0 meet rows of side 1, and only rows that reach the
+    other piece's band go there; rows of a piece alone have side 2 and meet each other. Pieces that lie in one
+    component already don't meet.
     """
-    rows = tiles.select("shingle", "set_id", "n", "place", "piece")
-    large = rows.filter("piece > 0").groupBy("shingle").agg(F.max("piece").alias("last"))
-    rows = rows.join(large, "shingle", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))))
-    pair = [F.least("piece", "other"), F.greatest("piece", "other")]
-    key = F.when(F.col("last").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", *pair))
-    side = F.when(F.col("piece") == F.col("other"), 2).when(F.col("piece") > F.col("other"), 1).otherwise(0)
-    return rows.select(key.alias("key"), "set_id", "n", "place", side.cast("int").alias("side")).join(known, "set_id").select("key", "set_id", "n", "place", "side", "component")
+    rows = tiles.select("shingle", "set_id", "n", "place", "piece").join(known, "set_id")
+    large = rows.groupBy("shingle").agg(F.max("piece").alias("last")).filter("last > 0").select("shingle")
+    small = rows.join(large, "shingle", "left_anti").select(F.col("shingle").alias("key"), "set_id", "n", "place", F.lit(2).alias("side"), "component")
+    cut = rows.join(large, "shingle", "left_semi")
+    bands = cut.groupBy("shingle", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c_low"), F.max("component").alias("c_high"))
+    a, b = (bands.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in bands.columns[1:])) for side in "ab")
+    meet = (F.col("a_piece") <= F.col("b_piece")) & (4 * F.col("a_high").cast("long") >= 3 * F.col("b_low").cast("long"))
+    apart = F.least("a_c_low", "b_c_low") < F.greatest("a_c_high", "b_c_high")
+    pairs = a.join(b, "shingle").filter(meet & apart).select("shingle", "a_piece", "b_piece", "a_high", "b_low")
+    key = F.xxhash64("shingle", "a_piece", "b_piece").alias("key")
+
+    def side(name: str, number: Column, reach: Column) -> DataFrame:
+        found = cut.withColumnRenamed("piece", f"{name}_piece").join(pairs, ["shingle", f"{name}_piece"]).filter(reach)
+        return found.select(key, "set_id", "n", "place", number.cast("int").alias("side"), "component")
+
+    alone, n = F.col("a_piece") == F.col("b_piece"), F.col("n").cast("long")
+    first = side("a", F.when(alone, 2).otherwise(0), alone | (4 * n >= 3 * F.col("b_low").cast("long")))
+    second = side("b", F.lit(1), ~alone & (4 * F.col("a_high").cast("long") >= 3 * n))
+    return small.unionByName(first).unionByName(second)
 
 
 def _to_central(tiles: DataFrame) -> DataFrame:
@@ -346,12 +379,12 @@ def _to_central(tiles: DataFrame) -> DataFrame:
     return best.select(F.col("c.set_id").alias("a"), "b")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sizes: Sizes | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) for each row."""
-    return _components(docs, id_col, text_col)[0]
+    return _components(docs, id_col, text_col, sizes or Sizes())[0]
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+def _components(docs: DataFrame, id_col: str, text_col: str, sizes: Sizes) -> tuple[DataFrame, list[DataFrame]]:
     """The rows of jaccard_components, and the staged tables that they are read from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -368,8 +401,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     signatures = classes.filter("n > 0").groupBy("set_id").agg(F.first("n").cast("int").alias("n"), F.first("bits").alias("bits"))
 
     prefixes = classes.filter("prefix is not null").select("set_id", "n", "prefix").mapInArrow(_prefixes, "shingle long, set_id long, n int, place int")
-    dealt = prefixes.repartition("shingle").sortWithinPartitions("shingle")
-    tiles = staged(dealt.mapInArrow(_banded, "shingle long, set_id long, n int, place int, piece int, leader long, leader_n int, leader_place int"), "tiles")
+    dealt = prefixes.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
+    tiles = staged(dealt.mapInArrow(_banded(sizes.piece), "shingle long, set_id long, n int, place int, piece int, leader long, leader_n int, leader_place int"), "tiles")
 
     inter = F.least(F.col("leader_n") - F.col("leader_place"), F.col("n") - F.col("place"))
     led = tiles.filter((F.col("leader") != F.col("set_id")) & (7 * inter >= 3 * (F.col("n") + F.col("leader_n"))))
@@ -383,7 +416,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     mixed = _dealt(tiles, known).repartition("key").sortWithinPartitions("key").mapInArrow(_mixed, "key long, set_id long, n int, place int, side int, component long")
     mixed = staged(mixed, "mixed")
     signed = mixed.join(signatures.select("set_id", "bits"), "set_id").select("key", "set_id", "n", "place", "side", "component", "bits")
-    across = signed.repartition("key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long").distinct()
+    across = signed.repartition("key").sortWithinPartitions("key").mapInArrow(_across(sizes.tile, sizes.few), "a long, b long").distinct()
     across = staged(across.join(first, ["a", "b"], "left_anti"), "pairs")
     discard(tiles, mixed)
     every = components(links.union(verify(texts, classes, across)))
@@ -406,7 +439,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     which are always of one component, one stays. Rows without words link with nothing and all stay.
     """
     key = F.xxhash64("doc_id", "text").alias("row_key")
-    found, read = _components(docs.select(key, "text"), "row_key", "text")
+    found, read = _components(docs.select(key, "text"), "row_key", "text", Sizes())
     found = staged(found.filter("n_shingles > 0").select(F.col("doc_id").alias("row_key"), "component_id").distinct(), "found")
     discard(*read)
     places = docs.select(key, "doc_id").groupBy("row_key").agg(F.first("doc_id").alias("doc_id"))

@@ -66,17 +66,60 @@ def test_shingle_sets(texts):
 
 
 @pytest.mark.parametrize(("seed", "partitions", "tile", "piece"), [(0, 1, 512, 4096), (1, 7, 512, 4096), (2, 4, 3, 4096), (3, 4, 3, 5)])
-def test_jaccard_components(spark, monkeypatch, seed, partitions, tile, piece):
-    """Also with a shingle's classes dealt out in many pieces."""
-    monkeypatch.setattr(jaccard_join, "TILE", tile)
-    monkeypatch.setattr(jaccard_join, "FEW", min(64, tile))
-    monkeypatch.setattr(jaccard_join, "PIECE", piece)
+def test_jaccard_components(spark, seed, partitions, tile, piece):
+    """Also with small tiles, and with a shingle's classes dealt out in many pieces: the sizes go to the workers with the functions."""
     docs = corpus(seed)
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, set_id string").repartition(partitions)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame, sizes=jaccard_join.Sizes(tile, piece, min(64, tile))).collect()}
     assert got == plain_components(docs)
 
 
+def prefix_rows(spark, rows):
+    return spark.createDataFrame(rows, "shingle long, set_id long, n int, place int").coalesce(1).sortWithinPartitions("shingle", "n", "set_id")
+
+
+def test_a_hot_shingle_is_dealt_in_pieces_by_size(spark):
+    """60 classes of one shingle in pieces of five: pieces follow each other by size, every pair that sizes allow meets in some key, pieces of one component don't."""
+    rng = random.Random(4)
+    rows = [(7, i, rng.randrange(10, 60), 0) for i in range(60)] + [(8, i, 20, 0) for i in range(3)]
+    tiles = prefix_rows(spark, rows).mapInArrow(jaccard_join._banded(5), "shingle long, set_id long, n int, place int, piece int, leader long, leader_n int, leader_place int")
+    placed = sorted((r.piece, r.n) for r in tiles.collect() if r.shingle == 7)
+    assert placed[-1][0] >= 11 and [n for _, n in placed] == sorted(n for _, n in placed)
+    size = {i: n for s, i, n, _ in rows if s == 7}
+    for component in (lambda i: i, lambda i: i // 30, lambda i: 0):
+        known = spark.createDataFrame([(i, component(i)) for i in range(60)], "set_id long, component long")
+        keys = {}
+        for r in jaccard_join._dealt(tiles, known).collect():
+            keys.setdefault(r.key, []).append(r)
+        met = {tuple(sorted((a.set_id, b.set_id))) for own in keys.values() for a in own for b in own if a.set_id != b.set_id and (a.side == b.side == 2 or a.side + b.side == 1)}
+        must = {(i, j) for i in size for j in size if i < j and component(i) != component(j) and 4 * min(size[i], size[j]) >= 3 * max(size[i], size[j])}
+        assert must <= met
+        assert all(len(own) <= 10 for own in keys.values() if own[0].key not in (7, 8))
+        if component(59) == 0:
+            assert set(keys) == {8}
+
+
+def test_twenty_thousand_classes_on_one_shingle(spark):
+    """Texts that share their first five words only, with some near copies among them."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(20_000):
+        words = ["a", "b", "c", "d", "e", *(f"x{i}y{k}" for k in range(rng.choice([1, 2, 30])))]
+        rows.append((i, " ".join(words)))
+    for i in range(0, 400, 8):
+        rows.append((50_000 + i, rows[i][1] + " z" if len(rows[i][1].split()) > 30 else rows[i][1]))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert all(got[i] == i for i in range(20_000)) and all(got[50_000 + i] == i for i in range(0, 400, 8))
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(6)
+    words = [f"v{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:50_000])), (3, "y" * 300_000), (4, "y" * 300_000), (5, " ".join(words[::-1]))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows)
+
+
 def test_jaccard_small_arrow_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
