@@ -1,18 +1,21 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A text is read as units: each run without white space is cut into pieces of at most UNIT code points,
-from its start, so that one rule holds for texts of any length, with or without spaces. A k-mer of units
-is chosen when its smallest inner s-mer lies at its first or last place. The choice depends on the k-mer
-alone, so an edit moves no anchor outside its own k-mers: anchors are context-free, and their places
-tell where two texts match. A fingerprint is the set of a text's anchors; as text it is the `SKETCH`
-smallest of them in hexadecimal form. Likeness is the Jaccard likeness of all anchors of both texts,
-not of the sketches. `anchors` gives every anchor with its place, for joins on passages; `aligned_edited`
-is the share of a text's anchors that stand at the same place in its edited text.
+A text is read as units: a unit ends at white space, after a border and before it can have more than UNIT code
+points. Borders are every sixth printable ASCII character by its number and every code point beyond ASCII, so
+that their places are chosen by the text itself and not by a count from some start: letters of other scripts
+are units of their own, words and unspaced ASCII are cut at their borders. Only a stretch of more than UNIT
+code points without any border is cut by count, up to the next border. A k-mer of units is chosen when its
+smallest inner s-mer lies at its first or last place. The choice depends on the k-mer alone, so an edit moves no
+anchor outside its own k-mers: anchors are context-free, and their places tell where two texts match. A
+fingerprint is the set of a text's anchors, as text all of them in hexadecimal form, in order. Likeness is the
+Jaccard likeness of two such sets. `anchors` gives every anchor with its place, for joins on passages;
+`aligned_edited` is the share of a text's anchors that stand at the same place in its edited text.
 
 Null texts are empty. An empty text has an empty fingerprint; its likeness is 1 to an empty text and 0
 to any other. A text too short for a k-mer has its whole units as its only anchor. The next document is
 the one with the next larger id, null ids first; rows with equal ids follow one another by text, and
-equal rows are each other's next. Other columns are ignored. An empty table gives no rows.
+equal rows are each other's next. Very long texts count whole, one at a time. Other columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,14 +27,17 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import shuffle_partitions
 
-UNIT, K, S, SKETCH = 4, 7, 3, 128
+UNIT, K, S = 12, 7, 3
+BORDER = "".join(f"\\x{c:02X}" for c in range(33, 127) if c % 6 == 1)
+_INNER = f"[^ \\t-\\r{BORDER}\\x80-\\x{{10FFFF}}]"
+UNITS = f"{_INNER}{{0,{UNIT - 1}}}[{BORDER}\\x80-\\x{{10FFFF}}]|{_INNER}{{1,{UNIT}}}"
 RANGE_BYTES, GRID = 32 << 20, 10_000
 
 
 def syncmer_columns(df: DataFrame, text: str, prefix: str) -> DataFrame:
     """Adds {prefix}_places, the units at which chosen k-mers start, and {prefix}_anchors, their hashes in that order."""
     units, smer, n = f"{prefix}_u", f"{prefix}_s", f"size({prefix}_u)"
-    df = df.withColumn(units, F.expr(f"regexp_extract_all({text}, '[^ \\t-\\r]{{1,{UNIT}}}', 0)"))
+    df = df.withColumn(units, F.regexp_extract_all(text, F.lit(UNITS), F.lit(0)))
     joined = ", ".join(f"{units}[i{f' + {j}' if j else ''}]" for j in range(S))
     df = df.withColumn(smer, F.expr(f"if({n} < {K}, array(xxhash64(array_join({units}, ','))), transform(sequence(0, {n} - {S}), i -> xxhash64({joined})))"))
     last = K - S
@@ -62,12 +68,12 @@ def matches(left: DataFrame, right: DataFrame, least: int = 3) -> DataFrame:
 
 
 def as_text(anchor_set: str) -> Column:
-    return F.expr(f"array_join(transform(slice(sort_array({anchor_set}), 1, {SKETCH}), x -> lpad(hex(x), 16, '0')), '')")
+    return F.expr(f"array_join(transform(sort_array({anchor_set}), x -> lpad(hex(x), 16, '0')), '')")
 
 
 def likeness(a: str, b: str) -> Column:
     """Jaccard likeness of two sets of anchors (distinct); two empty ones are alike."""
-    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, transform(array(size(array_intersect({a}, {b}))), x -> cast(x as double) / (size({a}) + size({b}) - x))[0])")
+    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, transform(array(size(array_intersect({a}, {b}))), both_ -> cast(both_ as double) / (size({a}) + size({b}) - both_))[0])")
 
 
 def with_next(rows: DataFrame, order: str, size: str, prepare: Callable[[DataFrame], DataFrame], columns: list[str], partitions: int | None = None) -> DataFrame:
@@ -106,8 +112,8 @@ def _place(cuts: list[int], order: str) -> Column:
         return F.lit(0)
     m = max(1, int(len(cuts) ** 0.5))
     every, some = (f"cast(split('{','.join(map(str, c))}', ',') as array<bigint>)" for c in (cuts, cuts[m - 1 :: m]))
-    block = f"size(filter({some}, c -> c <= {order}))"
-    return F.expr(f"cast({block} * {m} + size(filter(slice({every}, {block} * {m} + 1, {m}), c -> c <= {order})) as int)")
+    block = f"size(filter({some}, cut_ -> cut_ <= {order}))"
+    return F.expr(f"cast({block} * {m} + size(filter(slice({every}, {block} * {m} + 1, {m}), cut_ -> cut_ <= {order})) as int)")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
