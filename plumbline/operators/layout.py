@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions import rules, scan
+from plumbline.functions import grid, rules, scan
 from plumbline.functions.frames import union
 from plumbline.functions.textnorm import any_pattern, collapse, is_title, is_upper, numbered, strip
 
@@ -23,11 +26,22 @@ def words_to_lines(words: DataFrame) -> DataFrame:
 
 
 def outside_tables(boxes: DataFrame, tables: DataFrame) -> DataFrame:
-    """Rows whose box overlaps no table box of their page (edges count as overlap)."""
-    a, b = boxes.alias("a"), tables.alias("b")
-    on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_number") == F.col("b.page_number"))
-    on &= (F.col("a.x0") <= F.col("b.x1")) & (F.col("a.x1") >= F.col("b.x0")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("a.y1") >= F.col("b.y0"))
-    return a.join(b, on, "left_anti")
+    """Rows whose box overlaps no table box of their page (edges count as overlap).
+
+    Boxes and tables meet by grid cells of their page, at the level of the larger one, so that a page with very many
+    of both is no product of them. Rows without a whole box overlap nothing.
+    """
+    unique = boxes.groupBy(*boxes.columns).agg(F.count("*").alias("copies_"))
+    places = tables.select("doc_id", "page_number", "x0", "y0", "x1", "y1").distinct()
+    top = grid.top_level(boxes, places)
+    a, b = grid.with_cells(unique.drop("copies_"), top), grid.with_cells(places, top)
+    b = b.select("doc_id", "page_number", "level_", "cx_", "cy_", *(F.col(c).alias(f"{c}_table_") for c in ("x0", "y0", "x1", "y1", "level_of_")))
+    apart = (F.col("x0") > F.col("x1_table_")) | (F.col("x1") < F.col("x0_table_")) | (F.col("y0") > F.col("y1_table_")) | (F.col("y1") < F.col("y0_table_"))
+    met = a.join(b, ["doc_id", "page_number", "level_", "cx_", "cy_"]).filter(~apart & (F.col("level_") == F.greatest("level_of_", "level_of__table_")))
+    met = met.select(*(F.col(c).alias(f"{c}_met_") for c in boxes.columns)).distinct()
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_met_")) for c in boxes.columns))
+    left = unique.join(met, same, "left_anti")
+    return left.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(*boxes.columns)
 
 
 def heading_level(line: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.frames import union
 from plumbline.functions.textnorm import plain_tokens, tokens
+from plumbline.operators.phrases import occurring
 from plumbline.operators.vectors import candidates, nearest
 
 
@@ -104,11 +105,17 @@ def bm25_search(index: tuple[DataFrame, DataFrame, DataFrame], queries: DataFram
     return ranked(rows, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-def phrase_candidates(chunks: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """The first k chunks, by position, whose heading or text holds one of the query's phrases (array<string>)."""
-    text = F.lower(F.concat_ws(" ", "heading_path", "text_content"))
-    rows = chunks.withColumn("searched", text).join(queries, "doc_id").filter(F.exists("phrases", lambda p: F.col("searched").contains(F.lower(p))))
-    return ranked(rows.drop("searched", "phrases"), ["query_id"], [F.col("page_number"), F.col("macro_id"), F.col("child_id"), F.col("chunk_id")], k)
+def phrase_candidates(chunks: DataFrame, queries: DataFrame, k: int | None = 25) -> DataFrame:
+    """The first k chunks, by position, whose heading or text holds one of the query's phrases (array<string>), in any case.
+
+    Each chunk is scanned once for the phrases of all queries (`phrases.occurring`); queries then join by document and phrase.
+    """
+    asked = queries.withColumn("phrase", F.explode(F.array_distinct(F.transform("phrases", lambda p: F.lower(p)))))
+    asked_docs = chunks.join(queries.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = occurring(asked_docs, "chunk_id", F.lower(F.concat_ws(" ", "heading_path", "text_content")), asked.select("phrase"))
+    found = held.join(chunks.select("chunk_id", "doc_id"), "chunk_id").join(asked, ["doc_id", "phrase"]).select(*(c for c in queries.columns if c not in ("phrases", "doc_id")), "chunk_id").distinct()
+    rows = chunks.join(found, "chunk_id")
+    return ranked(rows, ["query_id"], [F.col("page_number"), F.col("macro_id"), F.col("child_id"), F.col("chunk_id")], k)
 
 
 def fuse(first: DataFrame, second: DataFrame, top: int, k: int = 60) -> DataFrame:

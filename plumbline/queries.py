@@ -688,24 +688,24 @@ def g4(spark: SparkSession, sf: str) -> DataFrame:
 # 2.10 streams
 
 
-def streamed(spark: SparkSession, sf: str, rows: DataFrame, ingest_rows) -> DataFrame:
+def streamed(spark: SparkSession, sf: str, rows: DataFrame, ingest_rows, keyed: ingest.Keyed) -> DataFrame:
     """A table that a stream makes of rows, which are written first, in several files, and read one file a batch."""
     source, table, state = (tables.scratch(spark, n) for n in ("source", "table", "state"))
-    rows.repartition(3).write.parquet(source)
+    rows.repartition(5).write.parquet(source)
     ingest_rows(spark, source, rows.schema, table, state).awaitTermination()
-    return ingest.read_table(spark, table)
+    return ingest.read_table(spark, table, keyed)
 
 
 @query("st1_ingest_pages", "SELECT doc_id, page_number, length(trim(text, E' \\t\\r\\n\\f\\x0b'))::INTEGER AS text_length, CASE WHEN length(trim(text, E' \\t\\r\\n\\f\\x0b')) < 50 OR page_id % 10 > 3 THEN 'di_required' ELSE 'native_only' END AS triage_decision FROM pages_of")
 def st1(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.pages(spark, sf).select("doc_id", "page_number", "text", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), ((F.col("page_id") % 10) / 10).alias("image_coverage"), F.lit(0.0).alias("layout_complexity"))
-    return streamed(spark, sf, union(rows, rows), ingest.ingest_pages).select("doc_id", "page_number", "text_length", "triage_decision")
+    return streamed(spark, sf, union(rows, rows), ingest.ingest_pages, ingest.PAGES).select("doc_id", "page_number", "text_length", "triage_decision")
 
 
 @query("st2_ingest_chunks", "SELECT doc_id, macro_id, child_id, chunk_id FROM chunks")
 def st2(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.finance_chunks(spark, sf)
-    return streamed(spark, sf, union(rows, rows), ingest.ingest_chunks).select("doc_id", "macro_id", "child_id", "chunk_id")
+    return streamed(spark, sf, union(rows, rows), ingest.ingest_chunks, ingest.CHUNKS).select("doc_id", "macro_id", "child_id", "chunk_id")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

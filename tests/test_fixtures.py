@@ -311,11 +311,11 @@ def test_case_rules(spark, text):
 def test_streams_replay(spark, tmp_path):
     pages = spark.createDataFrame([("d", i % 7, f"text {i} " * 20, 10.0, 10.0, 0.0, 0.0) for i in range(20)], "doc_id string, page_number int, text string, width double, height double, image_coverage double, layout_complexity double")
     chunks = spark.createDataFrame([("d", i % 5, 0, f"c{i}") for i in range(10)], "doc_id string, macro_id int, child_id int, chunk_id string")
-    for frame, run, name, n in ((pages, ingest.ingest_pages, "p", 7), (chunks, ingest.ingest_chunks, "c", 5)):
+    for frame, run, name, n, keyed in ((pages, ingest.ingest_pages, "p", 7, ingest.PAGES), (chunks, ingest.ingest_chunks, "c", 5, ingest.CHUNKS)):
         frame.repartition(3).write.parquet(f"{tmp_path}/{name}-in")
         for checkpoint in ("one", "two"):  # the second run replays every batch
             run(spark, f"{tmp_path}/{name}-in", frame.schema, f"{tmp_path}/{name}-table", f"{tmp_path}/{name}-{checkpoint}").awaitTermination()
-            assert ingest.read_table(spark, f"{tmp_path}/{name}-table").count() == n
+            assert ingest.read_table(spark, f"{tmp_path}/{name}-table", keyed).count() == n
 
 
 def test_amounts_in_several_wordings(spark):
