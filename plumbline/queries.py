@@ -201,6 +201,14 @@ def s12_skip_chunked(spark: SparkSession, sf: str) -> DataFrame:
     return tables.not_yet_chunked(docs(spark, sf).select("doc_id"), docs(spark, sf).filter("doc_id % 7 in (2, 3)"))
 
 
+@query("s12_forced_chunks", "SELECT doc_id, chunk_id, 'old' AS version FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM chunks WHERE page_id % 20 = 3) UNION ALL SELECT doc_id, chunk_id, 'new' FROM chunks WHERE page_id % 20 = 3")
+def s12_forced(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a page of every twentieth id are chunked again, to that page alone: their old rows go."""
+    rows = corpus.finance_chunks(spark, sf)
+    new = rows.filter("page_id % 20 = 3").select("doc_id", "chunk_id", F.lit("new").alias("version"))
+    return tables.replace_documents(rows.select("doc_id", "chunk_id", F.lit("old").alias("version")), new)
+
+
 @query("s13_corpus_version", "SELECT source AS doc_id, count(*) || ':' || max(doc_id) AS corpus_version, CASE WHEN source = 'src1' THEN 'missing' WHEN source IN ('src2', 'src3') THEN 'stale' ELSE 'fresh' END AS state FROM documents GROUP BY source", plain=True)
 def s13_corpus_version(spark: SparkSession, sf: str) -> DataFrame:
     versions = tables.corpus_version(docs(spark, sf).select(F.col("source").alias("doc_id"), F.col("doc_id").alias("created_at")))
@@ -245,7 +253,8 @@ def t_force(spark: SparkSession, sf: str) -> DataFrame:
     return triage.disable_layout(triage.force_pages(rows, rows.filter("page_number = 3"))).select("page_id", joined("reason_codes").alias("reason_codes"), "triage_decision")
 
 
-@query("t3_image_coverage")
+# Three bytes of a text are a pixel; a byte below 110 is one whose two hexadecimal digits come before 6E.
+@query("t3_image_coverage", "SELECT doc_id, page_number, coalesce(list_avg([CASE WHEN least(p[1:2], p[3:4], p[5:6]) < '6E' THEN 1.0 ELSE 0.0 END FOR p IN regexp_extract_all(hex(encode(text)), '.{6}')]), 0.0)::DOUBLE AS image_coverage FROM pages_of")
 def t3_image_coverage(spark: SparkSession, sf: str) -> DataFrame:
     pixels = corpus.pages(spark, sf).select("doc_id", "page_number", F.encode("text", "UTF-8").alias("samples"))
     return triage.image_coverage(pixels.withColumn("samples", F.expr("substring(samples, 1, int(length(samples) div 3 * 3))")), 110)
@@ -357,10 +366,10 @@ def c5_type(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.finance_chunks(spark, sf).select("chunk_id", chunking.chunk_type(F.col("text_content")).alias("kind"))
 
 
-@query("c8_late_pooling", "SELECT label, round(avg(embedding[1]), 5) AS first, round(avg(embedding[64]), 5) AS last FROM embeddings GROUP BY label", plain=True)
+@query("c8_late_pooling", "SELECT label, i::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 5) AS x FROM embeddings, range(1, 65) r(i) GROUP BY label, i", plain=True)
 def c8_pooling(spark: SparkSession, sf: str) -> DataFrame:
     rows = chunking.late_pooling(spark.read.parquet(f"{sf}/embeddings.parquet").select("label", F.col("embedding").cast("array<double>").alias("vector")), ["label"])
-    return rows.select("label", F.round(F.col("vector")[0], 5).alias("first"), F.round(F.col("vector")[63], 5).alias("last"))
+    return rows.select("label", F.posexplode("vector").alias("dim", "x")).select("label", (F.col("dim") + 1).alias("dim"), F.round("x", 5).alias("x"))
 
 
 HASHED = """, tokens_ AS (SELECT chunk_id, md5(unnest(list_filter(string_split_regex(lower(text_content), '\\s+'), lambda t: t <> ''))) AS h FROM chunks),
@@ -527,9 +536,11 @@ def q13_status(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.run_plans(chunk_rows(spark, sf), query_rows(spark, sf))[1].select("query_id", "intent", "coverage_type", "anchor_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "status", "decisions")
 
 
-@query("q14_debug_record", "SELECT query_id, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages, coalesce(array_to_string(list_sort(list_distinct(list(heading_path) FILTER (heading_path IS NOT NULL))), ','), '') AS headings FROM (SELECT l.query_id, c.* FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3) GROUP BY query_id")
+@query("q14_debug_record", "SELECT query_id, array_to_string(list_sort(list_distinct(list(page_number))), ',') AS pages, coalesce(array_to_string(list_sort(list_distinct(list(heading_path) FILTER (heading_path IS NOT NULL))), ','), '') AS headings, string_agg(rank || ' ' || chunk_id || ' ' || md5(substring(text_content, 1, 160)), ',' ORDER BY rank) AS top_chunks FROM (SELECT l.query_id, l.rank, c.* FROM lexical l JOIN chunks c USING (chunk_id) WHERE rank <= 3) GROUP BY query_id")
 def q14(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.debug_record(results(spark, sf)).select("query_id", joined("pages").alias("pages"), joined("headings").alias("headings"))
+    shown = F.from_json("top_chunks", "array<struct<rank:int,chunk_id:string,snippet:string>>")
+    top = F.array_join(F.transform(shown, lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["chunk_id"], F.md5(x["snippet"]))), ",")
+    return retrieval.debug_record(results(spark, sf)).select("query_id", joined("pages").alias("pages"), joined("headings").alias("headings"), top.alias("top_chunks"))
 
 
 @query("q15_neighbours", "SELECT chunk_id, md5(coalesce(array_to_string(list(CASE WHEN chunk_type = 'narrative' THEN text_content END) OVER (PARTITION BY doc_id, section_id ORDER BY page_number, macro_id, child_id, chunk_id ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING), chr(10)), '')) AS evidence_md5 FROM chunks")
