@@ -21,8 +21,8 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
 
     from plumbline import queries
-    from plumbline.operators import search
-    from plumbline.sources import corpus
+    from plumbline.operators import search, segments
+    from plumbline.sources import corpus, tables
 
     took: dict[str, float] = {}
     rates: dict[str, float] = {}
@@ -45,13 +45,16 @@ def main() -> None:
     vectors = rows.select("doc_id", "chunk_id", "page_numbers", "embedding")
     index = tuple(x.persist() for x in search.bm25_index(rows))
     rates["index_chunks_per_s"] = round(rows.count() / max(1e-9, _time(lambda: [x.count() for x in index])), 1)
+    at = tables.scratch(spark, "index")
+    rates["segment_chunks_per_s"] = round(rows.count() / _time(lambda: segments.add(rows, at)), 1)
+    grown = segments.open_index(spark, at)
     asked = queries.query_rows(spark, SF).persist()
     n = asked.count()
     for batch in (1, 10, 200):
         part = asked.orderBy("query_id").limit(min(batch, n)).select("*", F.explode(F.sequence(F.lit(1), F.lit(max(1, batch // n)))).alias("copy"))
         part = part.withColumn("query_id", F.col("query_id") * 1000 + F.col("copy")).drop("copy").persist()
         part.count()
-        for name, make in (("vector", lambda part=part: search.vector_search(vectors, part)), ("bm25", lambda part=part: search.bm25_search(index, part)), ("hybrid", lambda part=part: search.hybrid_search(vectors, index, part))):
+        for name, make in (("vector", lambda part=part: search.vector_search(vectors, part)), ("bm25", lambda part=part: search.bm25_search(index, part)), ("skipping", lambda part=part: segments.search(grown, part, keep=tables.written)), ("hybrid", lambda part=part: search.hybrid_search(vectors, index, part))):
             rates[f"{name}_queries_per_s_batch_{batch}"] = round(batch / _time(lambda make=make: make().write.format("noop").mode("overwrite").save()), 2)
     spark.catalog.clearCache()
 
