@@ -345,10 +345,10 @@ def _dealt(tiles: DataFrame, known: DataFrame) -> DataFrame:
     other piece's band go there; rows of a piece alone have side 2 and meet each other. Pieces that lie in one
     component already don't meet.
     """
-    rows = tiles.select("shingle", "set_id", "n", "place", "piece").join(known, "set_id")
-    large = rows.groupBy("shingle").agg(F.max("piece").alias("last")).filter("last > 0").select("shingle")
-    small = rows.join(large, "shingle", "left_anti").select(F.col("shingle").alias("key"), "set_id", "n", "place", F.lit(2).alias("side"), "component")
-    cut = rows.join(large, "shingle", "left_semi")
+    rows = tiles.select("shingle", "set_id", "n", "place", "piece")
+    large = rows.filter("piece > 0").select("shingle").distinct()
+    small = rows.join(large, "shingle", "left_anti").join(known, "set_id").select(F.col("shingle").alias("key"), "set_id", "n", "place", F.lit(2).alias("side"), "component")
+    cut = rows.join(large, "shingle", "left_semi").join(known, "set_id")
     bands = cut.groupBy("shingle", "piece").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("c_low"), F.max("component").alias("c_high"))
     a, b = (bands.select("shingle", *(F.col(c).alias(f"{side}_{c}") for c in bands.columns[1:])) for side in "ab")
     meet = (F.col("a_piece") <= F.col("b_piece")) & (4 * F.col("a_high").cast("long") >= 3 * F.col("b_low").cast("long"))
