@@ -69,11 +69,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits records of `pages` against a replica in which some records are damaged and some are gone."""
+    """Audits records of `pages` against a replica in which some records are damaged, some are gone and some lie 2^30 bytes on."""
     pages = table(spark, sf_dir, "pages")
     damaged = F.when(F.col("page_id") % 97 == 13, F.concat(F.lit("X"), F.expr("substring(html, 2)"))).otherwise(F.col("html"))
     replica = pages.filter(F.col("page_id") % 389 != 5).withColumn("html", damaged)
-    return warc_audit.audit(warc_audit.to_records(pages), warc_audit.to_records(replica)).withColumnRenamed("key", "page_id")
+    first = warc_audit.lay_out(warc_audit.to_records(pages))
+    second = warc_audit.lay_out(warc_audit.to_records(replica), first)
+    moved = F.when(F.col("key") % 101 == 7, F.col("offset") + (1 << 30)).otherwise(F.col("offset"))
+    found = warc_audit.audit(first, second.withColumn("offset", moved))
+    return found.withColumn("moved_by", F.coalesce(F.col("found_offset") - F.col("offset"), F.lit(0))).withColumnRenamed("key", "page_id").drop("found_offset")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,10 +137,10 @@ ORACLES: dict[str, str] = {
                    strlen('WARC/1.1') + 2 + strlen('WARC-Type: response') + 2 + strlen('WARC-Record-ID: <urn:page:' || page_id || '>') + 2
                    + strlen('WARC-Target-URI: ' || url) + 2 + strlen('Content-Type: text/html') + 2 + strlen('Content-Length: ' || strlen(html)) + 4
                    + strlen(html) + 4 AS bytes
-            FROM pages)
-        SELECT page_id, archive, COALESCE(SUM(bytes) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
-               bytes, 1::BIGINT AS copies,
-               CASE WHEN page_id % 389 = 5 THEN 'missing' WHEN page_id % 97 = 13 AND html <> '' AND html NOT LIKE 'X%' THEN 'corrupt' ELSE 'ok' END AS status
-        FROM r
+            FROM pages),
+        placed AS (SELECT *, COALESCE(SUM(bytes) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+               CASE WHEN page_id % 389 = 5 THEN 'missing' WHEN page_id % 97 = 13 AND html <> '' AND html NOT LIKE 'X%' THEN 'corrupt' WHEN page_id % 101 = 7 THEN 'moved' ELSE 'ok' END AS status
+            FROM r)
+        SELECT page_id, archive, "offset", bytes, 1::BIGINT AS copies, status, CASE WHEN status = 'moved' THEN 1073741824 ELSE 0 END::BIGINT AS moved_by FROM placed
     """,
 }

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -228,6 +229,70 @@ def test_warc_audit_of_odd_rows(spark):
     assert (got[-1].archive, got[-4097].archive, got[big].archive) == (-1, -2, big // 4096) and got[big + 1].offset == got[big].bytes and got[big + 1].copies == 2
 
 
+def plain_audit(left, right):
+    """Status and found offset by comparing all records of each key: (archive, key, offset, record) rows."""
+    out = {}
+    for key in {r[1] for r in left + right}:
+        a, b = (Counter((*r[:1], r[2], r[3]) for r in rows if r[1] == key) for rows in (left, right))
+        content = [Counter(x[2] for x in c.elements()) for c in (a, b)]
+        gone, new = a - b, b - a
+        if not gone and not new:
+            out[key] = ("ok", None)
+        elif not a:
+            out[key] = ("extra", None)
+        elif content[0] == content[1]:
+            out[key] = ("moved", min(x[1] for x in new))
+        else:
+            out[key] = ("corrupt" if b else "missing", None)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_warc_audit_of_observed_offsets(spark, seed):
+    """Records swapped, sent far off or to another archive, damaged, dropped, doubled and added; one replica written anew without a record."""
+    rng = random.Random(seed)
+    left, at = [], Counter()
+    for key in range(700):
+        for _ in range(rng.choice([1, 1, 1, 3])):
+            record = bytes(rng.randrange(97, 100) for _ in range(rng.choice([1, 40, 3000])))
+            left.append((key // 300, key, at[key // 300], record))
+            at[key // 300] += len(record)
+    right = list(left)
+    for i in rng.sample(range(len(right) - 1), 12):
+        a, b = right[i], right[i + 1]
+        right[i], right[i + 1] = (*b[:2], a[2], b[3]), (*a[:2], b[2], a[3])
+    for i in rng.sample(range(len(right)), 40):
+        archive, key, offset, record = right[i]
+        right[i] = rng.choice([(archive, key, offset + 2**33, record), (archive + 1, key, offset, record), (archive, key, offset, record[:-1] + b"X"), None, None]) or right[i][:1] + (10_000 + i,) + right[i][2:]
+    right = [r for r in right if rng.random() > 0.01] + right[5:6]
+    anew, place = [], Counter()
+    for archive, key, _, record in left:
+        if key != 350:
+            anew.append((archive, key, place[archive], record))
+            place[archive] += len(record)
+    frame = lambda rows: warc_audit.observed(spark.createDataFrame([(*r, "x") for r in rows], "archive long, key long, offset long, record binary, sha string").repartition(5))
+    for other in (right, anew):
+        got = {r.key: (r.status, r.found_offset) for r in warc_audit.audit(frame(left), frame(other)).collect()}
+        assert got == plain_audit(left, other)
+    assert len({s for s, _ in plain_audit(left, right).values()}) == 5
+    assert {k: s[0] for k, s in plain_audit(left, anew).items() if s[0] != "ok" and k < 351 or k > 599 and s[0] != "ok"} == {350: "missing"}
+
+
+def test_warc_audit_of_a_hot_key(spark):
+    """A third of all records under one key, of which one is damaged; records without an offset."""
+    rows = [(5, "u", f"text {i}") for i in range(6000)] + [(i, "u", "h") for i in range(10, 12_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    left = warc_audit.lay_out(warc_audit.to_records(pages))
+    right = left.withColumn("sha", F.when(F.expr("archive = 0 and offset = 0"), F.reverse("sha")).otherwise(F.col("sha")))
+    ends = left.filter("archive = 0").selectExpr("max(offset + bytes * copies)", "sum(bytes * copies)", "count(distinct offset)", "count(*)").first()
+    assert ends[0] == ends[1] and ends[2] == ends[3]
+    got = {r.key: r for r in warc_audit.audit(left, right).filter("status <> 'ok'").collect()}
+    assert {k: (r.status, r.copies) for k, r in got.items()} == {5: ("corrupt", 6000)}
+    lost = left.withColumn("offset", F.when(F.col("key") % 5000 != 11, F.col("offset")))
+    got = {r.key: (r.status, r.found_offset) for r in warc_audit.audit(left, lost).filter("status <> 'ok'").collect()}
+    assert got == {k: ("moved", -1) for k in (11, 5011, 10_011)}
+
+
 def test_syncmers(spark):
     rng = random.Random(4)
     words = ["alpha", "beta", "gamma", "delta", "é", "of", "the", "to"]
