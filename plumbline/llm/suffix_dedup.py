@@ -2,10 +2,11 @@
 
 A sparse suffix array does the work. In every run of WINDOW possible starts, the start with the least
 hash of its first bytes is an anchor; the choice depends on the string alone, so two equal strings of
-LENGTH bytes have their anchor at the same offset. Strings are compared through rows of three tokens:
-their leading bytes, a hash of the bytes that all candidate strings of the row have in common (core),
-and a hash of all bytes that they reach (hull). Rows are range-partitioned by leading tokens with
-splitters sampled by Spark, ties by place, so that a string with very many copies spreads over tasks;
+LENGTH bytes have their anchor at the same offset. Strings are compared through rows of six tokens:
+their first LEADS * 8 bytes as integers of the same order, a hash of the bytes that all candidate strings
+of the row have in common (core), and a hash of all bytes that they reach (hull). Rows are
+range-partitioned by leading tokens with splitters sampled by Spark, ties by place and by a number that
+spreads the rows of one place, so that neither a string nor a text with very many copies is one task's;
 the number of ranges follows the number of rows. Buckets sort by a multikey quicksort (a token is
 compared only among rows equal in the tokens before it), and rows are compared with their neighbours,
 the first and last rows of buckets across boundaries.
@@ -39,7 +40,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import blocks, id_filter, maybe_in, shuffle_partitions, staged
 from plumbline.llm.textblocks import Block, mix
 
-LENGTH, WINDOW, GRAM = 400, 200, 8
+LENGTH, WINDOW, GRAM, LEADS = 400, 200, 8, 4
 BLOCK, RANGE_ROWS = 25, 500_000
 
 
@@ -102,26 +103,28 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def leading(block: Block, starts: np.ndarray) -> np.ndarray:
-    """The first eight bytes from each place, as integers of the same order."""
-    raw = block.bytes[starts[:, None] + np.arange(8)]
-    return (raw.copy().view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+def leading(block: Block, starts: np.ndarray) -> list[np.ndarray]:
+    """The first bytes from each place, eight a token, as integers of the same order."""
+    raw = block.bytes[starts[:, None] + np.arange(8 * LEADS)].view(">u8").astype(np.uint64)
+    return list(np.ascontiguousarray((raw ^ np.uint64(1 << 63)).view(np.int64).T))
 
 
-_ROWS = "lead long, core long, hull long, key long, at long"
-_FOUND = f"{_ROWS}, settled boolean, more boolean, task long, last boolean, edge boolean"
+_TOKENS = [*(f"lead{i}" for i in range(LEADS)), "core", "hull"]
+_COLUMNS = [*_TOKENS, "key", "at"]
+_ROWS = ", ".join(f"{c} long" for c in _COLUMNS) + ", copy int"
+_FOUND = "core long, hull long, key long, at long, settled boolean, more boolean, task long, last boolean, edge boolean"
 
 
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorts a bucket; yields rows that are settled or go on, and its first and last row as edges."""
-    parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+    parts = [[batch.column(i).to_numpy() for i in range(len(_COLUMNS))] for batch in batches if batch.num_rows]
     if not parts:
         return
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     del parts
-    order = multikey_order(columns[:3])
-    columns = [c[order] for c in columns]
-    core, hull = (c[1:] == c[:-1] for c in columns[1:3])
+    order = multikey_order(columns[: len(_TOKENS)])
+    columns = [c[order] for c in columns[LEADS:]]
+    core, hull = (c[1:] == c[:-1] for c in columns[:2])
     none = np.zeros(1, bool)
     same, near = core & hull, core & ~hull
     settled = np.concatenate([none, same]) | np.concatenate([same, none])
@@ -130,14 +133,16 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def rows(pick: np.ndarray, last: list[bool], edge: bool) -> pa.RecordBatch:
         arrays = [*(c[pick] for c in columns), settled[pick], more[pick], np.full(len(pick), task)]
-        return pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(last, pa.bool_()), pa.array([edge] * len(pick), pa.bool_())], names=["lead", "core", "hull", "key", "at", "settled", "more", "task", "last", "edge"])
+        return pa.RecordBatch.from_arrays([*map(pa.array, arrays), pa.array(last, pa.bool_()), pa.array([edge] * len(pick), pa.bool_())], names=["core", "hull", "key", "at", "settled", "more", "task", "last", "edge"])
 
     yield rows(np.array([0, len(core)]), [False, True], True)
     # of equal places of equal texts one row goes on, with what any of them has
     found = np.flatnonzero(settled | more)
-    found = found[np.lexsort((columns[4][found], columns[3][found]))]
+    key, at = (c[found] for c in columns[2:])
+    sort = np.lexsort((at, key))
+    found, key, at = found[sort], key[sort], at[sort]
     new = np.ones(len(found), bool)
-    new[1:] = (columns[3][found[1:]] != columns[3][found[:-1]]) | (columns[4][found[1:]] != columns[4][found[:-1]])
+    new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1])
     if len(found):
         first = np.flatnonzero(new)
         settled[found[first]], more[found[first]] = (np.logical_or.reduceat(x[found], first) for x in (settled, more))
@@ -146,10 +151,14 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(part := found[i : i + 50_000], [False] * len(part), False)
 
 
+def ranged(rows: DataFrame, about: int) -> DataFrame:
+    """The rows (about so many) in ranges of the order of suffixes; equal rows may lie in several."""
+    return rows.repartitionByRange(max(2, shuffle_partitions(rows), about // RANGE_ROWS), *_COLUMNS, "copy")
+
+
 def compared(rows: DataFrame, name: str, about: int) -> DataFrame:
     """key, at, settled, more of the rows (about so many) that have an equal core elsewhere; a row may come twice."""
-    dealt = rows.repartitionByRange(max(2, shuffle_partitions(rows), about // RANGE_ROWS), "lead", "core", "hull", "key", "at")
-    found = staged(dealt.mapInArrow(_bucket, _FOUND), name)
+    found = staged(ranged(rows, about).mapInArrow(_bucket, _FOUND), name)
     # two rows a bucket, whatever the input: the last of each against the first of the next
     order = Window.orderBy("task", "last")
     other = [F.when(F.col("last"), F.lead(c).over(order)).otherwise(F.lag(c).over(order)).alias(f"other_{c}") for c in ("core", "hull")]
@@ -159,16 +168,18 @@ def compared(rows: DataFrame, name: str, about: int) -> DataFrame:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, "text"):
+    for n, batch in enumerate(blocks(batches, "text")):
         block = Block([x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])
         text, at, _, _ = anchors(block)
         if len(at):
             core, hull, _, _ = tokens(block, text, at, 0, WINDOW - 1)
-            yield _token_batch(leading(block, at), core, hull, batch.column(0).to_numpy()[text], at - block.starts[text])
+            yield _token_batch(leading(block, at), core, hull, batch.column(0).to_numpy()[text], at - block.starts[text], n)
 
 
-def _token_batch(lead: np.ndarray, core: np.ndarray, hull: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(core.view(np.int64)), pa.array(hull.view(np.int64)), pa.array(keys), pa.array(at)], names=["lead", "core", "hull", "key", "at"])
+def _token_batch(leads: list[np.ndarray], core: np.ndarray, hull: np.ndarray, keys: np.ndarray, at: np.ndarray, batch: int) -> pa.RecordBatch:
+    """Rows of tokens; `copy` is of the task and batch that made them, so it is the same in every attempt."""
+    copy = np.full(len(at), (TaskContext.get().partitionId() * 1_000_003 + batch) % (1 << 31), np.int32)
+    return pa.RecordBatch.from_arrays([*map(pa.array, (*leads, core.view(np.int64), hull.view(np.int64), keys, at, copy))], names=[*_COLUMNS, "copy"])
 
 
 def _runs_of(block: Block, i: int, places: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
@@ -181,7 +192,7 @@ def _run_rows(width: int):
     """Rows for the runs of strings that are still open, listed in `open`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches, "text"):
+        for n, batch in enumerate(blocks(batches, "text")):
             block = Block([x.encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])
             for i, raw in enumerate(batch.column(2).to_pylist()):
                 every = np.frombuffer(raw, np.int64)
@@ -192,7 +203,7 @@ def _run_rows(width: int):
                         core, hull, _, _ = tokens(block, np.full(len(at), i), at, low, high)
                     else:  # one string: its halves
                         core, hull = block.hashes(at - low, at - low + LENGTH // 2), block.hashes(at - low + LENGTH // 2, at - low + LENGTH)
-                    yield _token_batch(leading(block, at - low), core, hull, np.full(len(at), batch.column(0)[i].as_py()), places)
+                    yield _token_batch(leading(block, at - low), core, hull, np.full(len(at), batch.column(0)[i].as_py()), places, n)
 
     return run
 

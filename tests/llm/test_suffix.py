@@ -72,6 +72,38 @@ def test_rows_stay_whole(spark):
     assert remove_repeats(frame.limit(0)).count() == 0
 
 
+def test_very_long_text(spark):
+    """Texts of some hundred thousand bytes, one a repeat of one character, one with passages of the others."""
+    rng = random.Random(7)
+    long = "".join(rng.choice("abcdefgh é\n") for _ in range(200_000))
+    texts = [long, "z" * 60_000, "q" + long[1000:1900] + "zü" * 300 + long[150_000:150_395] + "w" * 401, long[:500], "short", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(frame).collect()}
+    assert got == dict(enumerate(plain(texts)))
+
+
+def test_many_equal_rows(spark):
+    """100,000 rows equal in id and text are cut alike, and no range holds all of their suffixes."""
+    rng = random.Random(8)
+    text, other = ("".join(rng.choice("abcdefgh ") for _ in range(450)) for _ in range(2))
+    same = spark.range(0, 100_000, 1, 100).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    frame = same.union(spark.createDataFrame([(2, text[20:] + other), (3, other[:399])], "doc_id long, text string"))
+    want = plain([text, text, text[20:] + other, other[:399]])[1:]
+    got = remove_repeats(frame).groupBy("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    assert {(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256), r["count"]) for r in got} == {(i + 1, w, 100_000 if not i else 1) for i, w in enumerate(want)}
+    rows = frame.select(F.col("doc_id").alias("key"), "text").mapInArrow(suffix_dedup._suffixes, suffix_dedup._ROWS)
+    held = [r["count"] for r in suffix_dedup.ranged(rows, 0).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= 6 and max(held) < sum(held) / 3
+
+
+def test_order_is_that_of_suffixes():
+    """Texts equal in their first eight bytes and more are told apart by the next ones."""
+    raws = [b"a" * 31 + bytes([c]) + b"x" * 500 for c in (9, 255, 7, 128, 127, 0)]
+    block = suffix_dedup.Block(raws)
+    order = multikey_order(suffix_dedup.leading(block, block.starts))
+    assert [raws[i] for i in order] == sorted(raws)
+
+
 def test_multikey_order():
     rng = np.random.default_rng(0)
     columns = [rng.integers(0, 3, 500) for _ in range(4)]
