@@ -16,6 +16,7 @@ from plumbline.functions.frames import union
 from plumbline.operators import chunking, evidence, facts, intents, layout, search, triage
 from plumbline.operators.vectors import encode
 from plumbline.plans import retrieval
+from plumbline.session import prepare
 from plumbline.sources import corpus, tables
 from plumbline.streaming import ingest
 
@@ -216,6 +217,21 @@ def s13_corpus_version(spark: SparkSession, sf: str) -> DataFrame:
     return tables.index_state(versions, index).select("doc_id", "corpus_version", "state")
 
 
+@query("s6_newest_first", "SELECT row_number() OVER (ORDER BY doc_id // 10 DESC, doc_id) - 1 AS place, doc_id FROM documents", plain=True)
+def s6_newest_first(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents with their places, newest first; ten come at a time."""
+    rows = docs(spark, sf).select("doc_id", F.expr("doc_id div 10").alias("created_at"))
+    return tables.numbered(tables.newest_first(rows)).select("place", "doc_id")
+
+
+@query("s8_schema_report", """SELECT 'documents' AS table_name, count(*) AS n_rows, '' AS errors FROM documents UNION ALL SELECT 'embeddings', count(*), 'embeddings.model: missing' FROM embeddings
+    UNION ALL SELECT 'labels', count(*), 'labels.quality: int, not string; labels.toxic: int, not double' FROM labels UNION ALL SELECT 'pages', count(*), '' FROM pages""", plain=True)
+def s8_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """Four tables against contracts, of which two are wrong on purpose."""
+    contracts = {"documents": "doc_id bigint, text string, lang string", "pages": "page_id bigint, url string, html string", "labels": "doc_id bigint, quality string, toxic double", "embeddings": "vec_id bigint, model string"}
+    return tables.schema_report({name: (prepare(spark).read.parquet(f"{sf}/{name}.parquet"), ddl) for name, ddl in contracts.items()})
+
+
 @query("s14_integrity", "SELECT chunk_id, CASE WHEN page_id % 5 = 1 THEN 'orphan' ELSE 'kept' END AS state FROM chunks")
 def s14_integrity(spark: SparkSession, sf: str) -> DataFrame:
     rows = corpus.finance_chunks(spark, sf).select(F.col("page_id").alias("doc_id"), "chunk_id")

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,12 @@ def schema_errors(tables: dict[str, tuple[DataFrame, str]]) -> list[str]:
     return out
 
 
+def schema_report(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """One row per table: table_name, n_rows, and its errors in one text, empty where it keeps its contract."""
+    rows = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit("; ".join(schema_errors({name: (df, ddl)}))).alias("errors")) for name, (df, ddl) in sorted(tables.items())]
+    return union(*rows)
+
+
 def check_schemas(tables: dict[str, tuple[DataFrame, str]]) -> None:
     if found := schema_errors(tables):
         raise ValueError("schema contract: " + "; ".join(found))
@@ -155,3 +161,10 @@ def newest_first(docs: DataFrame, created: str = "created_at") -> DataFrame:
     return docs.orderBy(F.desc(created), "doc_id")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Sorted rows with `place`, from 0: numbers within the tasks of the sort, and a running total of one count a task."""
+    of_task = F.monotonically_increasing_id()
+    own = written(rows.withColumns({"task_": F.shiftright(of_task, 33), "own_": of_task.bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    earlier = Window.orderBy("task_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own.groupBy("task_").count().select("task_", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start_"))
+    return own.join(starts, "task_").withColumn("place", F.col("start_") + F.col("own_")).drop("task_", "own_", "start_")
