@@ -6,6 +6,7 @@ fits nowhere and no further window may be opened, the fullest window is emitted.
 the end of a task is merged across tasks, `MERGED_TASKS` tasks together, by best fit decreasing over
 window sizes alone (at most MERGED_TASKS * open_windows rows a group, whatever the input).
 
+Of windows with equal room the one that was opened last is taken, and so it is among equally full ones.
 Null or empty texts are a document of the end id alone. Repeated rows are packed each by itself. Other
 columns are ignored; an empty table gives no rows. Texts of over LONG_TEXT characters get the same ids
 from the slower of two libraries, whose stack they don't overflow.

@@ -10,6 +10,7 @@ and what follows up to the next run), and its count is the sum over its pre-toke
    pre-tokens leave as (document, pre-token, frequency) rows for an equi-join. The lowest frequency of
    that table is read off a histogram of some hundred rows, so that only its own rows reach the driver.
 
+Very long texts count whole, one at a time; so does a long run without a space mark, which is one pre-token.
 Null or empty texts have 0 tokens and 0 bytes; an empty table gives no rows. Rows are counted one by one:
 repeated doc_ids stay repeated. Columns other than the id and the text are ignored.
 """

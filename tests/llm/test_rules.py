@@ -185,9 +185,9 @@ def test_parts_become_placeholders():
 
 def test_chat_digests(spark):
     said = "</s>[INST] ok [/INST]"
-    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", None), (1, 1, "assistant", "é\\n"), (1, 1, "assistant", "é\\n"), (2, None, None, "x"), (None, 0, "user", "y"), *((3, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000))]
+    rows = [(-7, 0, "user", said), (-7, 1, "assistant", said), (1, 0, "system", None), (1, 1, "assistant", "é\\n"), (1, 1, "assistant", "é\\n"), (2, None, None, "x"), (None, 0, "user", "y"), *((3, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(3000)), *((4, i, role, "</s>é [INST]" * 40_000) for i, role in enumerate(("user", "assistant")))]
     rng = random.Random(0)
-    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "conv_id long, turn long, role string, text string").repartition(5)
+    frame = spark.createDataFrame([(*r, 1, "p", "s", 2) for r in rng.sample(rows, len(rows))], "conv_id long, turn long, role string, text string, start int, segment string, parts string, length int").repartition(5)
     turns = chat_format.format_turns(chat_format.as_parts(frame))
     got = {r.conv_id: r for r in chat_format.digests(turns).collect()}
     for conv in {r[0] for r in rows}:
