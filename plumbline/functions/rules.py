@@ -41,6 +41,8 @@ HEADING_TERMS = ["class actions", "class action", "order execution only", "fees
 NAME = r"[A-Z][\w&.'-]+(?:\s+[A-Z][\w&.'-]+){0,4}"
 CASE_NAME = rf"(?i)\b({NAME})\s+v(?:\.|s\.|s)?\s+({NAME})\b"
 MATTER = rf"(?i)\b({NAME})\s+(matter|class action|litigation|legal proceedings)\b"
+# What every match of the two patterns above holds: a cheap test before them.
+CASE_MARK, MATTER_WORDS = r"(?i)\sv(?:\.|s\.|s)?\s", r"(?i)\s(?:matter|class action|litigation|legal proceedings)\b"
 CLOSED_WORDS = r"(?i)\b(closed|settled|discontinued)\b"
 MIN_ITEMS, PASS_RATIO = 3, 0.7
 NUMERIC_SPAN = r"(nil|none|zero)?\s*(?:to|through|between|from|-)\s*(?:approximately\s+|approx\.\s+)?\$?\s*[\d,.]+(?:\s*(?:billion|million))?"

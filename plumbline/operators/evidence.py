@@ -19,11 +19,20 @@ def _all(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _guarded(text: Column, needed: str, pattern: str) -> Column:
+    """All matches of a slow pattern, looked for only in texts that hold what each match must."""
+    return F.when(text.rlike(needed), _all(text, pattern, 0)).otherwise(F.array().cast("array<string>"))
+
+
 def matches(text: Column) -> Column:
-    """array<struct<extractor, position, raw, display>>: case names, heading terms, matters, in that order."""
-    cases = F.zip_with(_all(text, rules.CASE_NAME, 0), F.zip_with(_all(text, rules.CASE_NAME, 1), _all(text, rules.CASE_NAME, 2), lambda a, b: F.concat(title(a), F.lit(" v. "), title(b))), lambda r, d: F.struct(r.alias("raw"), d.alias("display")))
+    """array<struct<extractor, position, raw, display>>: case names, heading terms, matters, in that order.
+
+    The groups of a match are read from the matched text, so that each pattern passes over a text once.
+    """
+    group = lambda raw, pattern, k: title(F.regexp_extract(raw, pattern, k))
+    cases = F.transform(_guarded(text, rules.CASE_MARK, rules.CASE_NAME), lambda r: F.struct(r.alias("raw"), F.concat(group(r, rules.CASE_NAME, 1), F.lit(" v. "), group(r, rules.CASE_NAME, 2)).alias("display")))
     terms = F.flatten(F.array(*(F.transform(_all(text, f"(?i){t}", 0), lambda r: F.struct(r.alias("raw"), title(r).alias("display"))) for t in rules.HEADING_TERMS)))
-    matters = F.zip_with(_all(text, rules.MATTER, 0), _all(text, rules.MATTER, 1), lambda r, d: F.struct(r.alias("raw"), title(d).alias("display")))
+    matters = F.transform(_guarded(text, rules.MATTER_WORDS, rules.MATTER), lambda r: F.struct(r.alias("raw"), group(r, rules.MATTER, 1).alias("display")))
     number = lambda xs, k: F.transform(xs, lambda x, i: F.struct(F.lit(k).alias("extractor"), i.alias("position"), x["raw"].alias("raw"), x["display"].alias("display")))
     return F.concat(number(cases, 1), number(terms, 2), number(matters, 3))
 
