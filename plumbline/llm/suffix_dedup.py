@@ -45,13 +45,14 @@ BLOCK, RANGE_ROWS = 25, 500_000
 
 
 def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
-    """For each run of `width` keys, the place of its least (the first of equals)."""
+    """For each run of `width` keys, the place of its least (the first of equals), from runs of twice the size each time."""
     n = len(keys) - width + 1
-    order = (keys & ~np.uint64(0xFFFFFFFF)) | np.arange(len(keys), dtype=np.uint64)
-    padded = np.concatenate([order, np.full(-len(order) % width, np.iinfo(np.uint64).max)]).reshape(-1, width)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    least = (keys & ~np.uint64(0xFFFFFFFF)) | np.arange(len(keys), dtype=np.uint64)
+    reach = 1
+    while 2 * reach <= width:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    return (np.minimum(least[:n], least[width - reach : width - reach + n]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,8 +60,8 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     texts = np.flatnonzero(block.ends - block.starts >= LENGTH)
     if not len(texts):
         return (np.zeros(0, np.int64),) * 4
-    at = np.arange(len(block.bytes) - GRAM + 1)
-    least = window_minima(block.hashes(at, at + GRAM), WINDOW)
+    n = len(block.bytes) - GRAM + 1
+    least = window_minima(mix((block.sums[GRAM : GRAM + n] - block.sums[:n]) * block.down[:n]), WINDOW)
     out = []
     for t in texts.tolist():
         a, b = int(block.starts[t]), int(block.ends[t]) - LENGTH + 1
