@@ -295,9 +295,10 @@ def l2_outside(spark: SparkSession, sf: str) -> DataFrame:
     return layout.outside_tables(page_words(spark, sf), box).groupBy("doc_id", "page_number").agg(F.count("*").alias("n_words"))
 
 
-@query("l3_cells_to_markdown", "SELECT o_orderkey, '| ' || string_agg(CASE WHEN l_linenumber % 2 = 1 THEN 'line ' || l_linenumber ELSE '' END || ' | ' || l_partkey, CASE WHEN false THEN '' ELSE ' |' || chr(10) || '| ' END ORDER BY l_linenumber) || ' |' AS body FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey", plain=True)
+@query("l3_cells_to_markdown", "SELECT o_orderkey, '| ' || string_agg(CASE WHEN l_linenumber % 2 = 1 THEN 'line ' || l_linenumber ELSE '' END || ' | ' || l_partkey, CASE WHEN false THEN '' ELSE ' |' || chr(10) || '| ' END ORDER BY l_linenumber, l_partkey) || ' |' AS body FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderkey", plain=True)
 def l3_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row_index", F.row_number().over(search.Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1)
+    """The lines of an order as a table, by line number and, where lines share one, by part."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("row_index", F.row_number().over(search.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1)
     first = lines.filter("l_linenumber % 2 = 1").select("l_orderkey", "row_index", F.lit(0).alias("column_index"), F.concat(F.lit(" line "), F.col("l_linenumber").cast("string"), F.lit(" ")).alias("content"), F.lit(1).alias("seq"))
     old = lines.select("l_orderkey", "row_index", F.lit(1).alias("column_index"), F.lit("overwritten").alias("content"), F.lit(1).alias("seq"))
     new = lines.select("l_orderkey", "row_index", F.lit(1).alias("column_index"), F.col("l_partkey").cast("string").alias("content"), F.lit(2).alias("seq"))

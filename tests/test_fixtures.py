@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -173,6 +174,18 @@ def test_cells_of_every_order(spark, tmp_path):
     assert got == {1: "| line 1 | 7 |", 20000: "| line 1 | 8 |", 10**9: "|  | 9 |"}
 
 
+@pytest.mark.parametrize("step", [1, -1])
+def test_lines_of_one_number_go_by_part(spark, tmp_path, step):
+    lines = [(1, 1 + n // 3, part) for n, part in enumerate([5, 9, 7, 3, 3, 8, 2])]
+    spark.createDataFrame(lines[::step], "l_orderkey long, l_linenumber long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = "| line 1 | 5 |\n| line 1 | 7 |\n| line 1 | 9 |\n|  | 3 |\n|  | 3 |\n|  | 8 |\n| line 3 | 2 |"
+    assert [r.body for r in queries.QUERIES["l3_cells_to_markdown"](spark, str(tmp_path)).collect()] == [want]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    con.sql("CREATE VIEW orders AS SELECT 1 AS o_orderkey")
+    assert [r[1] for r in con.sql(queries.ORACLES["l3_cells_to_markdown"]).fetchall()] == [want]
+
+
 def test_layout_json(spark):
     row = ("d", [(1, [("Hello", [0.0, 0.0, 5.0])])], [([(0, 0, "Header A"), (0, 1, " Header B"), (1, 0, "1"), (1, 1, "2")], [(1, [0.0, 0.0, 10.0, 0.0, 10.0, 5.0, 0.0, 5.0]), (2, [])])])
     schema = "doc_id string, pages array<struct<pageNumber:int,lines:array<struct<content:string,polygon:array<double>>>>>, tables array<struct<cells:array<struct<rowIndex:int,columnIndex:int,content:string>>,boundingRegions:array<struct<pageNumber:int,polygon:array<double>>>>>"
