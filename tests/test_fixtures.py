@@ -155,6 +155,20 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert all(r.query.endswith(text) for r in corpus.finance_queries(spark, str(tmp_path)).collect())
 
 
+@pytest.mark.parametrize("name", ["r7_bm25_search", "r8_best_anchor", "r11_r12_hybrid", "r13_rerank", "y9_source_blocks", "q13_plan_status"])
+def test_queries_index_their_own_documents_only(spark, tmp_path, monkeypatch, name):
+    rows = [(4096 * (n % 3) + n, f"items of note w{n} w{n % 5}", "en", f"src{n % 4}", 9) for n in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "w0"), (1, "w1 note"), (7, "w3")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(n, [float(n), 1.0], 1) for n in range(9)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    seen, real = [], search.bm25_index
+    monkeypatch.setattr(search, "bm25_index", lambda chunks: seen.append(chunks) or real(chunks))
+    queries.QUERIES[name](spark, str(tmp_path)).collect()
+    every = {(r.doc_id, r.chunk_id, r.text_content) for r in corpus.finance_chunks(spark, str(tmp_path)).collect()}
+    assert {d for d, *_ in every} == {f"src{a}.{b}" for a in range(4) for b in range(3)}
+    assert {(r.doc_id, r.chunk_id, r.text_content) for r in seen[0].collect()} == {r for r in every if r[0] in ("src0.0", "src1.1")}
+
+
 def test_headings_and_spans(spark):
     pages = spark.createDataFrame([("demo", 1, "SECTION ONE\nThis is body text.\nItems of note\n a | b \n c | d \nend"), ("demo", 2, "more\n\nNote 3 x")], "doc_id string, page_number int, text string")
     lines = layout.page_lines(pages)
