@@ -31,17 +31,21 @@ def outside_tables(boxes: DataFrame, tables: DataFrame) -> DataFrame:
     Boxes and tables meet by grid cells of their page, at the level of the larger one, so that a page with very many
     of both is no product of them. Rows without a whole box overlap nothing.
     """
-    unique = boxes.groupBy(*boxes.columns).agg(F.count("*").alias("copies_"))
-    places = tables.select("doc_id", "page_number", "x0", "y0", "x1", "y1").distinct()
-    top = grid.top_level(boxes, places)
-    a, b = grid.with_cells(unique.drop("copies_"), top), grid.with_cells(places, top)
+    place, page = ["doc_id", "page_number", "x0", "y0", "x1", "y1"], ["doc_id", "page_number"]
+    held = tables.select(*place).distinct()
+    # Only boxes that reach into the extent of their page's tables are cut into cells; sides may come in any order.
+    sides = {"left_": F.min(F.least("x0", "x1")), "right_": F.max(F.greatest("x0", "x1")), "top_": F.min(F.least("y0", "y1")), "bottom_": F.max(F.greatest("y0", "y1"))}
+    whole = reduce(and_, (F.col(c).isNotNull() for c in place))
+    extent = held.filter(whole).groupBy(*page).agg(*(c.alias(n) for n, c in sides.items()))
+    reaching = (F.least("x0", "x1") <= F.col("right_")) & (F.greatest("x0", "x1") >= F.col("left_")) & (F.least("y0", "y1") <= F.col("bottom_")) & (F.greatest("y0", "y1") >= F.col("top_"))
+    near = boxes.select(*place).filter(whole).join(extent, page).filter(reaching).select(*place)
+    top = grid.top_level(boxes, held)
+    a, b = grid.with_cells(near, top), grid.with_cells(held, top)
     b = b.select("doc_id", "page_number", "level_", "cx_", "cy_", *(F.col(c).alias(f"{c}_table_") for c in ("x0", "y0", "x1", "y1", "level_of_")))
     apart = (F.col("x0") > F.col("x1_table_")) | (F.col("x1") < F.col("x0_table_")) | (F.col("y0") > F.col("y1_table_")) | (F.col("y1") < F.col("y0_table_"))
     met = a.join(b, ["doc_id", "page_number", "level_", "cx_", "cy_"]).filter(~apart & (F.col("level_") == F.greatest("level_of_", "level_of__table_")))
-    met = met.select(*(F.col(c).alias(f"{c}_met_") for c in boxes.columns)).distinct()
-    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_met_")) for c in boxes.columns))
-    left = unique.join(met, same, "left_anti")
-    return left.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies_")))).select(*boxes.columns)
+    # A place decides, so equal rows go or stay together; a null is equal to nothing and stays.
+    return boxes.join(met.select(*place).distinct(), place, "left_anti").select(*boxes.columns)
 
 
 def heading_level(line: Column) -> Column:

@@ -94,6 +94,16 @@ def test_outside_tables_equals_all_pairs(spark):
     assert sorted(str(tuple(r)) for r in got.collect()) == want and 0 < len(want) < len(rows)
 
 
+def test_only_boxes_near_a_table_are_cut_into_cells(spark, monkeypatch):
+    rows = [("d", page, 10.0 * n, 0.0, 10.0 * n + 9, 9.0, n) for page in (1, 2) for n in range(50)] * 2
+    boxes = spark.createDataFrame([*rows, ("d", 1, None, 0.0, 9.0, 9.0, -1), ("d", 1, float("nan"), 0.0, 9.0, 9.0, -2), ("d", 1, 0.0, 0.0, float("nan"), 9.0, -3)], "doc_id string, page_number int, x0 double, y0 double, x1 double, y1 double, n int")
+    seen, real = [], layout.grid.with_cells
+    monkeypatch.setattr(layout.grid, "with_cells", lambda b, *a: seen.append(b) or real(b, *a))
+    got = layout.outside_tables(boxes, spark.createDataFrame([("d", 1, 25.0, 0.0, 45.0, 9.0)], "doc_id string, page_number int, x0 double, y0 double, x1 double, y1 double"))
+    assert sorted(r.n for r in got.collect()) == sorted([*(r[-1] for r in rows if not (r[1] == 1 and 2 <= r[-1] <= 4)), -1, -2])
+    assert seen[0].count() == 8  # six, and two with a side that is no number
+
+
 def test_a_page_of_100_000_boxes(spark):
     """Each tenth box lies in a table; the join makes about as many rows as there are boxes, not their product with the tables."""
     rows = spark.range(100_000).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page_number"), (F.col("id") % 300 * 10.0).alias("x0"), (F.floor(F.col("id") / 300) * 10.0).alias("y0"), (F.col("id") % 300 * 10.0 + 8).alias("x1"), (F.floor(F.col("id") / 300) * 10.0 + 8).alias("y1"))
