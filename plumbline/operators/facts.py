@@ -32,21 +32,23 @@ def fact_values(text: Column) -> dict[str, Column]:
 
 
 def excerpt(text: Column, most: int = 200) -> Column:
-    return F.substring(F.split(strip(text), "\n")[0], 1, most)
+    return F.substring(F.substring_index(strip(text), "\n", 1), 1, most)
 
 
 def extract_facts(chunks: DataFrame) -> DataFrame:
     """One row per document and fact: not_found, ambiguous (more than one value) or found with the first chunk's lineage."""
     values = fact_values(F.col("text_content"))
-    pairs = F.array(*(F.struct(F.lit(name).alias("fact_name"), values[name].alias("value")) for name in FACTS))
-    rows = chunks.filter(F.coalesce(F.col("chunk_type") != "table", F.lit(True))).select("doc_id", "chunk_id", "page_number", "page_numbers", "macro_id", "child_id", "text_content", F.explode(pairs).alias("p")).select("*", "p.*").filter("value is not null")
+    pairs = F.filter(F.array(*(F.struct(F.lit(name).alias("fact_name"), values[name].alias("value")) for name in FACTS)), lambda p: p["value"].isNotNull())
+    # the excerpt goes on, not the text: it would be copied for each fact and sorted with its group
+    cut = excerpt(F.col("text_content")).alias("excerpt")
+    rows = chunks.filter(F.coalesce(F.col("chunk_type") != "table", F.lit(True))).select("doc_id", "chunk_id", "page_number", "page_numbers", "macro_id", "child_id", cut, F.explode(pairs).alias("p")).select("*", "p.*")
     order = F.struct("page_number", "macro_id", "child_id", "chunk_id")
-    found = rows.groupBy("doc_id", "fact_name").agg(F.count_distinct("value").alias("n"), F.min_by(F.struct("value", "chunk_id", "page_numbers", "text_content"), order).alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("page_numbers")))).alias("all_pages"))
+    found = rows.groupBy("doc_id", "fact_name").agg(F.count_distinct("value").alias("n"), F.min_by(F.struct("value", "chunk_id", "page_numbers", "excerpt"), order).alias("first"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("page_numbers")))).alias("all_pages"))
     every = chunks.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, FACTS))).alias("fact_name"))
     one = F.col("n") == 1
     status = F.when(F.col("n").isNull(), "not_found").when(one, "found").otherwise("ambiguous")
     pages = F.when(one, F.col("first.page_numbers")).otherwise(F.coalesce("all_pages", F.array().cast("array<int>")))
-    return every.join(found, ["doc_id", "fact_name"], "left").select("doc_id", "fact_name", F.when(one, F.col("first.value")).alias("value"), status.alias("status"), F.when(one, 0.9).otherwise(0.0).alias("confidence"), F.when(one, F.col("first.chunk_id")).alias("source_chunk_id"), pages.alias("page_numbers"), F.when(one, excerpt(F.col("first.text_content"))).alias("evidence_excerpt"))
+    return every.join(found, ["doc_id", "fact_name"], "left").select("doc_id", "fact_name", F.when(one, F.col("first.value")).alias("value"), status.alias("status"), F.when(one, 0.9).otherwise(0.0).alias("confidence"), F.when(one, F.col("first.chunk_id")).alias("source_chunk_id"), pages.alias("page_numbers"), F.when(one, F.col("first.excerpt")).alias("evidence_excerpt"))
 
 
 def fact_name(query: Column) -> Column:

@@ -356,3 +356,37 @@ def test_closed_matters_in_one_sentence_with_open_ones(spark):
     text = "The Fresco matter was settled while others stay open. Nothing else."
     frame = spark.createDataFrame([(1, 1, "c", text)], "query_id long, rank int, chunk_id string, text_content string")
     assert [r.how for r in evidence.closed_matters(frame).collect()] == ["settled"]
+
+
+def test_index_written_part_by_part(spark, tmp_path):
+    rows = spark.createDataFrame([("d", "c1", "a b A"), ("d", "c2", ""), ("d", "c3", None), ("e", "c4", "b é b")], "doc_id string, chunk_id string, text_content string")
+    got = [sorted(map(tuple, x.collect()), key=str) for x in tables.index_written(rows, f"{tmp_path}/a")]
+    assert got[0] == [("d", "c1", "a", 2), ("d", "c1", "b", 1), ("e", "c4", "b", 2), ("e", "c4", "é", 1)]
+    tables.save_index(search.bm25_index(rows), f"{tmp_path}/b")
+    assert got == [sorted(map(tuple, x.collect()), key=str) for x in tables.load_index(spark, f"{tmp_path}/b")]
+    assert all("MapInArrow" not in x._jdf.queryExecution().optimizedPlan().toString() for x in tables.index_written(rows, f"{tmp_path}/c"))
+
+
+def test_the_corpus_is_read_once_for_asked_chunks(spark, tmp_path):
+    rows = [(n, f"note w{n}", "en", f"src{n % 4}", 9) for n in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "w0")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert not any("documents.parquet" in f for f in queries.asked_chunks(spark, str(tmp_path)).inputFiles())
+
+
+def test_levels_are_made_once(spark):
+    pages = spark.createDataFrame([("demo", 1, "SECTION ONE\nbody text here.\nItems of note\nx"), ("demo", 2, "more\n\nNote 3 x")], "doc_id string, page_number int, text string")
+    lines = layout.page_lines(pages)
+    made = layout.heading_stack(layout.leveled(lines))
+    plain = layout.heading_stack(lines)
+    assert made.columns == plain.columns and sorted(map(str, made.collect())) == sorted(map(str, plain.collect()))
+
+
+def test_excerpts_and_facts_without_their_texts(spark):
+    rows = spark.createDataFrame([("d", "c1", " \n All amounts are in Canadian dollars.\nmore"), ("d", "c2", ""), ("e", "c3", None)], "doc_id string, chunk_id string, text_content string")
+    assert [r[0] for r in rows.select(facts.excerpt(F.col("text_content"))).collect()] == ["All amounts are in Canadian dollars.", "", None]
+    whole = rows.withColumns({"page_number": F.lit(1), "page_numbers": F.array(F.lit(1)), "macro_id": F.lit(0), "child_id": F.lit(0), "chunk_type": F.lit("narrative")})
+    found = facts.extract_facts(whole)
+    assert {(r.doc_id, r.fact_name, r.evidence_excerpt) for r in found.filter("status = 'found'").collect()} >= {("d", "default_currency", "All amounts are in Canadian dollars.")}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 10 and "Generate" in plan and not any("text_content" in line for line in plan.split("\n") if "Aggregate [doc_id" in line and "fact_name" in line)
