@@ -152,6 +152,30 @@ def test_forest_scores_equal_walks():
     assert forest.scores(odd)[20:].mean() > forest.scores(odd)[:20].mean()
 
 
+def test_forest_and_threshold_count_all_labelled_rows(spark):
+    words = F.transform(F.sequence(F.lit(1), 60 + F.pmod(F.xxhash64("doc_id"), F.lit(90)).cast("int")), lambda i: F.substring(F.md5(F.concat_ws("-", "doc_id", i)), 1, 1 + i % 9))
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id")).select("doc_id", F.array_join(words, " ").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    got = quality_rules.quality_rules(docs, labels).toPandas()
+    assert not got.base_failed.any()
+    assert (got.kept == (got.anomaly <= np.quantile(got.anomaly, 0.99, method="higher"))).all()
+    again = quality_rules.quality_rules(docs.repartition(3), labels.repartition(5)).toPandas()
+    assert got.sort_values("doc_id").anomaly.tolist() == again.sort_values("doc_id").anomaly.tolist()
+
+
+def test_nodes_add_up_over_parts():
+    x = np.random.default_rng(5).normal(size=(500, 3))
+    forest, tree = quality_rules.IsolationForest(x, np.ptp(x, axis=0), trees=4, rows=100), np.arange(500) % 4
+    for depth in range(forest.depth + 1):
+        whole = {(t, i): (n, low, high) for t, i, n, low, high in zip(*forest.held(x, tree, depth), strict=True)}
+        parts = {}
+        for at in range(0, 500, 77):
+            for t, i, n, low, high in zip(*forest.held(x[at : at + 77], tree[at : at + 77], depth), strict=True):
+                m, a, b = parts.get((t, i), (0, np.inf, -np.inf))
+                parts[t, i] = (m + n, min(a, low), max(b, high))
+        assert parts == whole
+
+
 def test_parts_of_every_kind_in_a_query(spark):
     from plumbline.llm import queries as llm
 
