@@ -35,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long strings that also stand elsewhere; n_chars is that of the rest."""
-    return suffix_dedup.without_repeats(docs)
+    """Documents without the strings of 400 bytes, and those of more than 50 words, that also stand elsewhere; n_chars is that of the rest."""
+    return suffix_dedup.without_repeats(docs, units=(suffix_dedup.BYTES, suffix_dedup.WORDS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

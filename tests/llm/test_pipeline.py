@@ -52,6 +52,19 @@ def test_repeats_are_cut_and_counted(spark):
         assert got[i].n_chars == len(got[i].text) == n - gone
 
 
+def test_repeated_passages_of_over_50_words_are_cut(spark):
+    """Passages of 51 words and over go though they have under 400 bytes; 50 words and what is not repeated stay."""
+    rng = random.Random(2)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    shared = [words(51), words(59), words(50)]
+    own = [[words(40), words(40)] for _ in range(9)]
+    assert all(len(x) < 400 for x in shared)
+    texts = ["\n".join([own[i][0], shared[i % 3], own[i][1]]) for i in range(9)] + [words(300)]
+    docs = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(3)
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert got == {i: t if i % 3 == 2 or i == 9 else "\n\n".join(own[i]) for i, t in enumerate(texts)}
+
+
 def test_packed_pieces_cover_every_document(spark):
     docs = spark.createDataFrame([(i % 7, t, None, None, None) for i, t in enumerate([None, "", "a b", "word " * 3000, *["same"] * 8, "x" * 250_000])], SCHEMA)
     rows = corpus_pipeline.pack(spark, docs, SF).collect()

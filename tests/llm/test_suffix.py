@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.llm import suffix_dedup
-from plumbline.llm.suffix_dedup import LENGTH, multikey_order, remove_repeats, without_repeats
+from plumbline.llm.suffix_dedup import BYTES, LENGTH, WORDS, multikey_order, remove_repeats, without_repeats
 
 
 def plain(texts):
@@ -25,6 +26,41 @@ def plain(texts):
     return out
 
 
+def plain_of_both(texts, words_only=False):
+    """Bytes of repeated strings of 400 bytes and of repeated runs of 51 words, by all windows."""
+    raws = [(t or "").encode() for t in texts]
+    words = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", r)] for r in raws]
+    runs = [[tuple(r[a:b] for a, b in w[i : i + 51]) for i in range(len(w) - 50)] for r, w in zip(raws, words, strict=True)]
+    in_words = Counter(x for run in runs for x in run)
+    in_bytes = Counter(r[i : i + LENGTH] for r in raws for i in range(len(r) - LENGTH + 1))
+    out = []
+    for r, w, run in zip(raws, words, runs, strict=True):
+        spans = [(w[i][0], w[i + 50][1]) for i, x in enumerate(run) if in_words[x] > 1]
+        spans += [] if words_only else [(i, i + LENGTH) for i in range(len(r) - LENGTH + 1) if in_bytes[r[i : i + LENGTH]] > 1]
+        gone = bytearray(len(r))
+        for a, b in spans:
+            gone[a:b] = b"\x01" * (b - a)
+        rest = bytes(b for b, g in zip(r, gone, strict=True) if not g)
+        out.append((len(r), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(rest).hexdigest()))
+    return out
+
+
+def corpus_of_words(seed):
+    rng = random.Random(seed)
+
+    def words(n):
+        return [rng.choice(["a", "of", "the", "é", "tion", "wörter", "x" * 12]) + str(rng.randrange(40)) for _ in range(n)]
+
+    shared = [words(n) for n in (30, 49, 50, 51, 52, 60, 75, 130, 400)]
+    texts = ["", None, "x", " ".join(["z"] * 400), "zz " * 700, " ".join(words(51)), "\n".join(words(90)), "w" * 900]
+    for _ in range(60):
+        text = words(rng.randrange(150))
+        for _ in range(rng.randrange(4)):
+            text += rng.choice(shared)[rng.choice([0, 0, 2, 20]) :] + words(rng.randrange(80))
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n", " \t "]) for w in text))
+    return texts + [texts[-1]] * 3 + ["q " + texts[-2][:-30], "w" * 500 + " end"]
+
+
 def corpus(seed):
     rng = random.Random(seed)
 
@@ -52,6 +88,16 @@ def test_remove_repeats(spark, seed, partitions):
     assert got == dict(enumerate(plain(texts)))
 
 
+@pytest.mark.parametrize(("seed", "partitions", "units"), [(0, 1, (BYTES, WORDS)), (1, 7, (BYTES, WORDS)), (2, 4, (WORDS,))])
+def test_runs_of_words_go_too(spark, seed, partitions, units):
+    """Runs of over 50 words, however few bytes they have and whatever stands between the words; both rules judge the input."""
+    texts = corpus_of_words(seed)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(partitions)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(frame, units=units).collect()}
+    want = plain_of_both(texts, words_only=units == (WORDS,))
+    assert got == dict(enumerate(want)) and want != plain(texts)
+
+
 def test_many_buckets(spark):
     texts = corpus(4)
     spark.conf.set("spark.sql.shuffle.partitions", "60")
