@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import scan
+from plumbline.functions import rules, scan
+from plumbline.functions.textnorm import any_pattern
 from plumbline.operators import chunking, layout
 
 
@@ -83,3 +84,20 @@ def test_lineage_and_numbers_of_children(spark):
         assert "\n".join(x[2] for x in texts[r.page_number])[r.char_start : r.char_end] == r.text_content
     assert seen == sorted(seen) and sorted({m for _, m in seen}) == list(range(len({m for _, m in seen})))
     assert rows[0].chunk_type == "table" and chunking.chunks(frame.limit(0), 16, 4, 5).count() == 0
+
+
+def test_lines_are_trimmed_as_in_sql(spark):
+    """White space before a last line separator stays, as the SQL's trim leaves it."""
+    texts = ["a \u2028", " \u0085", "\x0b b\t", " \f ", "c \u2029"]
+    rows = layout.page_lines(spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "doc_id string, page_number int, text string"))
+    assert {r.page_number: r.line for r in rows.collect()} == {0: "a \u2028", 1: "\u0085", 2: "b", 4: "c \u2029"}
+
+
+def test_words_before_patterns_change_nothing(spark):
+    texts = ["MD&A", "our md&a.", "xMD&A", "Significant  events", "SIGNIFICANT EVENTS", "note 12", None, "Items of notes", "\u0130tems of note", "I\u0307tems of note", "items of NOTE", "a.b axb"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for patterns in (rules.HEADING_ONE, rules.HEADING_TWO, [r"\ba.b\b"], []):
+        plain = F.lit(False)
+        for p in patterns:
+            plain = plain | F.col("t").rlike(f"(?i){p}")
+        assert rows.filter(~any_pattern(F.col("t"), patterns).eqNullSafe(plain)).count() == 0
